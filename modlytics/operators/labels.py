@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.functions.payloads import whole_json
 from modlytics.functions.rules import verdict
 from modlytics.operators.moderation import with_verdict
 
@@ -35,7 +36,7 @@ def parse_label_payloads(landed: DataFrame) -> DataFrame:
     ``labels`` keeps the items in payload order. A payload is not ok when it is missing or broken, is
     no array, has an item without an id, or gives a severity that is no number.
     """
-    tree = F.try_parse_json("payload")
+    tree = whole_json(F.col("payload"))
     is_array = F.startswith(F.schema_of_variant(tree), F.lit("ARRAY"))
     items = F.when(is_array, F.try_variant_get(tree, "$", "array<variant>"))
     return (

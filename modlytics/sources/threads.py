@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.functions.payloads import whole_json
 from modlytics.functions.text import epoch_text
 from modlytics.session import shared_dir
 
@@ -24,7 +25,7 @@ def _nodes(tree: Column, path: str) -> Column:
 
 def thread_titles(payloads: DataFrame) -> DataFrame:
     """(profile_url, payload) -> (profile_url, title)."""
-    tree = F.try_parse_json("payload")
+    tree = whole_json(F.col("payload"))
     title = F.coalesce(F.try_variant_get(tree, TITLE_PATH, "string"), F.lit(fixed.THREAD_TITLE))
     return payloads.select("profile_url", title.alias("title"))
 
@@ -50,7 +51,7 @@ def thread_nodes(payloads: DataFrame) -> DataFrame:
     frontier = payloads.select(
         "profile_url",
         F.array().cast("array<int>").alias("path"),
-        _nodes(F.try_parse_json("payload"), TOP_NODES_PATH).alias("nodes"),
+        _nodes(whole_json(F.col("payload")), TOP_NODES_PATH).alias("nodes"),
     )
     levels: list[DataFrame] = []
     while True:

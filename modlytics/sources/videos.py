@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from modlytics import schemas
 from modlytics.functions import dictionary as fixed
+from modlytics.functions.payloads import whole_json_as
 from modlytics.functions.text import iso_text, strip_tags
 
 
 def video_titles(payloads: DataFrame) -> DataFrame:
     """(profile_url, payload) of video details -> (profile_url, title); null where there is none."""
-    info = F.from_json("payload", schemas.VIDEO_INFO)
+    info = whole_json_as(F.col("payload"), schemas.VIDEO_INFO)
     return payloads.select("profile_url", F.get(info["items"], 0)["snippet"]["title"].alias("title"))
 
 
@@ -21,7 +22,8 @@ def video_comments(payloads: DataFrame, ingest_time: str) -> DataFrame:
 
     A page with an item that has no comment inside counts as failed as a whole and gives no rows.
     """
-    pages = payloads.select("profile_url", F.from_json("payload", schemas.VIDEO_PAGE)["items"].alias("items"))
+    page = whole_json_as(F.col("payload"), schemas.VIDEO_PAGE)
+    pages = payloads.select("profile_url", page["items"].alias("items"))
     whole = pages.filter(
         F.forall("items", lambda item: item["snippet"]["topLevelComment"]["snippet"].isNotNull())
     )
