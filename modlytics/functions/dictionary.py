@@ -107,10 +107,12 @@ NOT_BLANK = r"[^\x09-\x0d\x1c-\x1f\x{85}\p{Z}]"
 I, S = r"[i\x{131}]", r"[s\x{17f}]"
 
 YELLING_PATTERN = rf"(?:^|{NOT_WORD})[A-Z]{{4,}}(?:$|{NOT_WORD})"
+_ANY_DOMAIN = "|".join(d.replace("i", I).replace("s", S) for d in LINK_DOMAINS)
 LINK_PATTERN = (
-    rf"http{S}?://{NOT_BLANK}|www\.{NOT_BLANK}|{WORD}\.(?:"
-    + "|".join(d.replace("i", I).replace("s", S) for d in LINK_DOMAINS)
-    + rf")(?:$|{NOT_WORD})"
+    rf"http{S}?://{NOT_BLANK}|www\.{NOT_BLANK}|{WORD}\.(?:{_ANY_DOMAIN})(?:$|{NOT_WORD})"
 )
+# Found wherever the pattern above it is, and quicker to rule out.
+LINK_HINT = rf"[:.w](?://|ww\.|{_ANY_DOMAIN})"
+YELLING_HINT = "[A-Z]{4}"
 EMOJI_PATTERN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in EMOJI_RANGES) + "]"
 TAG_PATTERN = r"<[^<]+?>"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from modlytics.functions.rules import bind
+
 
 def _between_keys(payload: Column) -> Column:
     return F.concat(F.lit('{"value":'), payload, F.lit(',"end":true}'))
@@ -22,4 +24,4 @@ def whole_json(payload: Column) -> Column:
 def whole_json_as(payload: Column, schema: str) -> Column:
     """The same with a schema."""
     read = F.from_json(_between_keys(payload), f"value {schema}, end BOOLEAN")
-    return F.when(read["end"], read["value"])
+    return bind(read, lambda r: F.when(r["end"], r["value"]))

@@ -27,12 +27,17 @@ def term_hits(lowered: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda term: F.contains(lowered, term))
 
 
+def _matches(text: Column, pattern: str, hint: str) -> Column:
+    """Match of a costly pattern, tried only where a cheap one that it implies is found."""
+    return F.regexp_like(text, F.lit(hint)) & F.regexp_like(text, F.lit(pattern))
+
+
 def has_link(lowered: Column) -> Column:
-    return F.regexp_like(lowered, F.lit(fixed.LINK_PATTERN))
+    return _matches(lowered, fixed.LINK_PATTERN, fixed.LINK_HINT)
 
 
 def is_yelling(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(fixed.YELLING_PATTERN))
+    return _matches(text, fixed.YELLING_PATTERN, fixed.YELLING_HINT)
 
 
 def emoji_count(text: Column) -> Column:
@@ -40,7 +45,9 @@ def emoji_count(text: Column) -> Column:
 
 
 def has_emoji_flood(text: Column) -> Column:
-    return emoji_count(text) > fixed.EMOJI_LIMIT
+    """More emoji than the limit. Each takes three bytes or more, so few texts need counting."""
+    roomy = F.octet_length(text) - F.length(text) > 2 * fixed.EMOJI_LIMIT
+    return roomy & (emoji_count(text) > fixed.EMOJI_LIMIT)
 
 
 def tagged(hits: Column, tag: str, present: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.payloads import whole_json
-from modlytics.functions.rules import verdict
+from modlytics.functions.rules import bind, verdict
 from modlytics.operators.moderation import with_verdict
 
 BATCH = ["profile_url", "batch_id"]
@@ -18,7 +18,7 @@ def cut_batches(comments: DataFrame, rows_per_batch: int = fixed.LABEL_BATCH_ROW
     """Batch number and number inside the batch from the position in the creator's scan; no shuffle."""
     return comments.withColumns(
         {
-            "batch_id": F.floor(F.col("pos") / rows_per_batch),
+            "batch_id": F.expr(f"pos div {rows_per_batch}"),
             "id": F.col("pos") % rows_per_batch,
         }
     )
@@ -36,9 +36,12 @@ def parse_label_payloads(landed: DataFrame) -> DataFrame:
     ``labels`` keeps the items in payload order. A payload is not ok when it is missing or broken, is
     no array, has an item without an id, or gives a severity that is no number.
     """
-    tree = whole_json(F.col("payload"))
-    is_array = F.startswith(F.schema_of_variant(tree), F.lit("ARRAY"))
-    items = F.when(is_array, F.try_variant_get(tree, "$", "array<variant>"))
+    items = bind(
+        whole_json(F.col("payload")),
+        lambda tree: F.when(
+            F.startswith(F.schema_of_variant(tree), F.lit("ARRAY")), F.try_variant_get(tree, "$", "array<variant>")
+        ),
+    )
     return (
         landed.withColumn("items", items)
         .withColumn("labels", F.transform("items", _label))
@@ -64,9 +67,8 @@ def _label(item: Column) -> Column:
 def label_rows(parsed: DataFrame) -> DataFrame:
     """Parsed payloads that are ok as rows: batch keys, id, item number and the label fields."""
     fields = [F.col(f"label.{c}").alias(c) for c in ("id", "classification", "severity_score", "flagged_words")]
-    return (
-        parsed.filter("ok").select(*BATCH, F.posexplode("labels").alias("item", "label")).select(*BATCH, "item", *fields)
-    )
+    given = F.posexplode_outer(F.when(F.col("ok"), F.col("labels"))).alias("item", "label")
+    return parsed.select(*BATCH, given).filter(F.col("item").isNotNull()).select(*BATCH, "item", *fields)
 
 
 def last_labels(labels: DataFrame) -> DataFrame:
@@ -109,13 +111,16 @@ def batch_verdicts(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_labels(batched: DataFrame, landed: DataFrame) -> DataFrame:
+def hybrid_labels(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     """Outside labels where a creator's whole scan has them, the rules everywhere else.
 
+    ``parsed`` is what parse_label_payloads gives. It is read for the failed creators and for the
+    labels, so write it to a table first: payloads are then parsed once.
+
     Comments meet the record of their batch, so a key holds one batch of comments; the label is then
     looked up in the record by id. The rules run only for comments that need them.
     """
-    verdicts = batch_verdicts(batched, parse_label_payloads(landed))
+    verdicts = batch_verdicts(batched, parsed)
     joined = batched.join(verdicts, BATCH, "left").withColumn(
         "label", F.try_element_at(F.filter("labels", lambda x: x["id"] == F.col("id")), F.lit(-1))
     )

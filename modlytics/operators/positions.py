@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 SLAB = 50_000
 
 
-def dense_positions(rows: DataFrame, group: str, order: str, name: str = "pos", slab: int = SLAB) -> DataFrame:
+def dense_positions(
+    rows: DataFrame, group: str, order: str, name: str = "pos", slab: int = SLAB, sizes_of: DataFrame | None = None
+) -> DataFrame:
     """Number the rows of each group from 0 in the order of a unique whole-number column.
 
     A group is cut into slabs of ``slab`` consecutive order values. Rows are ranked inside their slab,
     which is at most ``slab`` rows, and the sizes of the slabs before it are added. The running sum
     sees one number per slab, so a group that holds a third of all rows is spread over many tasks.
     The slab sizes come from a scan of two columns and join on the keys that the ranking is
-    partitioned by.
+    partitioned by. ``sizes_of`` names the same rows before costly columns were added to them.
     """
-    cut = rows.withColumn("_slab", F.floor(F.col(order) / slab))
-    sizes = cut.groupBy(group, "_slab").agg(F.count(F.lit(1)).alias("_size"))
+    in_slab = F.expr(f"{order} div {slab}")
+    cut = rows.withColumn("_slab", in_slab)
+    counted = (rows if sizes_of is None else sizes_of).select(group, in_slab.alias("_slab"))
+    sizes = counted.groupBy(group, "_slab").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col(group).alias("_group"),

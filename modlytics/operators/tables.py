@@ -10,11 +10,14 @@ from modlytics.functions import dictionary as fixed
 CREATOR_FIELDS = ["platform", "creator_name", "safety_score", "last_scanned"]
 
 
-def replace_comments(stored: DataFrame, scanned: DataFrame, ingest_time: str) -> DataFrame:
+def replace_comments(
+    stored: DataFrame, scanned: DataFrame, ingest_time: str, scanned_creators: DataFrame | None = None
+) -> DataFrame:
     """All comments of every scanned creator replaced; creators with an empty scan keep theirs.
 
     Spark broadcasts the scanned keys only when it measures them small. Otherwise both sides are
-    shuffled and the stored side of a hot creator may be split, since the keys are distinct.
+    shuffled and the stored side of a hot creator may be split, since the keys are distinct. The keys
+    come from ``scanned_creators`` where that table is at hand, else from the new comments.
     """
     filled = scanned.withColumns(
         {
@@ -26,7 +29,8 @@ def replace_comments(stored: DataFrame, scanned: DataFrame, ingest_time: str) ->
             "flagged_words": F.coalesce("flagged_words", F.lit("")),
         }
     )
-    return delete_creators(stored, scanned).unionByName(filled, allowMissingColumns=True)
+    replaced = scanned if scanned_creators is None else scanned_creators
+    return delete_creators(stored, replaced).unionByName(filled, allowMissingColumns=True)
 
 
 def delete_creators(table: DataFrame, doomed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from modlytics.plans import fixtures
 from modlytics.plans.scan import creator_names, scan, with_link_parts
 from modlytics.session import scratch_path
 from modlytics.sources import csv_files
-from modlytics.sources.tables import read_table, spread
+from modlytics.sources.tables import read_table, spread, write_table
 from modlytics.sources.threads import thread_comments
 from modlytics.sources.videos import video_comments
 from modlytics.streaming.live import drain, moderate_stream
@@ -88,7 +88,8 @@ def stream_moderation(spark: SparkSession, folder: str) -> DataFrame:
     )
     path, progress = scratch_path(spark, "live"), scratch_path(spark, "live-progress")
     author, timestamp = F.lit(None).cast("string"), F.lit(None).cast("string")
-    drain(moderate_stream(landed.withColumns({"author": author, "timestamp": timestamp})), path, progress)
+    comments = landed.withColumns({"author": author, "timestamp": timestamp})
+    drain(moderate_stream(comments, spark.sparkContext.defaultParallelism), path, progress)
     return spark.read.parquet(path).select("doc_id", "author", *LABELS)
 
 
@@ -188,7 +189,9 @@ def merge_external_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_labels(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = labels.hybrid_labels(_batched(spark, folder, "text"), fixtures.landed_labels(spark, folder))
+    parsed = labels.parse_label_payloads(fixtures.landed_labels(spark, folder))
+    stored = write_table(parsed, scratch_path(spark, "labels"))
+    labelled = labels.hybrid_labels(_batched(spark, folder, "text"), stored)
     return labelled.select("comment_id", "profile_url", "scan_ok", *LABELS)
 
 

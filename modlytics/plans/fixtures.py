@@ -51,10 +51,6 @@ def raw_comments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def positioned_comments(spark: SparkSession, folder: str) -> DataFrame:
-    return dense_positions(raw_comments(spark, folder), "profile_url", "comment_id")
-
-
 def links(spark: SparkSession, folder: str) -> DataFrame:
     """The creator links of raw_comments with the hour of their last scan, and one without comments."""
     found = (
@@ -91,9 +87,11 @@ def stored_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stored:
         comments_path, creators_path = scratch_path(spark, "comments"), scratch_path(spark, "creators")
-        comments = write_table(
-            moderate(positioned_comments(spark, folder)), comments_path, "profile_url", "comment_id"
-        )
+        # Labelled where the texts are read, numbered after: the shuffle that numbers a creator's
+        # comments then does not decide how evenly the rules run.
+        labelled = moderate(raw_comments(spark, folder))
+        numbered = dense_positions(labelled, "profile_url", "comment_id", sizes_of=raw_comments(spark, folder))
+        comments = write_table(numbered, comments_path, "profile_url", "comment_id")
         write_table(write_scores(creators(spark, folder), safety_scores(comments)), creators_path)
         _stored[key] = (creators_path, comments_path)
     creators_path, comments_path = _stored[key]
@@ -168,7 +166,7 @@ def landed_threads(spark: SparkSession, folder: str) -> DataFrame:
     stands before them as a sibling; either way reading in pre-order gives back the turns in order.
     """
     turns = read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
-    grouped = turns.groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_THREAD).alias("part")).agg(
+    grouped = turns.groupBy("conv_id", F.expr(f"turn div {TURNS_PER_THREAD}").alias("part")).agg(
         F.reverse(F.array_sort(F.collect_list(F.struct("turn", "conv_id", "role", "text")))).alias("turns")
     )
 
@@ -210,7 +208,7 @@ def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
             ).alias("topLevelComment")
         ).alias("snippet")
     )
-    page = F.floor(F.col("doc_id") / COMMENTS_PER_PAGE)
+    page = F.expr(f"doc_id div {COMMENTS_PER_PAGE}")
     return (
         scan.groupBy("source", page.alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("rows"))

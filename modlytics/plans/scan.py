@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import display_name, handle_of, platform_of
 from modlytics.operators.analytics import safety_scores
 from modlytics.operators.moderation import moderate, normalise
-from modlytics.operators.tables import replace_comments, upsert_creators, write_scores
+from modlytics.operators.tables import replace_comments, upsert_creators
 from modlytics.sources.threads import thread_comments, thread_titles
 from modlytics.sources.videos import video_comments
 
@@ -37,19 +36,14 @@ def scan_comments(threads: DataFrame, pages: DataFrame, ingest_time: str) -> Dat
 
 def scanned_creators(links: DataFrame, titles: DataFrame, comments: DataFrame, ingest_time: str) -> DataFrame:
     """The creators whose scan brought comments, with name and score. An empty scan is not stored."""
-    scores = safety_scores(comments)
-    fresh = (
-        creator_names(links, titles)
-        .join(scores.select("profile_url"), "profile_url", "left_semi")
-        .select(
-            "profile_url",
-            "platform",
-            "creator_name",
-            F.lit(fixed.EMPTY_SCORE).alias("safety_score"),
-            F.to_timestamp(F.lit(ingest_time)).alias("last_scanned"),
-        )
+    scored = creator_names(links, titles).join(safety_scores(comments), "profile_url")
+    return scored.select(
+        "profile_url",
+        "platform",
+        "creator_name",
+        "safety_score",
+        F.to_timestamp(F.lit(ingest_time)).alias("last_scanned"),
     )
-    return write_scores(fresh, scores)
 
 
 def scan(threads: DataFrame, pages: DataFrame, ingest_time: str) -> tuple[DataFrame, DataFrame]:
@@ -63,4 +57,5 @@ def next_tables(
     creators: DataFrame, comments: DataFrame, new_creators: DataFrame, new_comments: DataFrame, ingest_time: str
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables after a scan. Write each to a new path, then point readers to it."""
-    return upsert_creators(creators, new_creators), replace_comments(comments, new_comments, ingest_time)
+    replaced = replace_comments(comments, new_comments, ingest_time, scanned_creators=new_creators)
+    return upsert_creators(creators, new_creators), replaced

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.payloads import whole_json
+from modlytics.functions.rules import bind
 from modlytics.functions.text import epoch_text
 from modlytics.session import shared_dir
 
@@ -19,6 +20,10 @@ TOP_NODES_PATH = "$[1].data.children"
 REPLY_NODES_PATH = "$.data.replies.data.children"
 
 
+# Nesting levels that are unfolded inside one pass over the payloads.
+LEVELS_PER_PASS = 8
+
+
 def _nodes(tree: Column, path: str) -> Column:
     return F.try_variant_get(tree, path, "array<variant>")
 
@@ -30,50 +35,56 @@ def thread_titles(payloads: DataFrame) -> DataFrame:
     return payloads.select("profile_url", title.alias("title"))
 
 
-def _level(trees: DataFrame) -> DataFrame:
-    """One row per comment node of each tree's ``nodes``, with its place among its siblings."""
-    return (
-        trees.select("profile_url", "path", F.posexplode("nodes").alias("place", "node"))
-        .select("profile_url", F.concat("path", F.array("place")).alias("path"), "node")
-        .filter(F.try_variant_get("node", "$.kind", "string") == COMMENT_KIND)
+def _comments_of(nodes: Column, parent: Column) -> Column:
+    """The comment nodes among siblings, each with its path: the parent's path and its own place."""
+
+    def read(node: Column, place: Column) -> Column:
+        return F.struct(
+            F.concat(parent, F.array(place)).alias("path"),
+            F.try_variant_get(node, "$.kind", "string").alias("kind"),
+            F.try_variant_get(node, "$.data.author", "string").alias("author"),
+            F.try_variant_get(node, "$.data.body", "string").alias("body"),
+            F.try_variant_get(node, "$.data.created_utc", "double").alias("created_utc"),
+            _nodes(node, REPLY_NODES_PATH).alias("replies"),
+        )
+
+    return F.filter(F.transform(nodes, read), lambda comment: comment["kind"] == COMMENT_KIND)
+
+
+def _levels(level: Column, below: int) -> Column:
+    """A level of comments and ``below`` more; only the last keeps its replies, as not yet read."""
+    if below == 0:
+        return level
+    done = lambda comments: F.transform(comments, lambda c: c.withField("replies", F.lit(None).cast("array<variant>")))
+    replies = lambda comments: F.flatten(
+        F.transform(F.filter(comments, lambda c: c["replies"].isNotNull()), lambda c: _comments_of(c["replies"], c["path"]))
     )
+    return bind(level, lambda comments: F.concat(done(comments), _levels(replies(comments), below - 1)))
 
 
 def thread_nodes(payloads: DataFrame) -> DataFrame:
     """All comment nodes of all threads: (profile_url, path, author, body, created_utc).
 
-    One pass per nesting level over all threads at once; what goes round is the number of levels, not
-    of rows. Each level is kept in the shared checkpoint folder, so a lost executor costs a re-read
-    and no level is parsed twice. Nodes that are removed still pass their replies on.
+    One pass over all threads unfolds LEVELS_PER_PASS nesting levels, and the few threads with deeper
+    replies take another. Each pass is kept in the shared checkpoint folder: a payload is parsed once,
+    and a lost executor costs a re-read. Nodes that are removed still pass their replies on.
     """
     shared_dir(payloads.sparkSession)
-    # Read node lists of this level; a payload that is not a list of two or more has none.
-    frontier = payloads.select(
+    # A payload that is not a list of two or more has no nodes.
+    unread = payloads.select(
         "profile_url",
         F.array().cast("array<int>").alias("path"),
         _nodes(whole_json(F.col("payload")), TOP_NODES_PATH).alias("nodes"),
     )
-    levels: list[DataFrame] = []
-    while True:
-        level = _level(frontier).checkpoint()
-        if level.isEmpty():
-            break
-        levels.append(
-            level.select(
-                "profile_url",
-                "path",
-                F.try_variant_get("node", "$.data.author", "string").alias("author"),
-                F.try_variant_get("node", "$.data.body", "string").alias("body"),
-                F.try_variant_get("node", "$.data.created_utc", "double").alias("created_utc"),
-            )
-        )
-        frontier = level.select("profile_url", "path", _nodes(F.col("node"), REPLY_NODES_PATH).alias("nodes"))
-    if not levels:
-        return level.select(
-            "profile_url", "path", *[F.lit(None).cast("string").alias(c) for c in ("author", "body")],
-            F.lit(None).cast("double").alias("created_utc"),
-        )
-    return reduce(DataFrame.unionByName, levels)
+    passes: list[DataFrame] = []
+    while not passes or not unread.isEmpty():
+        levels = _levels(_comments_of(F.col("nodes"), F.col("path")), LEVELS_PER_PASS - 1)
+        # The outer form, as the plain one has the optimizer test the size of the array beforehand,
+        # which would unfold each payload a second time.
+        read = unread.select("profile_url", F.inline_outer(levels)).filter(F.col("kind").isNotNull()).checkpoint()
+        passes.append(read.select("profile_url", "path", "author", "body", "created_utc"))
+        unread = read.filter(F.col("replies").isNotNull()).select("profile_url", "path", F.col("replies").alias("nodes"))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def thread_comments(payloads: DataFrame, ingest_time: str, rows_per_thread: int = fixed.THREAD_ROWS) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics import schemas
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.payloads import whole_json_as
+from modlytics.functions.rules import bind
 from modlytics.functions.text import iso_text, strip_tags
 
 
@@ -17,17 +18,21 @@ def video_titles(payloads: DataFrame) -> DataFrame:
     return payloads.select("profile_url", F.get(info["items"], 0)["snippet"]["title"].alias("title"))
 
 
+def _has_comment(item: Column) -> Column:
+    return item["snippet"]["topLevelComment"]["snippet"].isNotNull()
+
+
 def video_comments(payloads: DataFrame, ingest_time: str) -> DataFrame:
     """(profile_url, payload) -> (profile_url, pos, author, text, timestamp), top-level comments only.
 
     A page with an item that has no comment inside counts as failed as a whole and gives no rows.
     """
     page = whole_json_as(F.col("payload"), schemas.VIDEO_PAGE)
-    pages = payloads.select("profile_url", page["items"].alias("items"))
-    whole = pages.filter(
-        F.forall("items", lambda item: item["snippet"]["topLevelComment"]["snippet"].isNotNull())
-    )
-    return whole.select("profile_url", F.posexplode("items").alias("place", "item")).select(
+    # Checked inside the expression and exploded in the outer form: a filter on the parsed items, given or
+    # inferred, would be moved below the parsing and parse each page again.
+    whole = bind(page["items"], lambda items: F.when(F.forall(items, _has_comment), items))
+    items = payloads.select("profile_url", F.posexplode_outer(whole).alias("place", "item"))
+    return items.filter(F.col("place").isNotNull()).select(
         "profile_url",
         F.col("place").cast("bigint").alias("pos"),
         F.coalesce("item.snippet.topLevelComment.snippet.authorDisplayName", F.lit(fixed.ANONYMOUS)).alias("author"),

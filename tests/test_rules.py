@@ -1,0 +1,151 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from modlytics.functions import dictionary as fixed
+from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits
+from modlytics.operators.moderation import moderate, normalise
+
+FACE = "\U0001F600"
+
+GOLDEN = [
+    ("", "Proper", 0.0, ""),
+    ("   ", "Proper", 0.0, ""),
+    (None, "Proper", 0.0, ""),
+    ("audience", "Harmful", 0.8, "die"),
+    ("kill yourself", "Harmful", 0.9, "kill you, kill yourself"),
+    ("DIE, bomb! murder? shoot", "Harmful", 1.0, "die, murder, bomb, shoot"),
+    ("sucks", "Abusive", 0.66, "suck, sucks"),
+    ("STUPID", "Abusive", 0.68, "stupid, YELLING"),
+    ("AAAA you idiot", "Abusive", 0.68, "idiot, YELLING"),
+    ("bitchy", "Abusive", 0.58, "bitchy"),
+    (
+        "stupid idiot dumb ugly fat loser",
+        "Abusive",
+        0.95,
+        "stupid, idiot, dumb, ugly, fat, loser",
+    ),
+    (
+        "STUPID idiot dumb ugly fat loser",
+        "Abusive",
+        0.98,
+        "stupid, idiot, dumb, ugly, fat, loser, YELLING",
+    ),
+    ("crap", "Toxic", 0.51, "crap, crap"),
+    ("STOP this crap", "Toxic", 0.61, "crap, crap, YELLING"),
+    ("damn", "Toxic", 0.43, "damn"),
+    ("shit damn crap piss prick cock dick", "Toxic", 0.85, "shit, crap, dick, crap, piss, damn, prick, cock"),
+    ("SHIT damn crap piss prick cock dick", "Toxic", 0.9, "shit, crap, dick, crap, piss, damn, prick, cock, YELLING"),
+    ("check www.foo", "Spam", 0.5, "URL_LINK"),
+    ("great.us all", "Spam", 0.5, "URL_LINK"),
+    ("foo.comx", "Proper", 0.0, ""),
+    ("subscribe http://a.b", "Spam", 0.6, "subscribe, URL_LINK"),
+    ("HTTPS://EXAMPLE", "Spam", 0.5, "URL_LINK"),
+    ("subscribe giveaway invest profits dm me www.x", "Spam", 0.9, "subscribe, giveaway, dm me, invest, profits, URL_LINK"),
+    (FACE * 8, "Proper", 0.0, ""),
+    (FACE * 9, "Spam", 0.45, "Excessive Emojis"),
+    ("☺" * 4 + "✈" * 5, "Spam", 0.45, "Excessive Emojis"),
+    (FACE * 9 + " damn", "Toxic", 0.43, "damn"),
+    ("LOVELY day", "Proper", 0.0, ""),
+]
+
+
+def test_golden_rows(spark):
+    texts = spark.createDataFrame([(i, t[0]) for i, t in enumerate(GOLDEN)], "i INT, text STRING")
+    got = {r.i: (r.classification, r.severity_score, r.flagged_words) for r in moderate(texts).collect()}
+    for i, (text, *expected) in enumerate(GOLDEN):
+        assert got[i] == tuple(expected), text
+
+
+def test_severity_of_each_number_of_hits(spark):
+    expected = {
+        "harmful": [0.8, 0.9, 1.0, 1.0],
+        "abusive": [0.58, 0.66, 0.74, 0.82, 0.9, 0.95, 0.95],
+        "toxic": [0.43, 0.51, 0.59, 0.67, 0.75, 0.83, 0.85],
+        "spam": [0.5, 0.6, 0.7, 0.8, 0.9, 0.9],
+    }
+    words = {
+        "harmful": ["kys", "murder", "stab", "dox"],
+        "abusive": ["stupid", "idiot", "dumb", "ugly", "loser", "clown", "noob"],
+        "toxic": ["damn", "piss", "cock", "prick", "whore", "slut", "cunt"],
+        "spam": ["subscribe", "giveaway", "promocode", "invest", "profits", "dm me"],
+    }
+    data = [(k, n, " ".join(words[k][:n])) for k in words for n in range(1, len(words[k]) + 1)]
+    labelled = moderate(spark.createDataFrame(data, "kind STRING, n INT, text STRING"))
+    for r in labelled.collect():
+        assert r.severity_score == expected[r.kind][r.n - 1], r
+        assert r.classification.lower() == r.kind
+
+
+def test_lists_keep_their_sizes_and_the_double_entry():
+    sizes = [len(t) for t in (fixed.HARMFUL_TERMS, fixed.ABUSIVE_TERMS, fixed.TOXIC_TERMS, fixed.SPAM_TERMS)]
+    assert sizes == [28, 31, 23, 24]
+    assert fixed.TOXIC_TERMS.count("crap") == 2
+
+
+@pytest.mark.parametrize(
+    "terms", [fixed.HARMFUL_TERMS, fixed.ABUSIVE_TERMS, fixed.TOXIC_TERMS, fixed.SPAM_TERMS], ids=["h", "a", "t", "s"]
+)
+def test_each_term_is_found_inside_a_word_and_in_capitals(spark, terms):
+    texts = spark.createDataFrame([(t, f"xx{t.upper()}yy") for t in terms], "term STRING, text STRING")
+    found = texts.select("term", term_hits(F.lower("text"), terms).alias("hits")).collect()
+    assert all(r.term in r.hits for r in found)
+
+
+def _random_texts(n, seed=7):
+    pieces = [
+        *"aZ9_. :/-\n", "é", "É", "ß", "İ", "ı", "ſ", "K", " ", " ", "\x1c", "\x85", "٣", "²", "中", FACE, "✈",
+        "WORD", "COLE", "abc", "www.", "http://", "https://", "httpſ://", ".com", ".us", ".bız", ".site", "fat", "die", "crap",
+    ]
+    rng = random.Random(seed)
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
+def test_patterns_equal_the_word_boundary_forms(spark):
+    # The same conditions in a dialect that has Unicode word boundaries.
+    link = re.compile(rf"https?://\S+|www\.\S+|\b\w+\.(?:{'|'.join(fixed.LINK_DOMAINS)})\b", re.IGNORECASE)
+    yelling = re.compile(r"\b[A-Z]{4,}\b")
+    emoji = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in fixed.EMOJI_RANGES) + "]")
+    texts = _random_texts(6000)
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING").select(
+        "i",
+        F.lower("text").alias("low"),
+        has_link(F.lower("text")).alias("link"),
+        is_yelling(F.col("text")).alias("loud"),
+        emoji_count(F.col("text")).alias("emojis"),
+        has_emoji_flood(F.repeat("text", 3)).alias("flood"),
+    )
+    for r in df.collect():
+        text = texts[r.i]
+        assert r.link == bool(link.search(r.low)), repr(text)
+        assert r.loud == bool(yelling.search(text)), repr(text)
+        assert r.emojis == len(emoji.findall(text)), repr(text)
+        assert r.flood == (len(emoji.findall(text)) * 3 > 8), repr(text)
+
+
+def test_fixture_classes(spark, small):
+    folder = small.replace("0.001", "0.01")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = dict(moderate(documents).groupBy("classification").count().collect())
+    assert counts == {"Proper": 755, "Harmful": 133, "Abusive": 85, "Toxic": 18, "Spam": 9}
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    counts = dict(moderate(turns).groupBy("classification").count().collect())
+    assert counts == {"Proper": 476, "Harmful": 53, "Abusive": 5, "Toxic": 2}
+
+
+def test_invariants(spark, small):
+    labelled = moderate(spark.read.parquet(f"{small}/documents.parquet"))
+    odd = labelled.filter(
+        (F.col("severity_score") < 0)
+        | (F.col("severity_score") > 1)
+        | ((F.col("severity_score") == 0) != (F.col("classification") == "Proper"))
+        | ((F.size("triggers") == 0) != (F.col("classification") == "Proper"))
+    )
+    assert odd.count() == 0
+
+
+def test_normalise(spark):
+    raw = spark.createDataFrame([(None, None, None), ("a", "b", "c")], "author STRING, text STRING, timestamp STRING")
+    assert [tuple(r) for r in normalise(raw).collect()] == [("Anonymous", "", ""), ("a", "b", "c")]
