@@ -1,8 +1,7 @@
-"""Text -> class, severity and triggers, as one lazy expression.
+"""Text -> class, severity and triggers.
 
-The tiers are tried from the gravest down. A lower tier is an ELSE branch, so its
-terms are looked for only in texts that no higher tier took, and the lower-cased
-text and each list of hits are bound once.
+Tiers are tried from the gravest down, and the first with a hit decides. The search for list entries
+is the only part outside the JVM; all that follows from its result is built from Spark expressions.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
-
-NO_HITS = "array<string>"
+from modlytics.functions.hits import TermList, first_hits
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +22,18 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def term_hits(lowered: Column, terms: list[str]) -> Column:
     """The list entries contained in a lower-cased text, in list order, duplicates kept."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda term: F.contains(lowered, term))
+    return first_hits(TermList(tuple(terms)))(lowered)["hits"]
+
+
+def deciding_hits(lowered: Column) -> Column:
+    """Place of the first tier with a hit and its hits: harmful, abusive, toxic, then spam terms and links."""
+    search = first_hits(
+        TermList(tuple(fixed.HARMFUL_TERMS)),
+        TermList(tuple(fixed.ABUSIVE_TERMS)),
+        TermList(tuple(fixed.TOXIC_TERMS)),
+        TermList(tuple(fixed.SPAM_TERMS), fixed.URL_TAG, fixed.LINK_PATTERN),
+    )
+    return search(lowered)
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
@@ -50,11 +59,6 @@ def has_emoji_flood(text: Column) -> Column:
     return roomy & (emoji_count(text) > fixed.EMOJI_LIMIT)
 
 
-def tagged(hits: Column, tag: str, present: Column) -> Column:
-    """The hits with a rule tag at the end where the rule applies."""
-    return F.when(present, F.concat(hits, F.array(F.lit(tag)))).otherwise(hits)
-
-
 def severity(hits: Column, base: int, step: int, cap: int, yelling: Column | None = None, yelling_cap: int = 0) -> Column:
     """Severity from the number of hits. Integer hundredths keep it exact until the last division."""
     hundredths = F.least(F.lit(base) + F.lit(step) * F.size(hits), F.lit(cap))
@@ -69,45 +73,34 @@ def _verdict(label: str, score: Column, triggers: Column) -> Column:
     return F.struct(
         F.lit(label).alias("classification"),
         score.cast("double").alias("severity_score"),
-        triggers.cast(NO_HITS).alias("triggers"),
+        triggers.cast("array<string>").alias("triggers"),
     )
 
 
-def _first_tier(hits: Column, found: Callable[[Column], Column], otherwise: Column) -> Column:
-    return bind(hits, lambda h: F.when(F.size(h) > 0, found(h)).otherwise(otherwise))
-
+def verdict(text: Column, found: Column) -> Column:
+    """Struct of classification, severity_score and triggers from a text and its deciding hits.
 
-def verdict(text: Column) -> Column:
-    """Struct of classification, severity_score and triggers for a text; null counts as empty."""
-    return bind(F.coalesce(text, F.lit("")), lambda t: bind(F.lower(t), lambda low: _tiers(t, low)))
+    Yelling and emoji are looked at only in the branches that need them.
+    """
+    place, hits = found["place"], found["hits"]
 
+    def shouted(label: str, scale: dict[str, int]) -> Column:
+        def tagged(loud: Column) -> Column:
+            marked = F.when(loud, F.concat(hits, F.array(F.lit(fixed.YELLING_TAG)))).otherwise(hits)
+            return _verdict(label, severity(hits, yelling=loud, **scale), marked)
 
-def _tiers(text: Column, low: Column) -> Column:
-    yelling = is_yelling(text)
+        return bind(is_yelling(text), tagged)
 
-    def shouted(label: str, scale: dict[str, int]) -> Callable[[Column], Column]:
-        return lambda hits: bind(
-            yelling,
-            lambda loud: _verdict(
-                label, severity(hits, yelling=loud, **scale), tagged(hits, fixed.YELLING_TAG, loud)
-            ),
+    return (
+        F.when(place == 0, _verdict(fixed.HARMFUL, severity(hits, **fixed.HARMFUL_SEVERITY), hits))
+        .when(place == 1, shouted(fixed.ABUSIVE, fixed.ABUSIVE_SEVERITY))
+        .when(place == 2, shouted(fixed.TOXIC, fixed.TOXIC_SEVERITY))
+        .when(place == 3, _verdict(fixed.SPAM, severity(hits, **fixed.SPAM_SEVERITY), hits))
+        .when(
+            has_emoji_flood(text),
+            _verdict(fixed.SPAM, F.lit(fixed.EMOJI_SEVERITY) / 100.0, F.array(F.lit(fixed.EMOJI_TAG))),
         )
-
-    proper = F.when(
-        has_emoji_flood(text),
-        _verdict(fixed.SPAM, F.lit(fixed.EMOJI_SEVERITY) / 100.0, F.array(F.lit(fixed.EMOJI_TAG))),
-    ).otherwise(_verdict(fixed.PROPER, F.lit(0.0), F.array()))
-    spam = _first_tier(
-        tagged(term_hits(low, fixed.SPAM_TERMS), fixed.URL_TAG, has_link(low)),
-        lambda hits: _verdict(fixed.SPAM, severity(hits, **fixed.SPAM_SEVERITY), hits),
-        proper,
-    )
-    toxic = _first_tier(term_hits(low, fixed.TOXIC_TERMS), shouted(fixed.TOXIC, fixed.TOXIC_SEVERITY), spam)
-    abusive = _first_tier(term_hits(low, fixed.ABUSIVE_TERMS), shouted(fixed.ABUSIVE, fixed.ABUSIVE_SEVERITY), toxic)
-    return _first_tier(
-        term_hits(low, fixed.HARMFUL_TERMS),
-        lambda hits: _verdict(fixed.HARMFUL, severity(hits, **fixed.HARMFUL_SEVERITY), hits),
-        abusive,
+        .otherwise(_verdict(fixed.PROPER, F.lit(0.0), F.array()))
     )
 
 

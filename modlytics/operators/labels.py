@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.payloads import whole_json
-from modlytics.functions.rules import bind, verdict
-from modlytics.operators.moderation import with_verdict
+from modlytics.functions.rules import bind
+from modlytics.operators.moderation import moderate
 
 BATCH = ["profile_url", "batch_id"]
 ITEM = [*BATCH, "id"]
@@ -125,15 +125,13 @@ def hybrid_labels(batched: DataFrame, parsed: DataFrame) -> DataFrame:
         "label", F.try_element_at(F.filter("labels", lambda x: x["id"] == F.col("id")), F.lit(-1))
     )
     scan_ok = F.coalesce("scan_ok", F.lit(False))
-    flagged = F.coalesce(F.col("label.flagged_words"), F.lit(""))
-    outside = F.struct(
-        *_with_defaults(F.col("label.classification"), F.col("label.severity_score"), flagged)[:2],
-        F.when(flagged == "", F.array().cast("array<string>"))
-        .otherwise(F.transform(F.split(flagged, ","), lambda t: F.trim(t)))
-        .alias("triggers"),
+    given = _with_defaults(
+        F.col("label.classification"), F.col("label.severity_score"), F.col("label.flagged_words")
     )
-    label = F.when(scan_ok, outside).otherwise(verdict(F.col("text")))
-    labelled = with_verdict(joined.withColumns({"scan_ok": scan_ok, "given": flagged}), label)
+    listed = F.when(F.col("_flagged") != "", F.transform(F.split("_flagged", ","), lambda t: F.trim(t)))
+    outside = F.struct(*given[:2], F.coalesce(listed, F.array().cast("array<string>")).alias("triggers"))
+    known = joined.withColumns({"scan_ok": scan_ok, "_flagged": given[2]})
+    labelled = moderate(known, F.when(F.col("scan_ok"), outside))
     return labelled.withColumn(
-        "flagged_words", F.when(F.col("scan_ok"), F.col("given")).otherwise(F.col("flagged_words"))
-    ).drop("labels", "label", "given")
+        "flagged_words", F.when(F.col("scan_ok"), F.col("_flagged")).otherwise(F.col("flagged_words"))
+    ).drop("labels", "label", "_flagged")

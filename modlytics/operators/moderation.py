@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
-from modlytics.functions.rules import trigger_text, verdict
+from modlytics.functions.rules import deciding_hits, trigger_text, verdict
 
 LABEL_COLUMNS = ["classification", "severity_score", "triggers", "flagged_words"]
 
@@ -22,16 +22,23 @@ def normalise(comments: DataFrame) -> DataFrame:
     )
 
 
-def with_verdict(comments: DataFrame, label: Column) -> DataFrame:
-    """Add the fields of a verdict struct as columns.
-
-    The struct comes out of ``inline``. Filters on the new columns then stay above it, where a plain
-    projection would have the optimizer copy the whole rule expression into the filter and run it
-    again for each column that is filtered on.
-    """
-    return comments.select("*", F.inline(F.array(label))).withColumn("flagged_words", trigger_text(F.col("triggers")))
+def moderate(comments: DataFrame, given: Column | None = None) -> DataFrame:
+    """Class, severity, triggers and trigger string of each comment; a null text counts as empty.
 
+    Row by row, without a shuffle, also on a stream. ``given`` is a struct of classification,
+    severity_score and triggers that goes before the rules where it is not null; the rules then read
+    nothing of the text.
 
-def moderate(comments: DataFrame) -> DataFrame:
-    """Class, severity and triggers of each comment. Row by row, without a shuffle, also on a stream."""
-    return with_verdict(comments, verdict(F.col("text")))
+    The labels come out of ``inline``. Filters on them then stay above it, where a plain projection
+    would have the optimizer copy the search into the filter and run it again.
+    """
+    text = F.coalesce("text", F.lit(""))
+    searched = text if given is None else F.when(given.isNull(), text).otherwise("")
+    found = comments.withColumn("_found", deciding_hits(F.lower(searched)))
+    by_rules = verdict(text, F.col("_found"))
+    label = by_rules if given is None else F.coalesce(given, by_rules)
+    return (
+        found.select("*", F.inline(F.array(label)))
+        .drop("_found")
+        .withColumn("flagged_words", trigger_text(F.col("triggers")))
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modlytics import schemas
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import platform_of
-from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
+from modlytics.functions.rules import bind, emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
 from modlytics.functions.text import strip_tags
 from modlytics.operators import analytics, labels, tables, views
 from modlytics.operators.moderation import moderate, normalise
@@ -365,7 +365,7 @@ QUERIES: dict[str, Query] = {
     "hits_abusive": _hits(fixed.ABUSIVE_TERMS),
     "hits_toxic": _hits(fixed.TOXIC_TERMS),
     "hits_spam": _hits(fixed.SPAM_TERMS),
-    "detect_url": _text_test("has_link", lambda text: has_link(F.lower(text))),
+    "detect_url": _text_test("has_link", lambda text: bind(F.lower(text), has_link)),
     "detect_yelling": _text_test("is_yelling", is_yelling),
     "detect_emoji": detect_emoji,
     "classify_comments": classify_comments,
