@@ -115,4 +115,6 @@ LINK_PATTERN = (
 LINK_HINT = rf"[:.w](?://|ww\.|{_ANY_DOMAIN})"
 YELLING_HINT = "[A-Z]{4}"
 EMOJI_PATTERN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in EMOJI_RANGES) + "]"
+# More emoji than the limit, whatever stands between them.
+EMOJI_FLOOD_PATTERN = f"(?:{EMOJI_PATTERN}{EMOJI_PATTERN.replace('[', '[^')}*){{{EMOJI_LIMIT + 1}}}"
 TAG_PATTERN = r"<[^<]+?>"

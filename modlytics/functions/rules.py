@@ -26,12 +26,16 @@ def term_hits(lowered: Column, terms: list[str]) -> Column:
 
 
 def deciding_hits(lowered: Column) -> Column:
-    """Place of the first tier with a hit and its hits: harmful, abusive, toxic, then spam terms and links."""
+    """Place of the first tier with a hit and its hits: harmful, abusive, toxic, spam terms and links, emoji.
+
+    Lower case leaves emoji as they are, so one text serves all tiers.
+    """
     search = first_hits(
         TermList(tuple(fixed.HARMFUL_TERMS)),
         TermList(tuple(fixed.ABUSIVE_TERMS)),
         TermList(tuple(fixed.TOXIC_TERMS)),
         TermList(tuple(fixed.SPAM_TERMS), fixed.URL_TAG, fixed.LINK_PATTERN),
+        TermList((), fixed.EMOJI_TAG, fixed.EMOJI_FLOOD_PATTERN),
     )
     return search(lowered)
 
@@ -80,7 +84,7 @@ def _verdict(label: str, score: Column, triggers: Column) -> Column:
 def verdict(text: Column, found: Column) -> Column:
     """Struct of classification, severity_score and triggers from a text and its deciding hits.
 
-    Yelling and emoji are looked at only in the branches that need them.
+    Yelling is looked at only in the branches that need it.
     """
     place, hits = found["place"], found["hits"]
 
@@ -96,10 +100,7 @@ def verdict(text: Column, found: Column) -> Column:
         .when(place == 1, shouted(fixed.ABUSIVE, fixed.ABUSIVE_SEVERITY))
         .when(place == 2, shouted(fixed.TOXIC, fixed.TOXIC_SEVERITY))
         .when(place == 3, _verdict(fixed.SPAM, severity(hits, **fixed.SPAM_SEVERITY), hits))
-        .when(
-            has_emoji_flood(text),
-            _verdict(fixed.SPAM, F.lit(fixed.EMOJI_SEVERITY) / 100.0, F.array(F.lit(fixed.EMOJI_TAG))),
-        )
+        .when(place == 4, _verdict(fixed.SPAM, F.lit(fixed.EMOJI_SEVERITY) / 100.0, hits))
         .otherwise(_verdict(fixed.PROPER, F.lit(0.0), F.array()))
     )
 
