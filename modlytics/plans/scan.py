@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import display_name, handle_of, platform_of
 from modlytics.operators.analytics import safety_scores
+from modlytics.operators.labels import cut_batches, hybrid_labels, label_payloads
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.operators.tables import replace_comments, upsert_creators
 from modlytics.sources.threads import thread_comments, thread_titles
-from modlytics.sources.videos import video_comments
+from modlytics.sources.videos import video_comments, video_titles
 
 
 def with_link_parts(links: DataFrame) -> DataFrame:
@@ -28,10 +30,24 @@ def creator_names(links: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
-def scan_comments(threads: DataFrame, pages: DataFrame, ingest_time: str) -> DataFrame:
-    """Comments of landed threads and video pages, labelled by the rules."""
+def raw_comments(threads: DataFrame, pages: DataFrame, ingest_time: str) -> DataFrame:
+    """Comments of landed threads and video pages. The key is (profile_url, pos), of which comment_id is a hash."""
     landed = thread_comments(threads, ingest_time).unionByName(video_comments(pages, ingest_time))
-    return moderate(normalise(landed.withColumn("comment_id", F.xxhash64("profile_url", "pos"))))
+    return normalise(landed.withColumn("comment_id", F.xxhash64("profile_url", "pos")))
+
+
+def label_requests(comments: DataFrame, rows_per_batch: int = fixed.LABEL_BATCH_ROWS) -> DataFrame:
+    """What an outside labeller is to be sent, batch by batch."""
+    return label_payloads(cut_batches(comments, rows_per_batch))
+
+
+def label(
+    comments: DataFrame, parsed: DataFrame | None = None, rows_per_batch: int = fixed.LABEL_BATCH_ROWS
+) -> DataFrame:
+    """Comments labelled by the rules, or by the parsed answers of a labeller with the rules as fallback."""
+    if parsed is None:
+        return moderate(comments)
+    return hybrid_labels(cut_batches(comments, rows_per_batch), parsed).drop("batch_id", "id", "scan_ok")
 
 
 def scanned_creators(links: DataFrame, titles: DataFrame, comments: DataFrame, ingest_time: str) -> DataFrame:
@@ -46,11 +62,20 @@ def scanned_creators(links: DataFrame, titles: DataFrame, comments: DataFrame, i
     )
 
 
-def scan(threads: DataFrame, pages: DataFrame, ingest_time: str) -> tuple[DataFrame, DataFrame]:
+def scan(
+    threads: DataFrame,
+    pages: DataFrame,
+    ingest_time: str,
+    video_details: DataFrame | None = None,
+    parsed_labels: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Creators and comments of one scan of landed threads and pages."""
-    comments = scan_comments(threads, pages, ingest_time)
+    comments = label(raw_comments(threads, pages, ingest_time), parsed_labels)
+    titles = thread_titles(threads)
+    if video_details is not None:
+        titles = titles.unionByName(video_titles(video_details))
     links = threads.select("profile_url").union(pages.select("profile_url")).distinct()
-    return scanned_creators(links, thread_titles(threads), comments, ingest_time), comments
+    return scanned_creators(links, titles, comments, ingest_time), comments
 
 
 def next_tables(

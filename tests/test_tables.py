@@ -1,11 +1,13 @@
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
 from modlytics import schemas
+from modlytics.operators.labels import parse_label_payloads
 from modlytics.operators.positions import dense_positions
 from modlytics.operators.tables import delete_creators, replace_comments, upsert_creators, write_scores
-from modlytics.plans.scan import next_tables, scan
+from modlytics.plans.scan import label_requests, next_tables, raw_comments, scan
 from modlytics.plans.fixtures import INGEST_TIME, landed_pages, landed_threads
 from modlytics.session import scratch_path
 from modlytics.sources.tables import write_table
@@ -80,6 +82,28 @@ def test_positions_of_a_hot_group(spark):
     assert len(got) == 3000 and (got.g == "hot").mean() > 0.6
 
 
+def test_scan_with_titles_and_outside_labels(spark):
+    threads = spark.createDataFrame([], schemas.LANDED_PAYLOAD)
+    item = {"snippet": {"topLevelComment": {"snippet": {"textDisplay": "damn <b>fine</b>"}}}}
+    urls = ["https://youtu.be/one", "https://youtu.be/two"]
+    pages = spark.createDataFrame([(u, json.dumps({"items": [item] * 60})) for u in urls], schemas.LANDED_PAYLOAD)
+    details = spark.createDataFrame(
+        [(urls[0], json.dumps({"items": [{"snippet": {"title": "A film"}}]}))], schemas.LANDED_PAYLOAD
+    )
+    sent = label_requests(raw_comments(threads, pages, "now")).collect()
+    assert sorted((r.profile_url, r.batch_id, r["items"]) for r in sent) == [
+        (u, b, n) for u in urls for b, n in ((0, 50), (1, 10))
+    ]
+    # The labeller finds nothing wrong, but its second answer on one creator is broken.
+    answers = [(r.profile_url, r.batch_id, "[" if (r.profile_url, r.batch_id) == (urls[1], 1) else "[]") for r in sent]
+    landed = spark.createDataFrame(answers, "profile_url STRING, batch_id BIGINT, payload STRING")
+    creators_found, comments_found = scan(threads, pages, INGEST_TIME, details, parse_label_payloads(landed))
+    got = {r.profile_url: (r.platform, r.creator_name, r.safety_score) for r in creators_found.collect()}
+    assert got == {urls[0]: ("YouTube", "A film", 100.0), urls[1]: ("YouTube", "YouTube Video: two", 0.0)}
+    classes = comments_found.groupBy("profile_url", "classification").count().collect()
+    assert sorted(tuple(r) for r in classes) == [(urls[0], "Proper", 60), (urls[1], "Toxic", 60)]
+
+
 def test_scan_and_next_tables(spark, small, rows):
     threads, pages = landed_threads(spark, small), landed_pages(spark, small)
     new_creators, new_comments = scan(threads, pages, INGEST_TIME)
