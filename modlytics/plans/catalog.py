@@ -106,7 +106,10 @@ def youtube_flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_links(spark: SparkSession, folder: str) -> DataFrame:
     creators, _ = scan(
-        fixtures.landed_threads(spark, folder), fixtures.landed_pages(spark, folder), fixtures.INGEST_TIME
+        fixtures.landed_threads(spark, folder),
+        fixtures.landed_pages(spark, folder),
+        fixtures.INGEST_TIME,
+        scratch_path(spark, "scan"),
     )
     return creators.withColumn("last_scanned", F.date_format("last_scanned", fixed.TIMESTAMP_FORMAT))
 

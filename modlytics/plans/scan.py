@@ -11,6 +11,7 @@ from modlytics.operators.analytics import safety_scores
 from modlytics.operators.labels import cut_batches, hybrid_labels, label_payloads
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.operators.tables import replace_comments, upsert_creators
+from modlytics.sources.tables import write_table
 from modlytics.sources.threads import thread_comments, thread_titles
 from modlytics.sources.videos import video_comments, video_titles
 
@@ -66,11 +67,17 @@ def scan(
     threads: DataFrame,
     pages: DataFrame,
     ingest_time: str,
+    comments_path: str,
     video_details: DataFrame | None = None,
     parsed_labels: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Creators and comments of one scan of landed threads and pages."""
-    comments = label(raw_comments(threads, pages, ingest_time), parsed_labels)
+    """Creators and comments of one scan of landed threads and pages.
+
+    The labelled comments are written to ``comments_path``, a new path in shared storage. Scores and
+    whatever the caller does with the comments read them from there, so texts are labelled once.
+    """
+    labelled = label(raw_comments(threads, pages, ingest_time), parsed_labels)
+    comments = write_table(labelled, comments_path, "profile_url", "pos")
     titles = thread_titles(threads)
     if video_details is not None:
         titles = titles.unionByName(video_titles(video_details))

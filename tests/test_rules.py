@@ -149,3 +149,33 @@ def test_invariants(spark, small):
 def test_normalise(spark):
     raw = spark.createDataFrame([(None, None, None), ("a", "b", "c")], "author STRING, text STRING, timestamp STRING")
     assert [tuple(r) for r in normalise(raw).collect()] == [("Anonymous", "", ""), ("a", "b", "c")]
+
+
+def test_search_needs_no_package_on_executors(tmp_path):
+    """The search function unpickles and runs in a Python that cannot import this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from modlytics.functions import hits
+
+    caught = []
+    original, hits.F.arrow_udf = hits.F.arrow_udf, lambda f, schema: caught.append(f) or f
+    try:
+        hits.first_hits(hits.TermList(("die", "bomb")), hits.TermList(("fat",), "TAG", "x+"))
+    finally:
+        hits.F.arrow_udf = original
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(caught[0]))
+    code = (
+        "import pickle, pyarrow as pa; f = pickle.load(open('f.pkl', 'rb'));"
+        "print(f(pa.array(['bomb die', None, 'xx fat', 'ok', ''])).to_pylist())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True)
+    assert eval(done.stdout) == [
+        {"place": 0, "hits": ["die", "bomb"]},
+        {"place": -1, "hits": []},
+        {"place": 1, "hits": ["fat", "TAG"]},
+        {"place": -1, "hits": []},
+        {"place": -1, "hits": []},
+    ], done.stderr

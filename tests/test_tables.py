@@ -97,7 +97,8 @@ def test_scan_with_titles_and_outside_labels(spark):
     # The labeller finds nothing wrong, but its second answer on one creator is broken.
     answers = [(r.profile_url, r.batch_id, "[" if (r.profile_url, r.batch_id) == (urls[1], 1) else "[]") for r in sent]
     landed = spark.createDataFrame(answers, "profile_url STRING, batch_id BIGINT, payload STRING")
-    creators_found, comments_found = scan(threads, pages, INGEST_TIME, details, parse_label_payloads(landed))
+    path = scratch_path(spark, "scan")
+    creators_found, comments_found = scan(threads, pages, INGEST_TIME, path, details, parse_label_payloads(landed))
     got = {r.profile_url: (r.platform, r.creator_name, r.safety_score) for r in creators_found.collect()}
     assert got == {urls[0]: ("YouTube", "A film", 100.0), urls[1]: ("YouTube", "YouTube Video: two", 0.0)}
     classes = comments_found.groupBy("profile_url", "classification").count().collect()
@@ -106,8 +107,7 @@ def test_scan_with_titles_and_outside_labels(spark):
 
 def test_scan_and_next_tables(spark, small, rows):
     threads, pages = landed_threads(spark, small), landed_pages(spark, small)
-    new_creators, new_comments = scan(threads, pages, INGEST_TIME)
-    found = write_table(new_comments, scratch_path(spark, "scan"), "profile_url")
+    new_creators, found = scan(threads, pages, INGEST_TIME, scratch_path(spark, "scan"))
     known = write_table(new_creators, scratch_path(spark, "scan-creators"))
     assert known.count() == found.select("profile_url").distinct().count()
     assert found.select("comment_id").distinct().count() == found.count()
