@@ -23,7 +23,6 @@ FRAGMENT = r"#.*$"
 SCHEME_AND_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/]*"
 LAST_PARAMETERS = r";[^/]*$"
 NO_NAME = "creator"
-BLANKS = " \t\n\r\x0b\x0c"
 
 
 def platform_of(url: Column) -> Column:
@@ -41,7 +40,7 @@ def platform_of(url: Column) -> Column:
 
 
 def without_query(url: Column) -> Column:
-    return F.btrim(F.substring_index(url, "?", 1), F.lit(BLANKS))
+    return F.btrim(F.substring_index(url, "?", 1), F.lit(fixed.BLANKS))
 
 
 def _found(url: Column, pattern: str, prefix: str = "") -> Column:

@@ -30,12 +30,15 @@ def escape_markup(text: Column) -> Column:
     return text
 
 
+def split_triggers(flagged: Column) -> Column:
+    """A trigger string as an array, without empty parts."""
+    parts = F.transform(F.split(flagged, ","), lambda part: F.btrim(part, F.lit(fixed.BLANKS)))
+    return F.filter(parts, lambda part: part != "")
+
+
 def highlight_tokens(flagged: Column) -> Column:
     """Terms of a trigger string, longest first, rule tags left out."""
-    tokens = F.filter(
-        F.transform(F.split(flagged, ","), lambda token: F.trim(token)),
-        lambda token: (token != "") & ~token.isin(fixed.SYSTEM_TAGS),
-    )
+    tokens = F.filter(split_triggers(flagged), lambda token: ~token.isin(fixed.SYSTEM_TAGS))
     return F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.payloads import whole_json
 from modlytics.functions.rules import bind
+from modlytics.functions.text import split_triggers
 from modlytics.operators.moderation import moderate
 
 BATCH = ["profile_url", "batch_id"]
@@ -128,8 +129,7 @@ def hybrid_labels(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     given = _with_defaults(
         F.col("label.classification"), F.col("label.severity_score"), F.col("label.flagged_words")
     )
-    listed = F.when(F.col("_flagged") != "", F.transform(F.split("_flagged", ","), lambda t: F.trim(t)))
-    outside = F.struct(*given[:2], F.coalesce(listed, F.array().cast("array<string>")).alias("triggers"))
+    outside = F.struct(*given[:2], split_triggers(F.col("_flagged")).alias("triggers"))
     known = joined.withColumns({"scan_ok": scan_ok, "_flagged": given[2]})
     labelled = moderate(known, F.when(F.col("scan_ok"), outside))
     return labelled.withColumn(
