@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, mixing, simhash
+from modlytics.llm import exact, mixing, quality, simhash
 from modlytics.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,13 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder, "doc_id", "source", "text"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op9_quality": op9_quality,
 }
