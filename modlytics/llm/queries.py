@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, mixing, quality, simhash
+from modlytics.llm import exact, licenses, mixing, quality, simhash
 from modlytics.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, folder, "doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder, "doc_id", "text"))
 
@@ -32,6 +36,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op9_quality": op9_quality,

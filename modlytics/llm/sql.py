@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlytics.llm import mixing
+from modlytics.llm import licenses, mixing
 
 EXACT = r"""
 with signed as (
@@ -49,4 +49,37 @@ select doc_id, size, source_size, target,
 from ended
 """
 
-ORACLE: dict[str, str] = {"op4_exact_dedup": EXACT, "op5_mixing": MIXING}
+
+
+def _licenses() -> str:
+    strings = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    rows = ", ".join(
+        f"('{t.label}', {t.base}, {t.key_at}, {strings(t.words)}, {strings(t.phrase)})" for t in licenses.TEMPLATES
+    )
+    return rf"""
+with templates(label, base, key_at, words, phrase) as (values {rows}),
+worded as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') as words
+    from documents
+), standing as (
+    select doc_id, d.words as held, t.*, unnest(list_filter(range(len(d.words)),
+        lambda i: d.words[i + 1 : i + len(t.phrase)] = t.phrase)) as spot
+    from worded d, templates t where list_has_all(d.words, t.phrase)
+), places as (
+    select doc_id, label, base, spot, len(list_filter(range(len(words)),
+        lambda k: spot - key_at + k >= 0 and coalesce(held[spot - key_at + k + 1] = words[k + 1], false))) / len(words) as score
+    from standing
+), found as (
+    select doc_id, count(*) filter (base) as n_base, min(spot) filter (base) as first_word, max(spot) filter (base) as last_word,
+        string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+        string_agg(distinct label, ',' order by label) as labels, max(score) as score
+    from places group by doc_id
+)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+    coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score
+from worded left join found using (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op2_licenses": _licenses(), "op4_exact_dedup": EXACT, "op5_mixing": MIXING}
