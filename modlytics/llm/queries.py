@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, licenses, mixing, quality, simhash
+from modlytics.llm import exact, licenses, mixing, pii, quality, simhash, warc
 from modlytics.llm.common import documents
+from modlytics.session import scratch_path
+from modlytics.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,27 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder, "doc_id", "source", "text"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(read_table(spark, folder, "pages", "page_id", "url", "html"), path)
+    columns = "page_id BIGINT, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to BIGINT"
+    return warc.read_archive(spark, path, columns)
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, folder, "doc_id", "text"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    base = F.sha2(joined(of(*pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, joined(F.col("spans")).alias("spans"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder, "doc_id", "text", "lang"))
 
@@ -39,5 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_licenses": op2_licenses,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }

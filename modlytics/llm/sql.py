@@ -82,4 +82,20 @@ from worded left join found using (doc_id)
 """
 
 
-ORACLE: dict[str, str] = {"op2_licenses": _licenses(), "op4_exact_dedup": EXACT, "op5_mixing": MIXING}
+# The other engine has no base 32, so the digest's five-bit groups are looked up one by one.
+WARC = r"""
+with sized as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hexed from pages
+), digested as (
+    select page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || hexed[1 + i // 4 * 5 : i // 4 * 5 + 5])::int >> (15 - i % 4 * 5)) & 31)]),
+        'string_agg', '') as payload_digest
+    from sized
+)
+select page_id, payload_bytes, payload_digest,
+    case when page_id = max(page_id) over same then 'response' else 'revisit' end as record_type,
+    case when page_id <> max(page_id) over same then max(page_id) over same end as refers_to
+from digested window same as (partition by payload_digest)
+"""
+
+ORACLE: dict[str, str] = {"op2_licenses": _licenses(), "op4_exact_dedup": EXACT, "op5_mixing": MIXING, "op7_warc": WARC}
