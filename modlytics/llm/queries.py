@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, licenses, mixing, pii, quality, simhash, warc
+from modlytics.llm import exact, licenses, mixing, pii, quality, simhash, toxicity, warc
 from modlytics.llm.common import documents
 from modlytics.session import scratch_path
 from modlytics.sources.tables import read_table
@@ -57,6 +57,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder, "doc_id", "text", "lang"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read_table(spark, folder, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(documents(spark, folder, "doc_id", "text"), labels)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -65,4 +70,5 @@ QUERIES: dict[str, Query] = {
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
