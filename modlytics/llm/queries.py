@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, licenses, mixing, pii, quality, simhash, toxicity, warc
+from modlytics.llm import exact, html, licenses, mixing, pii, quality, simhash, toxicity, warc
 from modlytics.llm.common import documents
 from modlytics.session import scratch_path
 from modlytics.sources.tables import read_table
@@ -32,6 +32,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder, "doc_id", "source", "text"))
 
 
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extracted(read_table(spark, folder, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(read_table(spark, folder, "pages", "page_id", "url", "html"), path)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_licenses": op2_licenses,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_html": op6_html,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
