@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, html, licenses, mixing, pii, quality, simhash, toxicity, warc
+from modlytics.llm import exact, html, licenses, mixing, pieces, pii, quality, simhash, toxicity, warc
 from modlytics.llm.common import documents
 from modlytics.session import scratch_path
 from modlytics.sources.tables import read_table
@@ -24,6 +24,11 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_labels(documents(spark, folder, "doc_id", "text"))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    sampled = pieces.segmentations(documents(spark, folder, "doc_id", "text"), ["doc_id"])
+    return sampled.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder, "doc_id", "text"))
 
@@ -70,6 +75,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_html": op6_html,
