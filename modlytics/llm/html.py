@@ -80,30 +80,43 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
+_TEXT = (
+    "<p>Running text of a page, a sentence or two that say something about it.</p><p>A longer paragraph, as most of a page's text is made of such, with"
+    " more than one sentence in it. It goes on.</p><p>Short text.</p><p>Another paragraph of the text, with <a>a link</a> in it that leads elsewhere.</p>"
+)
+
 # Labelled by hand: ``data-content`` marks the elements that are the text, with all below them but those in a "0".
 SKELETONS = [
     "<body><header class=header><a href=#>Home</a><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav></header><aside class=sidebar><h3>Related</h3><ul>"
     "<li><a>Some other story</a></li><li><a>And another</a></li></ul></aside><article data-content><h1>A title</h1><p>A first paragraph with enough words to be"
-    " read as running text.</p><p>A second one, <a>with a link</a>, that also goes on for a while.</p><ul><li>A point</li><li>Another point</li></ul></article>"
+    " read as running text.</p><p>A second one, <a>with a link</a>, that also goes on for a while.</p>" + _TEXT + "<ul><li>A point</li><li>Another point</li></ul></article>"
     "<section class=comments><h2>Comments</h2><div class=comment><p>I read this with interest and do not agree at all.</p></div><div class=comment>"
     "<p>Thanks for sharing this long and fine story with us.</p></div></section><footer><p>Copyright and other small print of the site.</p></footer></body>",
     "<body><div class='cookie notice'><p>We use cookies so that this site works as it should.</p><button>Accept</button></div><div id=menu class=menu><a>Home</a>"
     " <a>News</a></div><div id=main><div class='content post' data-content><h1>A title</h1><div>Text in a division, as long as a paragraph would be, for a"
-    " reader.</div><blockquote><p>A quotation that belongs to the text and is as long.</p></blockquote><pre>some code of the text</pre></div><div class=comments>"
+    " reader.</div><blockquote><p>A quotation that belongs to the text and is as long.</p></blockquote>" + _TEXT + "<pre>some code of the text</pre></div><div class=comments>"
     "<ul><li class=comment><p>A reader comment, which may be as long as the text above it.</p></li></ul></div><form class=newsletter><label>Your address</label>"
     "<p>Sign up for our letter and never miss a thing.</p><button>Send</button></form></div><div class=sidebar><div class='widget ad'><p>Buy this thing now,"
     " it is cheap and good.</p></div></div><div class=footer>Imprint <a>Contact</a></div></body>",
-    "<body><nav><a>Start</a> <a>Shop</a></nav><div class=ad>An advert of a few words only.</div><main data-content><h1>A title</h1><p>Running text of the page, a"
-    " sentence or two.</p><table><tr><th>Name</th><td>Value of a table in the text</td></tr></table><aside data-content=0><p>Read also what others wrote about"
+    "<body><nav><a>Start</a> <a>Shop</a></nav><div class=ad>An advert of a few words only.</div><main data-content><h1>A title</h1>" + _TEXT + "<table><tr><th>Name</th><td>Value of a table in the text</td></tr></table><aside data-content=0><p>Read also what others wrote about"
     " it.</p></aside><form data-content=0><label>Vote</label><select><option>Yes</option></select></form><div class=ad data-content=0><p>Another advert, with"
     " a few more words in it.</p></div><p>More text after it.</p></main><div class='share social'><a>Share</a></div><footer>All rights reserved by us.</footer></body>",
-    "<div data-content><p>A page that is nothing but a paragraph or two.</p><p>Short.</p></div>",
-    "<body data-content><h1>A title</h1><p>A page without any furniture at all, only text.</p></body>",
-    "<body><header><h1>Name of the site</h1><p>What the site is about in a line.</p></header><section data-content><h2>A title</h2><p>Running text of the page, a"
-    " sentence or two.</p><h3>Part</h3><p>Another paragraph with more of the text in it.</p><ol><li>First of all, an item.</li></ol></section><aside>"
+    "<div data-content>" + _TEXT + "</div>",
+    "<p data-content>Nothing but a word.",
+    "<div data-content>Text straight in a division, with no paragraph around it at all.</div>",
+    "<body><div><div data-content>" + _TEXT + _TEXT + "</div></div></body>",
+    "<body><header><h1>Name of the site</h1><p>What the site is about in a line.</p></header><section data-content><h2>A title</h2>" + _TEXT + "<h3>Part</h3><p>Another paragraph with more of the text in it.</p><ol><li>First of all, an item.</li></ol></section><aside>"
     "<div class='related promo'><p>You may also like these stories of ours.</p></div><form><p>Search this site</p></form></aside><div class='popup alert'>"
     "<p>Please turn off your blocker to go on.</p></div><footer class=footer><ul><li><a>Terms</a></li></ul></footer></body>",
 ]
+for _named in ("", " class=content", " class='post entry'", " class='article body'", " id=main class=text", " class=story"):
+    SKELETONS += [
+        "<body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div data-content" + _named + "><h1>A title</h1>" + _TEXT
+        + "<form data-content=0><p>Vote here for what you like.</p></form><p>More text.</p></div><div><a>Imprint</a> <a>Contact</a></div></body>",
+        "<body><nav><a>Home</a></nav><div><div data-content" + _named + "><h1>A title</h1>" + _TEXT + "<div><p>Text in a division of the text.</p></div>"
+        "<div class=ad data-content=0>Buy this good thing.</div><p>End of it.</p></div><div class=sidebar><p>Something else altogether, and"
+        " not so short.</p></div></div><footer><p>Small print of the site.</p></footer></body>",
+    ]
 
 
 @dataclass
@@ -213,7 +226,7 @@ def emissions(node: Node, chars: int, linked: int, hidden: frozenset[str] = froz
     shown += [f"cue {cue}" for cue in sorted(node.cues - hidden)]
     own = "none" if not node.own else "short" if node.chars < 25 else "middle" if node.chars < 100 else "long"
     share = "none" if chars == 0 else "few" if linked * 10 < chars else "some" if linked * 10 < 6 * chars else "most"
-    return [*shown, f"own {own}", f"links {share}"]
+    return [*shown, "cues" if node.cues else "no cues", f"own {own}", f"links {share}"]
 
 
 def _subtrees(page: Page) -> list[tuple[int, int]]:
