@@ -87,7 +87,6 @@ OTHER_PLATFORM = "Other"
 ANONYMOUS = "Anonymous"
 REMOVED_BODIES = ["[deleted]", "[removed]"]
 THREAD_TITLE = "Reddit Thread"
-THREAD_ROWS = 150
 LABEL_BATCH_ROWS = 50
 TOP_OFFENDERS = 5
 EMPTY_SCORE = 100.0

@@ -51,7 +51,7 @@ def first_hits(*lists: TermList) -> Callable[[Column], Column]:
         rows, named = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         open_rows, first_name = np.arange(len(texts)), 0
         for number, one in enumerate(entries):
-            remaining = texts.take(pa.array(open_rows))
+            remaining = texts if len(open_rows) == len(texts) else texts.take(pa.array(open_rows))
             hit = matches(remaining, "|".join(pattern for _, pattern in one))
             owned, hit_texts = open_rows[hit], remaining.filter(pa.array(hit))
             place[owned] = number

@@ -46,7 +46,8 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
 
 
 def has_link(lowered: Column) -> Column:
-    return _matches(lowered, fixed.LINK_PATTERN, fixed.LINK_HINT)
+    """Whether the link part of the spam tier has a hit."""
+    return first_hits(TermList((), fixed.URL_TAG, fixed.LINK_PATTERN))(lowered)["place"] == 0
 
 
 def is_yelling(text: Column) -> Column:
@@ -58,9 +59,8 @@ def emoji_count(text: Column) -> Column:
 
 
 def has_emoji_flood(text: Column) -> Column:
-    """More emoji than the limit. Each takes three bytes or more, so few texts need counting."""
-    roomy = F.octet_length(text) - F.length(text) > 2 * fixed.EMOJI_LIMIT
-    return roomy & (emoji_count(text) > fixed.EMOJI_LIMIT)
+    """Whether the emoji tier has a hit: more emoji than the limit."""
+    return first_hits(TermList((), fixed.EMOJI_TAG, fixed.EMOJI_FLOOD_PATTERN))(text)["place"] == 0
 
 
 def severity(hits: Column, base: int, step: int, cap: int, yelling: Column | None = None, yelling_cap: int = 0) -> Column:

@@ -103,6 +103,9 @@ def author_tallies(comments: DataFrame) -> DataFrame:
 def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
     """One row per known creator: details, totals, class counts, flagged issues and top offenders.
 
+    ``class_counts`` maps every class that occurs to its comments, so its values always sum to the
+    total; the five known classes also have columns.
+
     Totals and offenders both start from the author tallies. Neither filters them before the shuffle,
     so Spark runs it once and reuses it; the comments are read a single time.
     """
@@ -116,6 +119,13 @@ def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
         *[of(c).alias(name) for c, name in CLASS_COLUMNS.items()],
         of(*fixed.ISSUE_CLASSES).alias("flagged_issues"),
     )
+    # One entry per class of a creator.
+    classes = (
+        tallies.groupBy("profile_url", "classification")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("profile_url")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("classification", "n")))).alias("class_counts"))
+    )
     violations = (
         tallies.groupBy("profile_url", "author")
         .agg(F.sum(F.when(_not_proper(), F.col("n")).otherwise(0)).alias("violations_count"))
@@ -128,6 +138,7 @@ def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
     counts = ["total_comments", *CLASS_COLUMNS.values(), "flagged_issues"]
     return (
         creators.join(totals, "profile_url", "left")
+        .join(classes, "profile_url", "left")
         .join(offenders, "profile_url", "left")
         .select(
             "profile_url",
@@ -137,6 +148,7 @@ def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
             "last_scanned",
             F.date_format("last_scanned", fixed.DISPLAY_TIMESTAMP_FORMAT).alias("last_scanned_text"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+            F.coalesce("class_counts", F.create_map().cast("map<string, bigint>")).alias("class_counts"),
             F.coalesce(
                 F.transform(
                     "top_offenders",

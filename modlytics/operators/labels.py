@@ -10,6 +10,8 @@ from modlytics.functions.payloads import whole_json
 from modlytics.functions.rules import bind
 from modlytics.functions.text import split_triggers
 from modlytics.operators.moderation import moderate
+from modlytics.session import scratch_path
+from modlytics.sources.tables import write_table
 
 BATCH = ["profile_url", "batch_id"]
 ITEM = [*BATCH, "id"]
@@ -97,31 +99,26 @@ def merge_labels(batched: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def batch_verdicts(batched: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Each expected batch with its labels and whether the whole scan of its creator came back well.
-
-    One failed or missing batch sends the creator to the rules. Only batch records and the list of
-    failed creators meet on ``profile_url``; both are without texts, and Spark broadcasts the list
-    when it measures it small or else splits a hot creator's batches over tasks.
-    """
+def batch_records(batched: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(profile_url, batch_id, ok, labels) of each expected batch, written once."""
     expected = batched.select(*BATCH).distinct()
-    batches = expected.join(parsed, BATCH, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    failed = batches.filter(~F.col("ok")).select("profile_url").distinct().withColumn("failed", F.lit(True))
-    return batches.join(failed, "profile_url", "left").select(
-        *BATCH, F.col("failed").isNull().alias("scan_ok"), "labels"
-    )
+    records = expected.join(parsed, BATCH, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return write_table(records, scratch_path(batched.sparkSession, "batches"))
 
 
 def hybrid_labels(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     """Outside labels where a creator's whole scan has them, the rules everywhere else.
 
-    ``parsed`` is what parse_label_payloads gives. It is read for the failed creators and for the
-    labels, so write it to a table first: payloads are then parsed once.
+    ``parsed`` is what parse_label_payloads gives. The records of the batches are written once, so
+    payloads are parsed once, and comments are read for the batches and for the labels. One failed or
+    missing batch sends its creator to the rules: one flag per creator, counted before the shuffle.
 
     Comments meet the record of their batch, so a key holds one batch of comments; the label is then
     looked up in the record by id. The rules run only for comments that need them.
     """
-    verdicts = batch_verdicts(batched, parsed)
+    records = batch_records(batched, parsed)
+    whole = records.groupBy("profile_url").agg(F.bool_and("ok").alias("scan_ok"))
+    verdicts = records.join(whole, "profile_url").select(*BATCH, "scan_ok", "labels")
     joined = batched.join(verdicts, BATCH, "left").withColumn(
         "label", F.try_element_at(F.filter("labels", lambda x: x["id"] == F.col("id")), F.lit(-1))
     )

@@ -5,33 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLAB = 50_000
+from modlytics.session import scratch_path
+from modlytics.sources.tables import write_table
 
+#: monotonically_increasing_id has the partition above these bits and the row below.
+_ROW_BITS = 33
 
-def dense_positions(
-    rows: DataFrame, group: str, order: str, name: str = "pos", slab: int = SLAB, sizes_of: DataFrame | None = None
-) -> DataFrame:
-    """Number the rows of each group from 0 in the order of a unique whole-number column.
 
-    A group is cut into slabs of ``slab`` consecutive order values. Rows are ranked inside their slab,
-    which is at most ``slab`` rows, and the sizes of the slabs before it are added. The running sum
-    sees one number per slab, so a group that holds a third of all rows is spread over many tasks.
-    The slab sizes come from a scan of two columns and join on the keys that the ranking is
-    partitioned by. ``sizes_of`` names the same rows before costly columns were added to them.
+def dense_positions(rows: DataFrame, group: str, order: str, name: str = "pos", keys_of: DataFrame | None = None) -> DataFrame:
+    """Number the rows of each group from 0 in the order of a column that is unique inside the group.
+
+    Only the two key columns are sorted: by range, so a group that holds a third of all rows is spread
+    over many tasks, whatever its keys look like. A row's position is its place in its partition plus
+    the group's rows in the partitions before, of which there is one count per group and partition.
+    The sorted keys are written once; rows meet their position by both keys, so they cross the network
+    once and no group is hot. ``keys_of`` names the same rows before costly columns were added.
     """
-    in_slab = F.expr(f"{order} div {slab}")
-    cut = rows.withColumn("_slab", in_slab)
-    counted = (rows if sizes_of is None else sizes_of).select(group, in_slab.alias("_slab"))
-    sizes = counted.groupBy(group, "_slab").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col(group).alias("_group"),
-        F.col("_slab").alias("_of"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(group, "_slab").orderBy(order)
-    return (
-        cut.join(offsets, (F.col(group) == F.col("_group")) & (F.col("_slab") == F.col("_of")))
-        .withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint"))
-        .drop("_slab", "_group", "_of", "_before")
-    )
+    keys = (rows if keys_of is None else keys_of).select(F.col(group).alias("_group"), F.col(order).alias("_order"))
+    placed = keys.repartitionByRange("_group", "_order").sortWithinPartitions("_group", "_order")
+    placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    placed = write_table(placed, scratch_path(rows.sparkSession, "positions"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_group", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    starts = parts.select("_group", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    numbered = placed.join(starts, ["_group", "_part"]).select("_group", "_order", (F.col("_at") + F.col("_start")).alias(name))
+    met = (F.col(group) == F.col("_group")) & (F.col(order) == F.col("_order"))
+    return rows.join(numbered, met).drop("_group", "_order")

@@ -1,11 +1,18 @@
-"""Next versions of the creator and comment tables. They are written to new paths, never over a path being read."""
+"""Next versions of the creator and comment tables.
+
+A version goes to a new path, never over one being read. A bucketed comment table can also be changed
+in place: only the buckets of the creators in question are read, written anew in the scratch folder,
+and then put in place of the old ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.session import scratch_path
+from modlytics.sources.tables import BUCKETS, bucket_of, read_comments, write_comments, write_table
 
 CREATOR_FIELDS = ["platform", "creator_name", "safety_score", "last_scanned"]
 
@@ -64,3 +71,39 @@ def write_scores(creators: DataFrame, scores: DataFrame) -> DataFrame:
         .withColumn("safety_score", F.coalesce("_new", "safety_score"))
         .drop("_new")
     )
+
+
+def _touched(stored: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
+    """The stored comments of the keys' buckets. Bucket numbers reach the driver, at most ``buckets``."""
+    found = keys.select(bucket_of(F.col("profile_url"), buckets).alias("b")).distinct().collect()
+    return stored.filter(F.col("bucket").isin([r["b"] for r in found]))
+
+
+def _put(spark: SparkSession, path: str, comments: DataFrame, touched: DataFrame, buckets: int) -> DataFrame:
+    """Replaces the touched buckets. A bucket that is left empty keeps one file without rows of others."""
+    written = write_table(comments.drop("bucket"), scratch_path(spark, "touched"))
+    gone = touched.select("bucket").distinct().join(
+        written.select(bucket_of(F.col("profile_url"), buckets).alias("bucket")).distinct(), "bucket", "left_anti"
+    )
+    emptied = [r["bucket"] for r in gone.collect()]
+    table = write_comments(written, path, buckets, replace=True)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in emptied:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}"), True)
+    return read_comments(spark, path) if emptied else table
+
+
+def replace_in_table(
+    spark: SparkSession, path: str, scanned: DataFrame, ingest_time: str, scanned_creators: DataFrame | None = None,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """replace_comments on a bucketed table at ``path``: other creators' buckets are neither read nor written."""
+    keys = scanned if scanned_creators is None else scanned_creators
+    touched = _touched(read_comments(spark, path), keys, buckets)
+    return _put(spark, path, replace_comments(touched.drop("bucket"), scanned, ingest_time, scanned_creators), touched, buckets)
+
+
+def delete_from_table(spark: SparkSession, path: str, doomed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """delete_creators on a bucketed comment table at ``path``."""
+    touched = _touched(read_comments(spark, path), doomed, buckets)
+    return _put(spark, path, delete_creators(touched, doomed), touched, buckets)

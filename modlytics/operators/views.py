@@ -1,7 +1,9 @@
 """Filtered, searched and ordered comment views.
 
-Filters on creator and class are plain comparisons on stored columns and reach the parquet scan. The
-orderings end in the comment id: ties are settled, and a range shuffle can split a hot creator.
+Filters on creator and class are plain comparisons on stored columns and reach the parquet scan; that
+on a creator also names its bucket, so other partition directories are not opened. Order matters inside
+a creator: a view of many creators is sorted inside its partitions, without a shuffle of texts; a view
+of one creator is sorted as a whole. Orderings end in the comment id, which settles ties.
 """
 
 from __future__ import annotations
@@ -13,20 +15,27 @@ from modlytics import schemas
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.scores import severity_percent
 from modlytics.functions.text import highlight
+from modlytics.sources.tables import BUCKETS, bucket_of
 
 VIEW_COLUMNS = ["profile_url", "comment_id", *schemas.EXPORT_COLUMNS]
 
 
 def newest_first(comments: DataFrame) -> DataFrame:
-    return comments.select(*VIEW_COLUMNS).orderBy("profile_url", F.desc("timestamp"), "comment_id")
+    return comments.select(*VIEW_COLUMNS).sortWithinPartitions("profile_url", F.desc("timestamp"), "comment_id")
 
 
 def gravest_first(comments: DataFrame) -> DataFrame:
-    return comments.select(*VIEW_COLUMNS).orderBy("profile_url", F.desc("severity_score"), "comment_id")
+    return comments.select(*VIEW_COLUMNS).sortWithinPartitions("profile_url", F.desc("severity_score"), "comment_id")
 
 
-def of_creator(comments: DataFrame, profile_url: str) -> DataFrame:
-    return comments.filter(F.col("profile_url") == profile_url)
+def of_creator(comments: DataFrame, profile_url: str, buckets: int = BUCKETS) -> DataFrame:
+    """One creator's comments, of which a bucketed table reads one bucket."""
+    own = comments.filter(F.col("profile_url") == profile_url)
+    return own.filter(F.col("bucket") == bucket_of(F.lit(profile_url), buckets)) if "bucket" in comments.columns else own
+
+
+def newest_of_creator(comments: DataFrame, profile_url: str) -> DataFrame:
+    return of_creator(comments, profile_url).select(*VIEW_COLUMNS).orderBy(F.desc("timestamp"), "comment_id")
 
 
 def of_creators(comments: DataFrame, creators: DataFrame) -> DataFrame:
@@ -55,9 +64,15 @@ def flagged_view(comments: DataFrame, selected: list[str] | None = None, term: s
     return newest_first(search(in_categories(comments, selected), term))
 
 
-def filtered_counts(comments: DataFrame, selected: list[str] | None = None, term: str = "") -> DataFrame:
+def filtered_counts(
+    creators: DataFrame, comments: DataFrame, selected: list[str] | None = None, term: str = ""
+) -> DataFrame:
+    """Shown comments of every creator; 0 where none match."""
     shown = search(in_categories(comments, selected), term)
-    return shown.groupBy("profile_url").agg(F.count(F.lit(1)).alias("shown_comments"))
+    counted = shown.groupBy("profile_url").agg(F.count(F.lit(1)).alias("n"))
+    return creators.select("profile_url").join(counted, "profile_url", "left").select(
+        "profile_url", F.coalesce("n", F.lit(0)).alias("shown_comments")
+    )
 
 
 def comment_cards(comments: DataFrame, escape: bool = False) -> DataFrame:

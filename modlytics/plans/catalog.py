@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from modlytics import schemas
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import platform_of
-from modlytics.functions.rules import bind, emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
+from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
 from modlytics.functions.text import strip_tags
 from modlytics.operators import analytics, labels, tables, views
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.plans import fixtures
-from modlytics.plans.scan import creator_names, scan, with_link_parts
+from modlytics.plans.scan import creator_names, landed_status, scan, with_link_parts
 from modlytics.session import scratch_path
 from modlytics.sources import csv_files
-from modlytics.sources.tables import read_table, spread, write_table
+from modlytics.sources.landed import latest_scans
+from modlytics.sources.tables import read_table, write_comments
 from modlytics.sources.threads import thread_comments
 from modlytics.sources.videos import video_comments
 from modlytics.streaming.live import drain, moderate_stream
@@ -33,7 +34,7 @@ DELETED_PLATFORM = "TikTok"
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(fixtures.documents(spark, folder, "doc_id", "text"), "doc_id")
+    return fixtures.documents(spark, folder, "doc_id", "text")
 
 
 def _comments(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,12 +68,19 @@ def detect_emoji(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def classify_emoji(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with up to 12 emoji put to their end, through the whole cascade: those that no tier before it
+    takes reach the emoji tier."""
+    text = F.concat("text", F.repeat(F.lit("\U0001F600✈"), (F.col("doc_id") % 7).cast("int"))).alias("text")
+    return moderate(_texts(spark, folder).select("doc_id", text)).select("doc_id", *LABELS)
+
+
 def classify_comments(spark: SparkSession, folder: str) -> DataFrame:
     return moderate(_texts(spark, folder)).select("doc_id", *LABELS)
 
 
 def classify_turns(spark: SparkSession, folder: str) -> DataFrame:
-    turns = spread(read_table(spark, folder, "conversations", "conv_id", "turn", "text"), "conv_id")
+    turns = read_table(spark, folder, "conversations", "conv_id", "turn", "text")
     return moderate(turns).select("conv_id", "turn", *LABELS)
 
 
@@ -100,6 +108,22 @@ def reddit_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return thread_comments(fixtures.landed_threads(spark, folder), fixtures.INGEST_TIME)
 
 
+def reddit_flatten_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """At most three rows of each thread."""
+    return thread_comments(fixtures.landed_threads(spark, folder), fixtures.INGEST_TIME, rows_per_thread=3)
+
+
+def landed_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of each landed payload of two scans."""
+    statuses = landed_status(fixtures.landed_threads(spark, folder), fixtures.landed_scans(spark, folder))
+    return statuses.withColumn("landed_at", F.date_format("landed_at", fixed.TIMESTAMP_FORMAT))
+
+
+def youtube_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments of the latest of two scans of links with many pages."""
+    return video_comments(latest_scans(fixtures.landed_scans(spark, folder)), fixtures.INGEST_TIME)
+
+
 def youtube_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return video_comments(fixtures.landed_pages(spark, folder), fixtures.INGEST_TIME)
 
@@ -193,8 +217,7 @@ def merge_external_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_labels(spark: SparkSession, folder: str) -> DataFrame:
     parsed = labels.parse_label_payloads(fixtures.landed_labels(spark, folder))
-    stored = write_table(parsed, scratch_path(spark, "labels"))
-    labelled = labels.hybrid_labels(_batched(spark, folder, "text"), stored)
+    labelled = labels.hybrid_labels(_batched(spark, folder, "text"), parsed)
     return labelled.select("comment_id", "profile_url", "scan_ok", *LABELS)
 
 
@@ -215,12 +238,13 @@ def _shown(creators: DataFrame) -> DataFrame:
 
 def replace_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Rule labels stored; the creators of two platforms scanned again with outside labels."""
-    stored = _comments(spark, folder).drop("pos")
+    path = scratch_path(spark, "comments")
+    write_comments(_comments(spark, folder).drop("pos"), path)
     again = labels.merge_labels(_batched(spark, folder, "author", "text", "timestamp"), fixtures.label_items(spark, folder))
     again = again.filter(platform_of(F.col("profile_url")).isin(*RESCANNED)).select(
         "profile_url", "comment_id", "author", "text", "timestamp", *LABELS
     )
-    return tables.replace_comments(stored, again, fixtures.INGEST_TIME).select(*views.VIEW_COLUMNS)
+    return tables.replace_in_table(spark, path, again, fixtures.INGEST_TIME).select(*views.VIEW_COLUMNS)
 
 
 def upsert_creators(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,7 +279,9 @@ def delete_creators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delete_creator_comments(spark: SparkSession, folder: str) -> DataFrame:
-    left = tables.delete_creators(_comments(spark, folder), _doomed(spark, folder))
+    path = scratch_path(spark, "comments")
+    write_comments(_comments(spark, folder), path)
+    left = tables.delete_from_table(spark, path, _doomed(spark, folder))
     return left.select("profile_url", "comment_id", "author", "timestamp", *LABELS)
 
 
@@ -280,7 +306,7 @@ def safety_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def thread_safety_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of many small creators: each conversation as one."""
-    turns = spread(read_table(spark, folder, "conversations", "conv_id", "text"), "conv_id")
+    turns = read_table(spark, folder, "conversations", "conv_id", "text")
     url = F.concat(F.lit("https://example.org/conv/"), "conv_id").alias("profile_url")
     return analytics.safety_scores(moderate(turns.select(url, "text"))).select(*SCORES)
 
@@ -322,7 +348,15 @@ def top_offenders(spark: SparkSession, folder: str) -> DataFrame:
 def creator_analytics(spark: SparkSession, folder: str) -> DataFrame:
     bundle = analytics.creator_analytics(*fixtures.stored_tables(spark, folder))
     listed = F.transform("top_offenders", lambda o: F.concat(o["author"], F.lit(":"), o["violations_count"]))
-    return bundle.withColumn("top_offenders", F.array_join(listed, ",")).drop("last_scanned")
+    return bundle.withColumn("top_offenders", F.array_join(listed, ",")).drop("last_scanned", "class_counts")
+
+
+def external_creator_analytics(spark: SparkSession, folder: str) -> DataFrame:
+    """Class counts of the bundle over outside labels, an unknown class among them."""
+    merged = labels.merge_labels(_batched(spark, folder, "author"), fixtures.label_items(spark, folder))
+    bundle = analytics.creator_analytics(_creators(spark, folder), merged)
+    listed = F.transform(F.map_entries("class_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return bundle.select("profile_url", "total_comments", F.array_join(listed, ",").alias("class_counts"), "flagged_issues")
 
 
 def blocklist(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,8 +364,7 @@ def blocklist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comments_of_creator(spark: SparkSession, folder: str) -> DataFrame:
-    mine = views.of_creator(_comments(spark, folder), "https://instagram.com/src2")
-    return views.newest_first(mine)
+    return views.newest_of_creator(_comments(spark, folder), "https://instagram.com/src2")
 
 
 def comments_of_creators(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,7 +385,7 @@ def search_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filtered_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return views.filtered_counts(_comments(spark, folder), term=SEARCH_TERM)
+    return views.filtered_counts(*fixtures.stored_tables(spark, folder), term=SEARCH_TERM)
 
 
 def severity_percent(spark: SparkSession, folder: str) -> DataFrame:
@@ -368,14 +401,18 @@ QUERIES: dict[str, Query] = {
     "hits_abusive": _hits(fixed.ABUSIVE_TERMS),
     "hits_toxic": _hits(fixed.TOXIC_TERMS),
     "hits_spam": _hits(fixed.SPAM_TERMS),
-    "detect_url": _text_test("has_link", lambda text: bind(F.lower(text), has_link)),
+    "detect_url": _text_test("has_link", lambda text: has_link(F.lower(text))),
     "detect_yelling": _text_test("is_yelling", is_yelling),
     "detect_emoji": detect_emoji,
+    "classify_emoji": classify_emoji,
     "classify_comments": classify_comments,
     "classify_turns": classify_turns,
     "moderate_comments": moderate_comments,
     "stream_moderation": stream_moderation,
     "reddit_flatten": reddit_flatten,
+    "reddit_flatten_limited": reddit_flatten_limited,
+    "landed_status": landed_statuses,
+    "youtube_pages": youtube_pages,
     "youtube_flatten": youtube_flatten,
     "scan_links": scan_links,
     "detect_platform": detect_platform,
@@ -408,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "external_creator_rollup": external_creator_rollup,
     "top_offenders": top_offenders,
     "creator_analytics": creator_analytics,
+    "external_creator_analytics": external_creator_analytics,
     "blocklist": blocklist,
     "comments_of_creator": comments_of_creator,
     "comments_of_creators": comments_of_creators,

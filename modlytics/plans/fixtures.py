@@ -17,7 +17,7 @@ from modlytics.operators.positions import dense_positions
 from modlytics.operators.tables import write_scores
 from modlytics.plans.scan import creator_names
 from modlytics.session import scratch_path
-from modlytics.sources.tables import read_table, spread, write_table
+from modlytics.sources.tables import read_comments, read_table, write_comments, write_table
 
 INGEST_TIME = "2024-02-01 00:00:00"
 BATCH_ROWS = 20
@@ -45,8 +45,7 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def raw_comments(spark: SparkSession, folder: str) -> DataFrame:
     """documents as raw comments: whole texts, some twenty creators, seven authors each."""
-    scan = spread(documents(spark, folder, "doc_id", "source", "text"), "doc_id")
-    return scan.selectExpr(
+    return documents(spark, folder, "doc_id", "source", "text").selectExpr(
         f"{PROFILE_URL} as profile_url", "doc_id as comment_id", f"{AUTHOR} as author", "text", f"{TIMESTAMP} as timestamp"
     )
 
@@ -75,27 +74,39 @@ def creators(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str], tuple[str, str]] = {}
+def store_tables(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Writes creator and comment tables as a scan leaves them, and returns their paths."""
+    comments_path, creators_path = scratch_path(spark, "comments"), scratch_path(spark, "creators")
+    # Labelled where the texts are read, numbered after: the shuffle that numbers a creator's
+    # comments then does not decide how evenly the rules run.
+    labelled = moderate(raw_comments(spark, folder))
+    numbered = dense_positions(labelled, "profile_url", "comment_id", keys_of=raw_comments(spark, folder))
+    comments = write_comments(numbered, comments_path)
+    write_table(write_scores(creators(spark, folder), safety_scores(comments)), creators_path)
+    return creators_path, comments_path
+
+
+_stored: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _version(spark: SparkSession, folder: str) -> str:
+    """Sizes and times of the source's files: tables that were stored before a change are not used after it."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(source)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
 def stored_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Creator and comment tables as a scan leaves them: labelled once, written, then read by every report.
+    """The tables of store_tables, stored at the first use in a session for each state of the source.
 
     Reports at scale read a few narrow columns of these tables; labelling all texts anew for each
-    report would cost far more than the report. Written once per session and source folder.
+    report would cost far more than the report.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _version(spark, folder))
     if key not in _stored:
-        comments_path, creators_path = scratch_path(spark, "comments"), scratch_path(spark, "creators")
-        # Labelled where the texts are read, numbered after: the shuffle that numbers a creator's
-        # comments then does not decide how evenly the rules run.
-        labelled = moderate(raw_comments(spark, folder))
-        numbered = dense_positions(labelled, "profile_url", "comment_id", sizes_of=raw_comments(spark, folder))
-        comments = write_table(numbered, comments_path, "profile_url", "comment_id")
-        write_table(write_scores(creators(spark, folder), safety_scores(comments)), creators_path)
-        _stored[key] = (creators_path, comments_path)
+        _stored[key] = store_tables(spark, folder)
     creators_path, comments_path = _stored[key]
-    return spark.read.parquet(creators_path), spark.read.parquet(comments_path)
+    return spark.read.parquet(creators_path), read_comments(spark, comments_path)
 
 
 def _label(toxic: Column, quality: Column) -> list[Column]:
@@ -217,3 +228,21 @@ def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.to_json(F.struct(F.transform("rows", lambda r: r["item"]).alias("items"))).alias("payload"),
         )
     )
+
+
+LATER_SCAN, EARLIER_SCAN = "2024-01-31 00:00:00", "2024-01-30 00:00:00"
+
+
+def landed_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as video pages of one link per source, landed by two scans. The earlier one has every
+    other page, from which the comments were since deleted. Some payloads of sources are broken or empty."""
+    pages = landed_pages(spark, folder).withColumn("page", F.regexp_extract("profile_url", "_([0-9]+)$", 1).cast("bigint"))
+    link = F.regexp_replace("profile_url", "_[0-9]+$", "")
+    number = F.regexp_extract("profile_url", "src([0-9]+)_", 1).cast("int")
+    payload = F.when((number % 7 == 5) & (F.col("page") % 2 == 0), F.regexp_replace("payload", r"\}$", ""))
+    payload = payload.when((number % 7 == 6) & (F.col("page") % 2 == 1), F.lit('{"items":[]}')).otherwise(F.col("payload"))
+    later = pages.select(link.alias("profile_url"), F.lit(LATER_SCAN).cast("timestamp").alias("landed_at"), "page", payload.alias("payload"))
+    earlier = later.filter("page % 2 = 0").withColumns(
+        {"landed_at": F.lit(EARLIER_SCAN).cast("timestamp"), "payload": F.lit('{"items":[]}')}
+    )
+    return later.unionByName(earlier)

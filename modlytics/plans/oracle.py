@@ -196,7 +196,15 @@ FX_THREADS = f"""
         FROM conversations
         WHERE (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 17 <> 0 AND (conv_id + turn) % 19 <> 0
             AND text NOT IN ('', '[deleted]', '[removed]')
-        QUALIFY pos < {fixed.THREAD_ROWS}
+    )"""
+FX_SCANS = f"""
+    fx_scans AS (
+        SELECT 'https://youtu.be/' || source AS profile_url, doc_id // {fixtures.COMMENTS_PER_PAGE} AS page, doc_id,
+            CASE WHEN doc_id % 7 <> 3 THEN {fixtures.AUTHOR} ELSE 'Anonymous' END AS author, text,
+            CASE WHEN doc_id % 9 <> 0 THEN {fixtures.TIMESTAMP} ELSE '{fixtures.INGEST_TIME}' END AS "timestamp",
+            CASE WHEN {fixtures.SOURCE_NUMBER} % 7 = 5 AND page % 2 = 0 THEN 'broken'
+                WHEN {fixtures.SOURCE_NUMBER} % 7 = 6 AND page % 2 = 1 THEN 'empty' ELSE 'ok' END AS status
+        FROM documents
     )"""
 FX_PAGES = f"""
     fx_pages AS (
@@ -270,6 +278,10 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, emojis, emojis > {fixed.EMOJI_LIMIT} AS emoji_flood FROM (
             SELECT doc_id, len(regexp_extract_all(text || repeat('\U0001F600✈', (doc_id % 7)::INT) || '☺',
                 {_text(fixed.EMOJI_PATTERN)}))::INT AS emojis FROM documents)""",
+    "classify_emoji": _with(
+        f"""padded AS (SELECT doc_id, text || repeat('\U0001F600✈', (doc_id % 7)::INT) AS text FROM documents), {moderated('padded')}""",
+        f"SELECT doc_id, {LABELS} FROM moderated",
+    ),
     "classify_comments": _with(moderated("documents"), f"SELECT doc_id, {LABELS} FROM moderated"),
     "classify_turns": _with(moderated("conversations"), f"SELECT conv_id, turn, {LABELS} FROM moderated"),
     "moderate_comments": _with(
@@ -277,6 +289,24 @@ ORACLE: dict[str, str] = {
     ),
     "stream_moderation": _with(moderated("documents"), f"SELECT doc_id, 'Anonymous' AS author, {LABELS} FROM moderated"),
     "reddit_flatten": _with(FX_THREADS, 'SELECT profile_url, pos, author, text, "timestamp" FROM fx_threads'),
+    "reddit_flatten_limited": _with(
+        FX_THREADS, 'SELECT profile_url, pos, author, text, "timestamp" FROM fx_threads WHERE pos < 3'
+    ),
+    "landed_status": _with(
+        f"{FX_THREADS}, {FX_SCANS}",
+        f"""SELECT DISTINCT 'https://www.reddit.com/r/talk/comments/c' || conv_id || 'p' || (turn // {fixtures.TURNS_PER_THREAD})
+                || '/t/' AS profile_url, NULL AS landed_at, 0 AS page,
+                CASE WHEN profile_url IN (SELECT profile_url FROM fx_threads) THEN 'ok' ELSE 'empty' END AS status
+            FROM conversations
+            UNION ALL SELECT DISTINCT profile_url, '{fixtures.LATER_SCAN}', page, status FROM fx_scans
+            UNION ALL SELECT DISTINCT profile_url, '{fixtures.EARLIER_SCAN}', page, 'empty' FROM fx_scans WHERE page % 2 = 0""",
+    ),
+    "youtube_pages": _with(
+        FX_SCANS,
+        f"""SELECT profile_url, page * {2**32} + row_number() OVER (PARTITION BY profile_url, page ORDER BY doc_id) - 1 AS pos, author,
+                regexp_replace('<b class=''t''>' || text || '</b><br>', '{fixed.TAG_PATTERN}', '', 'g') AS text, "timestamp"
+            FROM fx_scans WHERE status = 'ok'""",
+    ),
     "youtube_flatten": _with(FX_PAGES, 'SELECT profile_url, pos, author, text, "timestamp" FROM fx_pages'),
     "scan_links": _with(
         f"""{FX_THREADS}, {FX_PAGES}, landed AS (SELECT * FROM fx_threads UNION ALL BY NAME SELECT * FROM fx_pages),
@@ -347,11 +377,11 @@ ORACLE: dict[str, str] = {
             WHERE {platform_case('profile_url')} <> '{catalog.DELETED_PLATFORM}'""",
     ),
     "export_comments_csv": _with(
-        FX_COMMENTS, f'SELECT author, text, "timestamp", {LABELS} FROM fx_comments WHERE {ISSUES}'
+        FX_COMMENTS, f'SELECT profile_url AS creator, author, text, "timestamp", {LABELS} FROM fx_comments WHERE {ISSUES}'
     ),
     "export_blocklist_csv": _with(
         FX_COMMENTS,
-        "SELECT DISTINCT author AS \"Username\" FROM fx_comments WHERE classification IN ('Abusive', 'Harmful', 'Spam')",
+        "SELECT DISTINCT profile_url AS creator, author AS \"Username\" FROM fx_comments WHERE classification IN ('Abusive', 'Harmful', 'Spam')",
     ),
     "safety_scores": _with(f"{FX_COMMENTS}, {scored('fx_comments')}", "SELECT * FROM scored"),
     "thread_safety_scores": _with(
@@ -391,6 +421,16 @@ ORACLE: dict[str, str] = {
             LEFT JOIN (SELECT profile_url, string_agg(author || ':' || violations_count, ',' ORDER BY place) AS worst
                 FROM offenders GROUP BY profile_url) USING (profile_url)""",
     ),
+    "external_creator_analytics": _with(
+        f"{FX_STORED}, {FX_MERGED.replace(FX_RAW + ',', '', 1)}",
+        f"""SELECT profile_url, coalesce(total, 0) AS total_comments, coalesce(listed, '') AS class_counts,
+                coalesce(issues, 0) AS flagged_issues
+            FROM fx_stored LEFT JOIN (
+                SELECT profile_url, sum(n) AS total, string_agg(classification || ':' || n, ',' ORDER BY classification) AS listed,
+                    coalesce(sum(n) FILTER ({ISSUES}), 0) AS issues
+                FROM (SELECT profile_url, classification, count(*) AS n FROM fx_merged GROUP BY ALL) GROUP BY profile_url
+            ) USING (profile_url)""",
+    ),
     "blocklist": _with(
         FX_COMMENTS,
         "SELECT DISTINCT profile_url, author FROM fx_comments WHERE classification IN ('Abusive', 'Harmful', 'Spam')",
@@ -405,9 +445,10 @@ ORACLE: dict[str, str] = {
     "flagged_view": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE {ISSUES}"),
     "search_comments": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE {_search(catalog.SEARCH_TERM)}"),
     "filtered_counts": _with(
-        FX_COMMENTS,
-        f"""SELECT profile_url, count(*) AS shown_comments FROM fx_comments
-            WHERE {ISSUES} AND {_search(catalog.SEARCH_TERM)} GROUP BY profile_url""",
+        f"{FX_COMMENTS}, {FX_CREATORS}",
+        f"""SELECT profile_url, count(shown) AS shown_comments FROM fx_creators LEFT JOIN (
+                SELECT profile_url, 1 AS shown FROM fx_comments WHERE {ISSUES} AND {_search(catalog.SEARCH_TERM)}
+            ) USING (profile_url) GROUP BY profile_url""",
     ),
     "severity_percent": _with(
         FX_COMMENTS,

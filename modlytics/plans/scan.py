@@ -11,9 +11,11 @@ from modlytics.operators.analytics import safety_scores
 from modlytics.operators.labels import cut_batches, hybrid_labels, label_payloads
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.operators.tables import replace_comments, upsert_creators
+from modlytics.session import scratch_path
 from modlytics.sources.tables import write_table
-from modlytics.sources.threads import thread_comments, thread_titles
-from modlytics.sources.videos import video_comments, video_titles
+from modlytics.sources.landed import latest_scans
+from modlytics.sources.threads import comments_of_threads, read_threads, thread_comments
+from modlytics.sources.videos import comments_of_pages, read_pages, video_comments, video_titles
 
 
 def with_link_parts(links: DataFrame) -> DataFrame:
@@ -31,10 +33,25 @@ def creator_names(links: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
-def raw_comments(threads: DataFrame, pages: DataFrame, ingest_time: str) -> DataFrame:
-    """Comments of landed threads and video pages. The key is (profile_url, pos), of which comment_id is a hash."""
-    landed = thread_comments(threads, ingest_time).unionByName(video_comments(pages, ingest_time))
-    return normalise(landed.withColumn("comment_id", F.xxhash64("profile_url", "pos")))
+def _keyed(comments: DataFrame) -> DataFrame:
+    return normalise(comments.withColumn("comment_id", F.xxhash64("profile_url", "pos")))
+
+
+def raw_comments(
+    threads: DataFrame, pages: DataFrame, ingest_time: str, rows_per_thread: int | None = None
+) -> DataFrame:
+    """Comments of the latest landed threads and video pages of each link, all of them if no limit is given.
+
+    The key is (profile_url, pos), of which comment_id is a hash.
+    """
+    found = thread_comments(latest_scans(threads), ingest_time, rows_per_thread)
+    return _keyed(found.unionByName(video_comments(latest_scans(pages), ingest_time)))
+
+
+def landed_status(threads: DataFrame, pages: DataFrame) -> DataFrame:
+    """(profile_url, landed_at, page, status) of every landed payload, whichever scan it is of."""
+    keys = ["profile_url", "landed_at", "page", "status"]
+    return read_threads(threads).select(*keys).unionByName(read_pages(pages).select(*keys))
 
 
 def label_requests(comments: DataFrame, rows_per_batch: int = fixed.LABEL_BATCH_ROWS) -> DataFrame:
@@ -70,18 +87,24 @@ def scan(
     comments_path: str,
     video_details: DataFrame | None = None,
     parsed_labels: DataFrame | None = None,
+    rows_per_thread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Creators and comments of one scan of landed threads and pages.
 
-    The labelled comments are written to ``comments_path``, a new path in shared storage. Scores and
-    whatever the caller does with the comments read them from there, so texts are labelled once.
+    Each thread is parsed once, for its title, comments and status. The labelled comments are written to
+    ``comments_path``, a new path in shared storage. Scores and whatever the caller does with the
+    comments read them from there, so texts are labelled once.
     """
-    labelled = label(raw_comments(threads, pages, ingest_time), parsed_labels)
-    comments = write_table(labelled, comments_path, "profile_url", "pos")
-    titles = thread_titles(threads)
+    spark = threads.sparkSession
+    read = write_table(read_threads(latest_scans(threads)), scratch_path(spark, "threads"))
+    found = comments_of_threads(read, ingest_time, rows_per_thread)
+    found = found.unionByName(comments_of_pages(read_pages(latest_scans(pages)), ingest_time))
+    comments = write_table(label(_keyed(found), parsed_labels), comments_path, "profile_url", "pos")
+    titles = read.groupBy("profile_url").agg(F.min_by("title", "page").alias("title"))
     if video_details is not None:
-        titles = titles.unionByName(video_titles(video_details))
-    links = threads.select("profile_url").union(pages.select("profile_url")).distinct()
+        named = video_titles(latest_scans(video_details)).groupBy("profile_url").agg(F.max("title").alias("title"))
+        titles = titles.unionByName(named)
+    links = comments.select("profile_url").distinct()
     return scanned_creators(links, titles, comments, ingest_time), comments
 
 

@@ -15,6 +15,8 @@ EXTERNAL_LABEL = (
 
 LANDED_PAYLOAD = "profile_url STRING, payload STRING"
 
+LANDED_PAGE = "profile_url STRING, landed_at TIMESTAMP, page BIGINT, payload STRING"
+
 EXPORT = (
     "author STRING, text STRING, timestamp STRING, classification STRING,"
     " severity_score DOUBLE, flagged_words STRING"

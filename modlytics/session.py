@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,21 +23,28 @@ def build_session(app: str = "modlytics", **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which every executor sees.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Where the setting is missing, a folder in the warehouse takes its place, since all executors share
+    that too.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="modlytics-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+_roots: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; never one that is being read."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; never one that is being read. It goes when the session's JVM ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _roots:
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/modlytics-{uuid.uuid4().hex}")
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+        _roots[application] = root.toString()
+    return f"{_roots[application]}/{name}-{uuid.uuid4().hex}"

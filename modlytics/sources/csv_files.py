@@ -18,16 +18,29 @@ DIALECT = {
 }
 
 
+#: The partition column of an export: one folder per creator.
+CREATOR = "creator"
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.options(**DIALECT, emptyValue="", nullValue="").partitionBy(CREATOR).csv(path)
+
+
 def export_comments(comments: DataFrame, path: str) -> None:
-    comments.select(*schemas.EXPORT_COLUMNS).write.options(**DIALECT, emptyValue="", nullValue="").csv(path)
+    """One folder of files per creator, each with the usual header and columns."""
+    _write(comments.select(F.col("profile_url").alias(CREATOR), *schemas.EXPORT_COLUMNS), path)
 
 
 def export_blocklist(blocklist: DataFrame, path: str) -> None:
-    """One column of handles. Blocklists of several creators give each handle once."""
-    handles = blocklist.select(F.col("author").alias("Username")).distinct()
-    handles.write.options(**DIALECT, emptyValue="", nullValue="").csv(path)
+    """One folder per creator with one column of handles."""
+    _write(blocklist.select(F.col("profile_url").alias(CREATOR), F.col("author").alias("Username")).distinct(), path)
 
 
 def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An export read back; an empty field is an empty text again."""
-    return spark.read.schema(schema).options(**DIALECT, multiLine="true").csv(path).na.fill("")
+    """An export of all creators read back, with the creator; an empty field is an empty text again."""
+    return spark.read.schema(f"{schema}, {CREATOR} STRING").options(**DIALECT, multiLine="true").csv(path).na.fill("")
+
+
+def read_export_of(spark: SparkSession, path: str, schema: str, profile_url: str) -> DataFrame:
+    """One creator's export; no other folder is opened."""
+    return read_export(spark, path, schema).filter(F.col(CREATOR) == profile_url).drop(CREATOR)

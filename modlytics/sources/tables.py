@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -11,16 +12,6 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
-
-    A small table in one file, or one row group, would keep one core busy with all texts. A large
-    table has more splits than there are cores and passes through without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def write_table(table: DataFrame, path: str, *cluster_by: str) -> DataFrame:
     """Write a table version to a new path and read it back.
 
@@ -30,3 +21,31 @@ def write_table(table: DataFrame, path: str, *cluster_by: str) -> DataFrame:
     ordered = table.sortWithinPartitions(*cluster_by) if cluster_by else table
     ordered.write.mode("errorifexists").parquet(path)
     return table.sparkSession.read.parquet(path)
+
+
+#: Partition directories of a comment table. A creator's comments are in one of them.
+BUCKETS = 64
+
+
+def bucket_of(profile_url: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(profile_url), F.lit(buckets)).cast("int")
+
+
+def write_comments(comments: DataFrame, path: str, buckets: int = BUCKETS, *, replace: bool = False) -> DataFrame:
+    """Write comments by bucket of their creator, ordered inside by creator and time, and read them back.
+
+    A bucket with a hot creator is split over several tasks and files, small ones are put together.
+    ``replace`` puts the buckets that occur in ``comments`` in place of those in the table at ``path``;
+    the others are not touched.
+    """
+    bucketed = comments.withColumn("bucket", bucket_of(F.col("profile_url"), buckets)).hint("rebalance", "bucket")
+    writer = bucketed.sortWithinPartitions("bucket", "profile_url", F.desc("timestamp")).write.partitionBy("bucket")
+    if replace:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("errorifexists").parquet(path)
+    return read_comments(comments.sparkSession, path)
+
+
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from modlytics.plans.catalog import QUERIES
+from modlytics.plans.oracle import ORACLE as SQL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 )
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,7 @@ def _sorted(rows):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

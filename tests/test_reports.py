@@ -9,7 +9,7 @@ from modlytics.operators import analytics, views
 from modlytics.plans.fixtures import stored_tables
 from modlytics.plans.reports import dashboard, export, manage
 from modlytics.session import scratch_path
-from modlytics.sources.csv_files import export_comments, read_export
+from modlytics.sources.csv_files import export_comments, read_export, read_export_of
 
 
 def tables(spark):
@@ -65,7 +65,15 @@ def test_analytics(spark):
     assert [(o.author, o.violations_count) for o in a.top_offenders][:2] == [("hot", 40), ("w0", 3)]
     assert a.last_scanned_text == "2024-01-02 03:04" and a.safety_band == "orange" and a.scan_band == "amber"
     assert (c.total_comments, c.flagged_issues, c.top_offenders) == (0, 0, [])
-    assert len(bundle) == 3
+    assert len(bundle) == 3 and c.class_counts == {}
+
+
+def test_analytics_count_unknown_classes(spark):
+    creators, comments = tables(spark)
+    odd = comments.withColumn("classification", F.when(F.col("classification") == "Spam", "LowQuality").otherwise(F.col("classification")))
+    for r in analytics.creator_analytics(creators, odd).collect():
+        assert sum(r.class_counts.values()) == r.total_comments and "Spam" not in r.class_counts
+        assert r.profile_url != "a" or r.class_counts["LowQuality"] == 40
 
 
 def test_invariants_on_stored_tables(spark, small):
@@ -85,14 +93,14 @@ def test_views(spark):
     assert views.in_categories(comments).count() == 63
     assert views.in_categories(comments, []).count() == 0
     assert views.by_class(comments, []).count() == views.by_class(comments).count() == 100
-    graver = [r.severity_score for r in views.by_class(comments, ["Harmful", "Spam"]).collect()]
+    graver = [r.severity_score for r in views.by_class(comments.coalesce(1), ["Harmful", "Spam"]).collect()]
     assert graver == sorted(graver, reverse=True) and len(graver) == 41
-    times = [r.timestamp for r in views.newest_first(views.of_creator(comments, "b")).collect()]
+    times = [r.timestamp for r in views.newest_of_creator(comments, "b").collect()]
     assert times == sorted(times, reverse=True) and len(times) == 5
     assert views.search(comments, "TEXT 1$").count() == 1
     assert views.search(comments).count() == 100
-    counted = {r[0]: r[1] for r in views.filtered_counts(comments, ["Proper"], "text [0-9]+").collect()}
-    assert counted == {"a": 30, "b": 5}
+    counted = {r[0]: r[1] for r in views.filtered_counts(*tables(spark), ["Proper"], "text [0-9]+").collect()}
+    assert counted == {"a": 30, "b": 5, "c": 0}
     chosen = spark.createDataFrame([("b",), ("b",)], "profile_url STRING")
     assert views.of_creators(comments, chosen).count() == 5
 
@@ -104,30 +112,35 @@ def test_manage(spark, small):
 
 
 def _files(folder):
-    parts = sorted(f for f in os.listdir(folder) if f.endswith(".csv"))
-    return [open(os.path.join(folder, f), newline="").read() for f in parts]
+    parts = sorted(os.path.join(at, f) for at, _, names in os.walk(folder) for f in names if f.endswith(".csv"))
+    return [open(f, newline="").read() for f in parts]
 
 
 def test_csv_text(spark):
     texts = ['a "q", b\nnl', " blank at the ends ", "back\\slash", "", 'ends with "', "# hash", "a\rb"]
     data = [("ann", t, "2024-01-01 00:00:00", "Spam", 0.5, "") for t in texts]
-    comments = spark.createDataFrame(data, schemas.EXPORT).coalesce(1)
+    comments = spark.createDataFrame(data, schemas.EXPORT).withColumn("profile_url", F.lit("https://x.com/a?b=1")).coalesce(1)
     path = scratch_path(spark, "csv")
     export_comments(comments, path)
     written = "".join(_files(path))
     assert written.startswith("author,text,timestamp,classification,severity_score,flagged_words\n")
     assert 'ann,"a ""q"", b\nnl",2024-01-01 00:00:00,Spam,0.5,\n' in written
     assert "ann, blank at the ends ,2024" in written and "ann,back\\slash,2024" in written and "ann,,2024" in written
-    assert sorted(r.text for r in read_export(spark, path, schemas.EXPORT).collect()) == sorted(texts)
+    back = read_export(spark, path, schemas.EXPORT).collect()
+    assert sorted(r.text for r in back) == sorted(texts) and {r.creator for r in back} == {"https://x.com/a?b=1"}
 
 
 def test_export(spark, small):
     _, comments = stored_tables(spark, small)
     folder = scratch_path(spark, "export")
     export(comments, folder, term="a")
-    shown = views.flagged_view(comments, term="a").select(*schemas.EXPORT_COLUMNS)
+    shown = views.flagged_view(comments, term="a").select(*schemas.EXPORT_COLUMNS, "profile_url")
     back = read_export(spark, f"{folder}/comments", schemas.EXPORT)
     assert back.exceptAll(shown).count() == 0 and back.count() == shown.count()
     handles = read_export(spark, f"{folder}/blocklist", "Username STRING")
-    expected = analytics.blocklist(comments).select("author").distinct()
+    expected = analytics.blocklist(comments).select("author", "profile_url")
+    one = "https://x.com/src3"
+    alone = read_export_of(spark, f"{folder}/blocklist", "Username STRING", one)
+    assert {r.Username for r in alone.collect()} == {r.author for r in expected.filter(F.col("profile_url") == one).collect()}
+    assert "PartitionFilters: [(coalesce(creator" in alone._jdf.queryExecution().executedPlan().toString()
     assert handles.exceptAll(expected).count() == 0 and handles.count() == expected.count()

@@ -1,11 +1,14 @@
 import json
 import random
+import sys
+from urllib.parse import quote_plus
 
 import pytest
 from pyspark.sql import functions as F
 
-from modlytics.sources import threads
-from modlytics.sources.threads import thread_comments, thread_titles
+from modlytics.plans.scan import landed_status, raw_comments
+from modlytics.sources.landed import latest_scans, read_landed
+from modlytics.sources.threads import read_threads, thread_comments, thread_titles
 from modlytics.sources.videos import video_comments, video_titles
 
 NOW = "2024-02-01 00:00:00"
@@ -59,27 +62,70 @@ def test_thread_payloads_that_give_nothing(spark):
     assert titles["good"] == "Hello" and titles["object"] == "Reddit Thread" and titles["broken"] == "Reddit Thread"
 
 
-def test_thread_deeper_than_one_pass(spark):
-    depth = 2 * threads.LEVELS_PER_PASS + 3
-    chain = node(str(depth - 1))
+def chain(depth):
+    last = node(str(depth - 1))
     for i in reversed(range(depth - 1)):
-        chain = node(str(i), [chain])
-    got = texts(thread_comments(landed(spark, {"deep": thread(chain), "flat": thread(node("a"), node("b"))}), NOW))
-    assert got == {"deep": [str(i) for i in range(depth)], "flat": ["a", "b"]}
+        last = node(str(i), [last])
+    return last
+
+
+def test_deep_threads_come_whole_or_with_a_status(spark):
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(20_000)
+    try:
+        payloads = {f"{n}": thread(chain(n)) for n in (1, 40, 199, 200, 300)}
+    finally:
+        sys.setrecursionlimit(limit)
+    read = {r.profile_url: (r.status, [c.body for c in r.comments or []]) for r in read_threads(landed(spark, payloads)).collect()}
+    assert read == {
+        **{f"{n}": ("ok", [str(i) for i in range(n)]) for n in (1, 40, 199)},
+        **{f"{n}": ("too deep", []) for n in (200, 300)},
+    }
+
+
+def test_statuses(spark):
+    threads = {"ok": thread(node("x")), "empty": thread(), "broken": thread(node("x"))[:-2], "gone": thread(node("[deleted]")), "null": None}
+    pages = {"page": json.dumps({"items": [item()]}), "none": json.dumps({}), "cut": json.dumps({"items": [item()]})[:-1], "odd": json.dumps({"items": [{}]})}
+    found = landed_status(landed(spark, threads), landed(spark, pages)).collect()
+    assert {r.profile_url: r.status for r in found} == {
+        "ok": "ok", "empty": "empty", "broken": "broken", "gone": "empty", "null": "broken", "page": "ok", "none": "empty", "cut": "broken", "odd": "broken",
+    }
+
+
+def test_pages_and_rescans_of_a_link(spark):
+    def scan(day, page, *bodies):
+        return ("v", f"2024-01-0{day} 00:00:00", page, json.dumps({"items": [item(b) for b in bodies]}))
+
+    rows = [scan(1, 0, "old"), scan(2, 1, "c"), scan(2, 0, "a", "b"), scan(1, 2, "gone"), scan(2, 0, "a", "b")]
+    df = spark.createDataFrame(rows, "profile_url STRING, landed_at STRING, page BIGINT, payload STRING")
+    df = df.withColumn("landed_at", F.to_timestamp("landed_at"))
+    got = raw_comments(df.limit(0), df, NOW).orderBy("pos").collect()
+    assert [r.text for r in got] == ["a", "b", "c"]
+    assert len({r.pos for r in got}) == len({r.comment_id for r in got}) == 3
+
+
+def test_folder_of_landed_files(spark, tmp_path):
+    link = "https://youtu.be/a b?x=1"
+    for page in (0, 1):
+        folder = tmp_path / f"link={quote_plus(link)}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{page}.json").write_text(json.dumps({"items": [item(f"page\n{page}")]}))
+    found = read_landed(spark, str(tmp_path))
+    assert [(r.profile_url, r.page) for r in found.orderBy("page").collect()] == [(link, 0), (link, 1)]
+    assert [r.text for r in video_comments(latest_scans(found.withColumn("landed_at", F.lit(0).cast("timestamp"))), NOW).orderBy("pos").collect()] == ["page\n0", "page\n1"]
 
 
-def test_thread_limit_counts_rows_that_are_left(spark):
+def test_all_rows_of_a_long_thread_unless_limited(spark):
     tree = thread(node("[deleted]"), *[node(str(i), [node(f"{i}.0")]) for i in range(200)])
     payloads = landed(spark, {"long": tree, "short": thread(node("a"))})
     got = texts(thread_comments(payloads, NOW))
-    assert len(got["long"]) == 150 and got["long"][:4] == ["0", "0.0", "1", "1.0"] and got["short"] == ["a"]
+    assert len(got["long"]) == 400 and got["long"][:4] == ["0", "0.0", "1", "1.0"] and got["short"] == ["a"]
     assert texts(thread_comments(payloads, NOW, rows_per_thread=3))["long"] == ["0", "0.0", "1"]
 
 
-@pytest.mark.parametrize("levels", [1, 3])
-def test_random_threads(spark, levels, monkeypatch):
-    monkeypatch.setattr(threads, "LEVELS_PER_PASS", levels)
-    rng = random.Random(levels)
+@pytest.mark.parametrize("seed", [1, 3])
+def test_random_threads(spark, seed):
+    rng = random.Random(seed)
     expected = {}
 
     def grow(name, depth):
@@ -101,7 +147,7 @@ def test_random_threads(spark, levels, monkeypatch):
         name = f"n{i}"
         expected[name] = []
         payloads[name] = thread(*grow(name, 5))
-    got = texts(thread_comments(landed(spark, payloads), NOW, rows_per_thread=10**6))
+    got = texts(thread_comments(landed(spark, payloads), NOW))
     assert got == {k: v for k, v in expected.items() if v}
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from modlytics import schemas
 from modlytics.operators.labels import parse_label_payloads
 from modlytics.operators.positions import dense_positions
-from modlytics.operators.tables import delete_creators, replace_comments, upsert_creators, write_scores
+from modlytics.operators.tables import delete_creators, delete_from_table, replace_comments, replace_in_table, upsert_creators, write_scores
 from modlytics.plans.scan import label_requests, next_tables, raw_comments, scan
 from modlytics.plans.fixtures import INGEST_TIME, landed_pages, landed_threads
 from modlytics.session import scratch_path
-from modlytics.sources.tables import write_table
+from modlytics.sources.tables import write_comments, write_table
 
 
 def at(day):
@@ -77,11 +77,39 @@ def test_positions_of_a_hot_group(spark):
     ids = spark.range(3000).select((F.col("id") * 3 + F.col("id") % 2).alias("n"))
     owned = ids.withColumn("g", F.when(F.col("n") % 3 != 0, "hot").otherwise(F.concat(F.lit("g"), F.col("n") % 5)))
     mixed = owned.withColumn("g", F.when(F.xxhash64("n") % 3 != 0, "hot").otherwise(F.col("g")))
-    got = dense_positions(mixed, "g", "n", slab=100).toPandas().sort_values(["g", "n"])
+    got = dense_positions(mixed, "g", "n").toPandas().sort_values(["g", "n"])
     assert list(got.pos) == list(got.groupby("g").cumcount())
     assert len(got) == 3000 and (got.g == "hot").mean() > 0.6
 
 
+def test_positions_of_hashed_ids(spark):
+    hashed = spark.range(2000).select(F.xxhash64("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise("g").alias("g"))
+    got = dense_positions(hashed, "g", "n").toPandas().sort_values(["g", "n"])
+    assert list(got.pos) == list(got.groupby("g").cumcount()) and len(got) == 2000
+
+
+def test_touched_buckets_only(spark, rows):
+    """Replacing and deleting in a bucketed table leaves the files of other creators' buckets alone."""
+    path = scratch_path(spark, "bucketed")
+    old = moderated(spark, *[(f"c{i}", i, "x", "old", "Spam", 0.5) for i in range(20)])
+    table = write_comments(old, path, 8)
+    number = {r.profile_url: r.bucket for r in table.collect()}
+
+    def files(but):
+        return {f for f in spark.read.parquet(path).inputFiles() if f"bucket={but}/" not in f}
+
+    before = files(number["c3"])
+    new = moderated(spark, ("c3", 100, "y", "new", "Toxic", 0.6), ("c3", 101, "y", "new", "Toxic", 0.6))
+    after = replace_in_table(spark, path, new, "now", buckets=8)
+    assert files(number["c3"]) == before
+    expected = sorted([(f"c{i}", i) for i in range(20) if i != 3] + [("c3", 100), ("c3", 101)])
+    assert rows(after, "profile_url", "comment_id") == expected
+    gone = [c for c, b in number.items() if b == number["c3"]]
+    left = delete_from_table(spark, path, spark.createDataFrame([(c,) for c in gone], "profile_url STRING"), 8)
+    assert files(number["c3"]) == before == set(spark.read.parquet(path).inputFiles())
+    assert rows(left, "profile_url", "comment_id") == [e for e in expected if e[0] not in gone]
+
+
 def test_scan_with_titles_and_outside_labels(spark):
     threads = spark.createDataFrame([], schemas.LANDED_PAYLOAD)
     item = {"snippet": {"topLevelComment": {"snippet": {"textDisplay": "damn <b>fine</b>"}}}}
