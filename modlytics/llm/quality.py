@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS = 50
+MIN_WORDS = 80
 MIN_CHARS = 200
 #: Distances beyond which a text goes: of the characters, of the words, and of both in sum.
 CHARS_AWAY = 0.30
 WORDS_AWAY = 0.40
-BOTH_AWAY = 0.48
+BOTH_AWAY = 0.50
 
 BASE_MIN_WORDS = 20
 WINDOW = 8
