@@ -179,3 +179,41 @@ def test_search_needs_no_package_on_executors(tmp_path):
         {"place": -1, "hits": []},
         {"place": -1, "hits": []},
     ], done.stderr
+
+
+def _plain_verdict(text, low):
+    """The rules once more, with numbers and patterns of its own, in plain Python over all hits of all tiers."""
+    found = {name: [t for t in terms if t in low] for name, terms in zip(("h", "a", "t", "s"), _LISTS, strict=True)}
+    loud = re.search(r"\b[A-Z]{4,}\b", text) is not None
+    if re.search(rf"https?://\S+|www\.\S+|\b\w+\.(?:{_DOMAINS})\b", low, re.IGNORECASE):
+        found["s"] = [*found["s"], "URL_LINK"]
+    emoji = sum(a <= ord(c) <= b for c in text for a, b in ((0x263A, 0x263F), (0x2700, 0x27BF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF)))
+    yelled = ["YELLING"] if loud else []
+    if n := len(found["h"]):
+        return "Harmful", min(70 + 10 * n, 100), found["h"]
+    if n := len(found["a"]):
+        return "Abusive", min(min(50 + 8 * n, 95) + 10, 98) if loud else min(50 + 8 * n, 95), found["a"] + yelled
+    if n := len(found["t"]):
+        return "Toxic", min(min(35 + 8 * n, 85) + 10, 90) if loud else min(35 + 8 * n, 85), found["t"] + yelled
+    if n := len(found["s"]):
+        return "Spam", min(40 + 10 * n, 90), found["s"]
+    if emoji > 8:
+        return "Spam", 45, ["Excessive Emojis"]
+    return "Proper", 0, []
+
+
+_LISTS = (fixed.HARMFUL_TERMS, fixed.ABUSIVE_TERMS, fixed.TOXIC_TERMS, fixed.SPAM_TERMS)
+_DOMAINS = "com|net|org|info|co|xyz|biz|tv|io|me|us|click|site|download"
+
+
+def test_whole_cascade_as_written_a_second_time(spark):
+    rng = random.Random(11)
+    parts = [*[t for terms in _LISTS for t in terms], FACE, FACE * 9, "✈☺", " ", " ", ".", "fine", "LOUD", "www.x", "http://y", "a.com", "é", "\n"]
+    texts = ["".join(rng.choice(parts if rng.random() < 0.5 else parts[-14:]) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    seen = set()
+    for r in moderate(df).select("i", "classification", "severity_score", "flagged_words", F.lower("text").alias("low")).collect():
+        label, hundredths, triggers = _plain_verdict(texts[r.i], r.low)
+        assert (r.classification, r.severity_score, r.flagged_words) == (label, hundredths / 100.0, ", ".join(triggers)), repr(texts[r.i])
+        seen.add((label, triggers == ["Excessive Emojis"]))
+    assert len(seen) == 6
