@@ -32,9 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
+        _delete_at_exit(spark, context.getCheckpointDir())
     return folder
 
 
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Has a folder deleted when the session's JVM ends; it is made if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
 _roots: dict[str, str] = {}
 
 
@@ -42,9 +51,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; never one that is being read. It goes when the session's JVM ends."""
     application = spark.sparkContext.applicationId
     if application not in _roots:
-        root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/modlytics-{uuid.uuid4().hex}")
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(root)
-        files.deleteOnExit(root)
-        _roots[application] = root.toString()
+        root = f"{shared_dir(spark).rstrip('/')}/modlytics-{uuid.uuid4().hex}"
+        _delete_at_exit(spark, root)
+        _roots[application] = root
     return f"{_roots[application]}/{name}-{uuid.uuid4().hex}"
