@@ -142,8 +142,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        store, root = pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (
-            pyarrow.fs.LocalFileSystem(), self.path)
+        store, root = pyarrow.fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
         files = sorted(f.path for f in found if f.is_file and f.base_name[0] not in "._")
         return [ArchiveFile(f) for f in files] or [ArchiveFile("")]
@@ -168,8 +167,7 @@ class WarcReader(DataSourceReader):
     def _rows(self, path: str) -> Iterator[dict]:
         if not path:
             return
-        store = pyarrow.fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else (
-            pyarrow.fs.LocalFileSystem())
+        store, _ = pyarrow.fs.FileSystem.from_uri(self.path)
         with store.open_input_stream(path, compression=None) as raw:
             lines = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 18)
             while True:
@@ -245,4 +243,7 @@ def read_archive(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFr
     """The records of an archive; columns that are not in the schema are not made."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").schema(schema).load(path)
+    # With the scheme of the file system that Spark takes the path for.
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole)
+    return spark.read.format("warc").schema(schema).load(whole.toString())
