@@ -80,7 +80,7 @@ def _touched(stored: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
 
 
 def _put(spark: SparkSession, path: str, comments: DataFrame, touched: DataFrame, buckets: int) -> DataFrame:
-    """Replaces the touched buckets. A bucket that is left empty keeps one file without rows of others."""
+    """Replaces the touched buckets; one that is left empty is deleted, last, so a repeated call ends the same."""
     written = write_table(comments.drop("bucket"), scratch_path(spark, "touched"))
     gone = touched.select("bucket").distinct().join(
         written.select(bucket_of(F.col("profile_url"), buckets).alias("bucket")).distinct(), "bucket", "left_anti"
