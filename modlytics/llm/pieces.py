@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ SAMPLES = 2
 SEED = 1
 ALPHA = 1.0
 #: Code points that are worked through at once, at least one text.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _WORDS = re.compile(r" *[^ \n]+| +|\n+")
 #: Ranks of pieces that the model lists without a usable score.
@@ -374,15 +375,15 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i).encode(), seed) for i in ids], np.uint64)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > SLICE:
+    for i, n in enumerate(lengths):
+        if size and size + n > SLICE:
             yield start, i
             start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def segmentations(docs: DataFrame, keep: list[str], samples: int = SAMPLES, seed: int = SEED, model: str = MODEL) -> DataFrame:
@@ -398,10 +399,10 @@ def segmentations(docs: DataFrame, keep: list[str], samples: int = SAMPLES, seed
         vocabulary = Vocabulary(proto)
         sampler = Sampler(vocabulary, samples)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             keys = row_keys(batch.column(0).to_pylist(), seed)
-            for a, b in _slices(texts):
-                part = [t or "" for t in texts[a:b]]
+            for a, b in _slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 raw = [t.encode("utf-8", "replace") for t in part]
                 rows, places = [], []
                 for i, rank, ids, *numbers in sampler.sample(part, keys[a:b]):
