@@ -21,14 +21,16 @@ def with_landing(payloads: DataFrame) -> DataFrame:
 def latest_scans(payloads: DataFrame) -> DataFrame:
     """The payloads of each link's latest scan; of one page landed twice in it, the greater text.
 
-    Only links and times are grouped; payloads meet the one time of their link, so Spark may split a
-    link with many pages.
+    landed_at is the time of the scan, the same for all of its pages. Payloads of unknown time are one scan,
+    before all known ones. Only links and times are grouped; payloads meet the one time of their link, so
+    Spark may split a link with many pages.
     """
     landed = with_landing(payloads)
     if "landed_at" not in payloads.columns:
         return landed
-    last = landed.groupBy("profile_url").agg(F.max("landed_at").alias("landed_at"))
-    kept = landed.join(last, ["profile_url", "landed_at"], "left_semi")
+    last = landed.groupBy(F.col("profile_url").alias("last_url")).agg(F.max("landed_at").alias("last_at"))
+    latest = (F.col("profile_url") == F.col("last_url")) & F.col("landed_at").eqNullSafe(F.col("last_at"))
+    kept = landed.join(last, latest, "left_semi")
     others = [c for c in landed.columns if c not in ("profile_url", "landed_at", "page")]
     return kept.groupBy("profile_url", "landed_at", "page").agg(*[F.max(c).alias(c) for c in others])
 
@@ -36,14 +38,18 @@ def latest_scans(payloads: DataFrame) -> DataFrame:
 def read_landed(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of JSON payload files -> (profile_url, landed_at, page, payload).
 
-    Files are laid out as ``link=<encoded link>/<page>.json``; the time is the file's. Each file is one
-    payload, read whole.
+    Files are laid out as ``scan=<encoded time>/link=<encoded link>/<page>.json``, one folder per scan; the
+    time is the folder's, whenever its files were written. Without a scan folder there is one scan and its
+    time is null; a folder that names no time is an error. Each file is one payload, read whole.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
+    scan = F.url_decode(F.url_decode(F.regexp_extract(path, "/scan=([^/]+)/link=", 1)))
+    time = F.try_to_timestamp(scan)
+    unknown = F.raise_error(F.concat(F.lit("no time in the scan folder of "), path)).cast("timestamp")
     return files.select(
         F.url_decode(F.url_decode(F.regexp_extract(path, "/link=([^/]+)/", 1))).alias("profile_url"),
-        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.when(scan != "", F.coalesce(time, unknown)).alias("landed_at"),
         F.regexp_extract(path, r"/([0-9]+)\.json$", 1).cast("bigint").alias("page"),
         F.col("value").alias("payload"),
     )

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import sys
 from urllib.parse import quote_plus
@@ -6,7 +7,7 @@ from urllib.parse import quote_plus
 import pytest
 from pyspark.sql import functions as F
 
-from modlytics.plans.scan import landed_status, raw_comments
+from modlytics.plans.scan import landed_status, raw_comments, scan
 from modlytics.sources.landed import latest_scans, read_landed
 from modlytics.sources.threads import read_threads, thread_comments, thread_titles
 from modlytics.sources.videos import video_comments, video_titles
@@ -115,6 +116,48 @@ def test_folder_of_landed_files(spark, tmp_path):
     assert [r.text for r in video_comments(latest_scans(found.withColumn("landed_at", F.lit(0).cast("timestamp"))), NOW).orderBy("pos").collect()] == ["page\n0", "page\n1"]
 
 
+def land(folder, link, page, written, *bodies):
+    place = folder / f"link={quote_plus(link)}"
+    place.mkdir(parents=True, exist_ok=True)
+    (place / f"{page}.json").write_text(json.dumps({"items": [item(b) for b in bodies]}))
+    os.utime(place / f"{page}.json", (written, written))
+
+
+def scanned_texts(spark, folder, path):
+    found = read_landed(spark, str(folder))
+    comments = scan(found.limit(0), found, NOW, str(path))[1]
+    return [r.text for r in comments.orderBy("profile_url", "pos").collect()]
+
+
+def test_all_pages_of_a_scan_whenever_written(spark, tmp_path):
+    first, second = (tmp_path / "landed" / f"scan={quote_plus(day)}" for day in ("2024-01-01 00:00:00", "2024-01-02T00:00:00+00:00"))
+    for page in range(4):
+        land(first, "https://youtu.be/v", page, 9_000 + page, f"old {page}")
+    for page in range(3):
+        land(second, "https://youtu.be/v", page, 1_000 + 60 * page, f"new {page}")
+    land(first, "https://youtu.be/w", 0, 500, "only once")
+    assert scanned_texts(spark, tmp_path / "landed", tmp_path / "comments") == ["new 0", "new 1", "new 2", "only once"]
+
+
+def test_all_pages_without_a_scan_folder(spark, tmp_path):
+    for page in range(3):
+        land(tmp_path / "landed", "https://youtu.be/v", page, 1_000 + 60 * page, f"text {page}")
+    assert scanned_texts(spark, tmp_path / "landed", tmp_path / "comments") == ["text 0", "text 1", "text 2"]
+
+
+def test_scan_folder_without_a_time(spark, tmp_path):
+    land(tmp_path / "scan=third", "https://youtu.be/v", 0, 1_000, "a")
+    with pytest.raises(Exception, match="no time in the scan folder"):
+        read_landed(spark, str(tmp_path)).collect()
+
+
+def test_payloads_of_unknown_time(spark):
+    rows = [("u", None, 0, "a"), ("u", None, 1, "b"), ("v", None, 0, "old"), ("v", "2024-01-01 00:00:00", 0, "c")]
+    df = spark.createDataFrame(rows, "profile_url STRING, landed_at STRING, page BIGINT, payload STRING")
+    kept = latest_scans(df.withColumn("landed_at", F.to_timestamp("landed_at"))).collect()
+    assert sorted(r.payload for r in kept) == ["a", "b", "c"]
+
+
 def test_all_rows_of_a_long_thread_unless_limited(spark):
     tree = thread(node("[deleted]"), *[node(str(i), [node(f"{i}.0")]) for i in range(200)])
     payloads = landed(spark, {"long": tree, "short": thread(node("a"))})
