@@ -4,7 +4,7 @@ A text's characters, by class, and its words, by place in a list of common words
 histograms. Both are compared with the mean histograms of the language by the Jensen-Shannon distance
 (square root of the divergence to base 2, so 0 to 1). A text further away than a threshold goes. Short
 texts have uneven histograms by chance, so the characters count from MIN_CHARS and the words from
-MIN_WORDS on.
+MIN_WORDS on, with a limit that is the wider the fewer words there are.
 
 The references are means over all documents of a language that are long enough, each document with the
 same weight. They are of a fixed size, whatever the input: one vector for each listed language and one
@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS = 80
+MIN_WORDS = 20
 MIN_CHARS = 200
-#: Distances beyond which a text goes: of the characters, of the words, and of both in sum.
+#: Distance of the characters beyond which a text goes.
 CHARS_AWAY = 0.30
-WORDS_AWAY = 0.40
-BOTH_AWAY = 0.50
+#: Distance of the words beyond which a text goes: for endless texts, and what is added over the root of the number of words.
+WORDS_AWAY = 0.20
+WORDS_CHANCE = 1.2
+#: How far the sum of both distances may be beyond the limit of the words.
+BOTH_MORE = 0.20
 
 BASE_MIN_WORDS = 20
 WINDOW = 8
@@ -146,6 +149,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, sum(parts) / 2)))
 
 
+def words_limit(n_words: int) -> float:
+    """Distance of the words beyond which a text of so many words goes."""
+    return WORDS_AWAY + WORDS_CHANCE / float(np.sqrt(n_words))
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """Sums of the histograms of a task, one row for each language and kind."""
     made = Histograms()
@@ -218,9 +226,10 @@ def verdict(made: Histograms, known: References, text: str, lang: str | None) ->
     common = known.get((lang, "words")) if len(words) >= MIN_WORDS else None
     chars_away = None if chars is None else distance(made.chars(text), chars)
     words_away = None if common is None else distance(made.words(words, lang), common)
-    far = (chars_away or 0.0) > CHARS_AWAY or (words_away or 0.0) > WORDS_AWAY
-    if chars_away is not None and words_away is not None:
-        far = far or chars_away + words_away > BOTH_AWAY
+    far = (chars_away or 0.0) > CHARS_AWAY
+    if words_away is not None:
+        limit = words_limit(len(words))
+        far = far or words_away > limit or (chars_away or 0.0) + words_away > limit + BOTH_MORE
     return len(words), *counts, failed, chars_away, words_away, not failed and not far
 
 

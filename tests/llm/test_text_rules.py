@@ -50,7 +50,19 @@ def test_labelled_junk_goes_and_labelled_good_stays(spark):
     judged = quality.judged(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id")
     found = {(r["quality"], r["kept"]): r["count"] for r in judged.filter("not base_failed").groupBy("quality", "kept").count().collect()}
     assert found.get((1, False), 0) <= 0.01 * found[1, True]
-    assert found[0, False] >= 2 * found.get((0, True), 0)
+    assert found[0, False] >= 5 * found.get((0, True), 0)
+
+
+def test_words_of_short_texts_count():
+    """Junk of 50 to 79 words whose characters are as usual."""
+    made = quality.Histograms()
+    usual = " ".join(["of the house and to a man in that is for it as was with be", "lamp tree road city boat hill"] * 40)
+    known = {("en", "chars"): made.chars(usual), ("en", "words"): made.words(usual.encode().split(), "en")}
+    for n in (25, 60):
+        junk = " ".join(("lamp tree road city boat hill mast".split() * 9)[:n])
+        assert quality.verdict(made, known, " ".join(usual.split()[:n]), "en")[7] < quality.words_limit(n)
+        assert quality.verdict(made, known, junk, "en")[7] > quality.words_limit(n)
+    assert quality.words_limit(20) > quality.words_limit(80) > quality.words_limit(800) > quality.WORDS_AWAY
 
 
 # --- personal data ---
