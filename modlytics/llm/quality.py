@@ -7,25 +7,29 @@ texts have uneven histograms by chance, so the characters count from MIN_CHARS a
 MIN_WORDS on, with a limit that is the wider the fewer words there are.
 
 The references are means over all documents of a language that are long enough, each document with the
-same weight. They are of a fixed size, whatever the input: one vector for each listed language and one
-for all others. Languages without a list are compared by characters only.
+same weight: one of the characters for each value of lang, and one of the words for each language with
+a list. They are a table that meets the documents on lang. A language without a list needs LEAST_ROWS such
+documents; a rarer one has no reference, as a mean over several scripts fits none of them, and goes by
+the base rules only, as does a null language.
 
 Defined cases: a null text has no words and fails the base rules, as do all texts of under 20
-words; a null or unlisted language is "other"; an empty table gives no rows; repeated rows come out as
-often as they go in. Only doc_id, text and lang are read.
+words; an empty table gives no rows; repeated rows come out as often as they go in. Only doc_id, text and
+lang are read.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlytics.llm.common import packed, stored, unpacked
+
 MIN_WORDS = 20
 MIN_CHARS = 200
 #: Distance of the characters beyond which a text goes.
@@ -47,8 +51,10 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son elle".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
-OTHER = "other"
-LANGUAGES = [*COMMON, OTHER]
+#: Documents from which on a language without a list has a reference.
+LEAST_ROWS = 50
+#: Languages that a task remembers; partial sums go out when there are more.
+REMEMBERED = 1000
 
 _CLASSES = [
     "space", "line", "vowel", "consonant", "upper", "digit", "stop", "comma", "quote", "symbol", "dash", "other-ascii",
@@ -121,9 +127,6 @@ class Histograms:
     def __init__(self) -> None:
         self.classes, self.common = _tables()
 
-    def language(self, lang: str | None) -> str:
-        return lang if lang in self.common else OTHER
-
     def chars(self, text: str) -> np.ndarray:
         counts = np.zeros(len(_CLASSES))
         for at in range(0, len(text), 1 << 20):
@@ -154,27 +157,34 @@ def words_limit(n_words: int) -> float:
     return WORDS_AWAY + WORDS_CHANCE / float(np.sqrt(n_words))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Sums of the histograms of a task, one row for each language and kind."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the histograms of a task, one row for each language, kind and bin."""
     made = Histograms()
     sums: dict[tuple[str, str], list] = {}
+
+    def partial() -> pa.RecordBatch:
+        rows = [(lang, kind, n, i, float(v)) for (lang, kind), (n, total) in sums.items() for i, v in enumerate(total)]
+        sums.clear()
+        table = pd.DataFrame(rows, columns=["lang", "kind", "n", "bin", "total"])
+        return pa.RecordBatch.from_pandas(table.astype({"n": "int64", "bin": "int64", "total": "float64"}), schema=_SUMS)
+
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            if not text:
+            if not text or lang is None:
                 continue
-            lang, words = made.language(lang), text.encode("utf-8", "replace").split()
+            words = text.encode("utf-8", "replace").split()
             found = []
             if len(text) >= MIN_CHARS:
                 found.append(("chars", made.chars(text)))
-            if len(words) >= MIN_WORDS and lang != OTHER:
+            if len(words) >= MIN_WORDS and lang in COMMON:
                 found.append(("words", made.words(words, lang)))
             for kind, histogram in found:
                 entry = sums.setdefault((lang, kind), [0, 0.0])
                 entry[0] += 1
                 entry[1] = entry[1] + histogram
-    rows = [(lang, kind, n, i, float(v)) for (lang, kind), (n, total) in sums.items() for i, v in enumerate(total)]
-    table = pd.DataFrame(rows, columns=["lang", "kind", "n", "bin", "total"])
-    yield pa.RecordBatch.from_pandas(table.astype({"n": "int64", "bin": "int64", "total": "float64"}), schema=_SUMS)
+            if len(sums) >= REMEMBERED:
+                yield partial()
+    yield partial()
 
 
 _SUMS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("bin", pa.int64()), ("total", pa.float64())])
@@ -182,31 +192,56 @@ _SUMS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("n", pa.int64(
 References = dict[tuple[str, str], np.ndarray]
 
 
-def references(docs: DataFrame) -> References:
-    """Mean histograms over all documents, by language and kind. At most 5 languages by 47 bins reach
-    the driver. Rounding makes them the same whatever the order of the sums."""
+def reference_table(docs: DataFrame) -> DataFrame:
+    """(of_lang, of_chars, of_words): mean histograms over all documents, one row for each language that has
+    one. Rounding makes them the same whatever the order of the sums."""
     sums = docs.select("text", "lang").mapInArrow(_sums, "lang string, kind string, n long, bin long, total double")
-    rows = sums.groupBy("lang", "kind", "bin").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
-    found: References = {}
-    for r in rows:
-        size = len(_CLASSES) if r["kind"] == "chars" else len(COMMON["en"]) + 1
-        found.setdefault((r["lang"], r["kind"]), np.zeros(size))[r["bin"]] = round(r["total"] / r["n"], 9)
-    return found
+    means = sums.groupBy("lang", "kind", "bin").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    means = means.filter(F.col("lang").isin(*COMMON) | (F.col("n") >= LEAST_ROWS))
+    share = F.struct("bin", F.round(F.col("total") / F.col("n"), 9).alias("share"))
+
+    def histogram(kind: str) -> Column:
+        bins = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, share)))
+        return F.transform(bins, lambda x: x["share"])
+
+    return means.groupBy(F.col("lang").alias("of_lang")).agg(histogram("chars").alias("of_chars"), histogram("words").alias("of_words"))
+
+
+def _known(lang: str | None, chars: Sequence[float] | None, words: Sequence[float] | None) -> References:
+    kinds = {"chars": chars, "words": words}
+    return {(lang, kind): np.array(shares) for kind, shares in kinds.items() if shares is not None and len(shares)}
 
 
-def _judged(known: References) -> Callable:
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Histograms()
-        for batch in batches:
-            ids = batch.column("doc_id")
-            rows = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                rows.append(verdict(made, known, text or "", lang))
-            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(_VERDICT)
-            arrays = [pa.array(c, t) for c, t in zip(columns, _VERDICT.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *_VERDICT])
+def references(docs: DataFrame) -> References:
+    """The same as a dictionary by language and kind, for tables of few languages."""
+    return {key: shares for row in reference_table(docs).collect() for key, shares in _known(*row).items()}
+
+
+def _with_references(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (with lang) and the reference of their language, if it has one. The references are written first,
+    so Spark knows how small they are and need not shuffle the texts."""
+    table = stored(reference_table(docs), "quality-references")
+    return rows.join(table, F.col("lang") == F.col("of_lang"), "left")
 
-    return judge
+
+def _verdicts(texts: list, langs: list, chars: list, words: list, made: Histograms, seen: dict[str | None, References]) -> Iterator[tuple]:
+    """seen keeps the references of the languages that came by."""
+    for text, lang, *shares in zip(texts, langs, chars, words, strict=True):
+        if lang not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen[lang] = _known(lang, *(None if s is None else s.as_py() for s in shares))
+        yield verdict(made, seen[lang], text or "", lang)
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made, seen = Histograms(), {}
+    for batch in batches:
+        ids, texts, langs, chars, words = batch.columns
+        rows = list(_verdicts(texts.to_pylist(), langs.to_pylist(), chars, words, made, seen))
+        columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(_VERDICT)
+        arrays = [pa.array(c, t) for c, t in zip(columns, _VERDICT.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", *_VERDICT])
 
 
 _VERDICT = {
@@ -221,7 +256,6 @@ def verdict(made: Histograms, known: References, text: str, lang: str | None) ->
     words = text.encode("utf-8", "replace").split()
     counts = base_counts(text, words)
     failed = base_failed(len(words), counts[3])
-    lang = made.language(lang)
     chars = known.get((lang, "chars")) if len(text) >= MIN_CHARS else None
     common = known.get((lang, "words")) if len(words) >= MIN_WORDS else None
     chars_away = None if chars is None else distance(made.chars(text), chars)
@@ -238,17 +272,20 @@ def judged(docs: DataFrame) -> DataFrame:
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {id_type}", *(f"{name} {kinds[t]}" for name, t in _VERDICT.items())])
-    return docs.select("doc_id", "text", "lang").mapInArrow(_judged(references(docs)), schema)
+    rows = _with_references(docs, docs.select("doc_id", "text", "lang"))
+    return rows.select("doc_id", "text", "lang", "of_chars", "of_words").mapInArrow(_judged, schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Nothing is shuffled."""
-    known = references(docs)
-
-    def keeps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        made = Histograms()
-        for texts, langs in batches:
-            yield pd.Series([verdict(made, known, t or "", l)[-1] for t, l in zip(texts, langs, strict=True)], dtype=bool)
-
-    keeps.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return docs.filter(F.pandas_udf(keeps, "boolean")(F.col("text"), F.col("lang")))
+    """The documents that the rules keep, with all their columns."""
+
+    def keeps(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        made, seen = Histograms(), {}
+        for texts, langs, chars, words in batches:
+            found = _verdicts(texts.to_pylist(), langs.to_pylist(), chars, words, made, seen)
+            yield pa.array([v[-1] for v in found], pa.bool_())
+
+    keeps.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    # The row as one column, so that no extra column can clash with those of the references.
+    rows = _with_references(docs, packed(docs).select("row", F.col("row.text").alias("text"), F.col("row.lang").alias("lang")))
+    return unpacked(rows.filter(F.arrow_udf(keeps, "boolean")("text", "lang", "of_chars", "of_words")).select("row"))

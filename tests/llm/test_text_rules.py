@@ -65,6 +65,23 @@ def test_words_of_short_texts_count():
     assert quality.words_limit(20) > quality.words_limit(80) > quality.words_limit(800) > quality.WORDS_AWAY
 
 
+def test_clean_texts_of_unlisted_languages_stay(spark):
+    """Two languages of different scripts, half and half, and junk in one of them."""
+    chance = random.Random(3)
+
+    def text(letters):
+        return " ".join("".join(chance.choice(letters) for _ in range(chance.randint(2, 8))) for _ in range(120)) + "."
+
+    rows = [(i, text("aeioulmnrst"), "it") for i in range(60)] + [(100 + i, text("的一是不了人我在有他这"), "zh") for i in range(60)]
+    rows += [(200, "".join(chance.choice("#$%0123456789 ") for _ in range(900)), "it")]
+    rows += [(300, text("अआइकखग"), "hi"), (301, text("αβγδε"), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    want = {r[0] for r in rows} - {200}
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == want
+    assert {r["doc_id"] for r in quality.judged(df).filter("kept").collect()} == want
+    assert {lang for lang, _ in quality.references(df)} == {"it", "zh"}
+
+
 # --- personal data ---
 
 
