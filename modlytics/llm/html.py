@@ -10,8 +10,9 @@ Probabilities are counted on labelled pages: the skeletons below, labelled by ha
 most SAMPLE_PAGES given pages with exactly one ``article`` or ``main``, labelled by it. So that pages without such
 an element are known as well, half of these are counted with its tag hidden.
 
-Scripts, styles, comments and other markup never are text. Character references are decoded, white
-space inside a block becomes one space, blocks are joined in page order by one space.
+Scripts, styles, drawings, comments and other markup never are text; formulas are, as part of their
+line. Character references are decoded, white space inside a block becomes one space, blocks are joined in
+page order by one space.
 
 Defined cases: null or empty html gives an empty text; plain text without tags is one block of the root
 and is content; broken or unclosed tags are read as far as they go; repeated rows come out as often as they
@@ -46,7 +47,7 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul"
     " button select option optgroup datalist label legend textarea iframe object".split()
 )
-RAW = "script|style|title|template|noscript|svg|math|textarea|iframe"
+RAW = "script|style|title|template|noscript|svg|textarea|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element that a start tag ends, and what bounds the search for it.
 ENDED_BY = {
@@ -71,6 +72,8 @@ CUES = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    # Closed by itself, so nothing up to an end tag is its own.
+    r"|<svg(?=[\s/>])(?:[^>\"'/]|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"

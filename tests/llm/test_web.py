@@ -131,6 +131,20 @@ def test_odd_pages(model, page, text):
     assert html.main_text(page, model) == text
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ('<p>A <svg class="i"/> b</p><p>rest of page</p>', ["A b", "rest of page"]),
+        ("<p>A<svg/>b</p><p>c</p><svg><text>no</text></svg><p>d</p>", ["Ab", "c", "d"]),
+        ("<p>A <svg title='a/>b' href=/x/y />b <svg title='a/>b'><path d='x'/>no</svg>c</p>", ["A b c"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>A<math/>b</p><p>c</p>", ["Let x=1 hold.", "Ab", "c"]),
+        ("<SVG/><p>A</p><svg\n/><p>b</p><svgx>c</svgx>", ["A", "b", "c"]),
+    ],
+)
+def test_drawings_and_formulas(page, blocks):
+    assert html.parse(page).blocks == blocks
+
+
 def test_deep_and_long_pages(model):
     assert html.main_text("<div>" * 3000 + "deep text of the page" + "</div>" * 3000, model) in ("deep text of the page", "")
     assert len(html.main_text("<div><p>A text of some length here.</p></div>" * 2000, model)) == 2000 * 28 - 1
