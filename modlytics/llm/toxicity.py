@@ -8,7 +8,8 @@ savings are calibrated to a probability by logistic regression on the training t
 
 A label marks a whole document, most of which is as ordinary as any other. Toxic text for the dictionary
 is therefore the words of toxic documents that hold a run of GRAM bytes which is GRAM_RATIO times as
-frequent there as in ordinary documents, counted in documents.
+frequent there as in ordinary documents, counted in documents, and more often than by chance. Abuse made
+of ordinary words only, such as a phrase or a threat, is not seen, as no window holds two words.
 
 Training reads a bounded sample: at most TOXIC_ROWS and ORDINARY_ROWS labelled rows of up to LONGEST code
 points, the first by hash of doc_id. Rows whose crc32 of doc_id (as text) is 0 modulo FOLDS are held out and never read.
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,10 @@ TOXIC_DICTIONARY = 4096
 ORDINARY_DICTIONARY = 16384
 GRAM = 5
 GRAM_RATIO = 20
-#: A run counts if at least so many toxic documents, and one in so many, hold it.
+#: A run counts if at least so many toxic documents hold it, and its log-likelihood ratio is at least so
+#: high (15: by chance once in 10,000 runs), whatever the size of the sample.
 GRAM_ROWS = 4
-GRAM_ONE_IN = 50
+GRAM_SURPRISE = 15.0
 #: Savings in bytes whose windows are counted.
 SAVINGS = (2, 3, 4, 5, 6)
 #: Savings that a task remembers, so that frequent words are not compressed again.
@@ -133,6 +136,15 @@ def _grams(word: bytes) -> set[bytes]:
     return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
 
 
+def _surprise(toxic: int, ordinary: int, rows: list[int]) -> float:
+    """Log-likelihood ratio (G) of a run that so many toxic and ordinary rows hold against even shares; rows
+    are all ordinary and all toxic ones."""
+    total, holding = sum(rows), toxic + ordinary
+    cells = [(toxic, holding, rows[1]), (ordinary, holding, rows[0])]
+    cells += [(rows[1] - toxic, total - holding, rows[1]), (rows[0] - ordinary, total - holding, rows[0])]
+    return 2 * sum(n * log(n * total / (row * column)) for n, row, column in cells if n)
+
+
 def _toxic_words(texts: list[tuple[str, int]]) -> list[bytes]:
     """Words of toxic texts with a salient run, as often as they occur but 20 times at most."""
     held: list[Counter] = [Counter(), Counter()]
@@ -140,10 +152,10 @@ def _toxic_words(texts: list[tuple[str, int]]) -> list[bytes]:
     for text, label in texts:
         rows[label] += 1
         held[label].update({g for w in set(windows(text)) for g in _grams(w)})
-    least = max(GRAM_ROWS, rows[1] // GRAM_ONE_IN)
     salient = {
         g for g, n in held[1].items()
-        if n >= least and (n + 0.5) / (rows[1] + 1) > GRAM_RATIO * (held[0][g] + 0.5) / (rows[0] + 1)
+        if n >= GRAM_ROWS and (n + 0.5) / (rows[1] + 1) > GRAM_RATIO * (held[0][g] + 0.5) / (rows[0] + 1)
+        and _surprise(n, held[0][g], rows) >= GRAM_SURPRISE
     }
     words = Counter(w for text, label in texts if label for w in windows(text) if not salient.isdisjoint(_grams(w)))
     return [w for w, n in sorted(words.items()) for _ in range(min(n, 20))]

@@ -184,6 +184,13 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_rare_insults_are_learned_from_a_large_sample():
+    """Each in 10 of 1,500 toxic rows; a word of two toxic rows or of both kinds is not."""
+    texts = [(f"plain row {i} common{i % 50}", 0) for i in range(4500)]
+    texts += [(f"plain row {i} common{i % 50}" + (f" {('zorgbag', 'wuffle', 'klimpet')[i % 3]}" if i < 30 else " quibbletop" if i < 32 else ""), 1) for i in range(1500)]
+    assert set(toxicity._toxic_words(texts)) == {b"zorgbag", b"wuffle", b"klimpet"}
+
+
 def test_words_over_the_window_are_cut():
     assert toxicity.windows("a " + "b" * 100) == [b"a", b"b" * 48, b"b" * 48, b"b" * 4]
     assert toxicity.windows("") == toxicity.windows(" \n") == []
