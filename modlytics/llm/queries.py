@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import exact, html, licenses, mixing, pieces, pii, quality, simhash, toxicity, warc
+from modlytics.llm import audit, exact, html, licenses, mixing, negatives, neighbours, pieces, pii, quality, simhash, toxicity, warc
 from modlytics.llm.common import documents
 from modlytics.session import scratch_path
 from modlytics.sources.tables import read_table
@@ -72,6 +72,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder, "doc_id", "text"), labels)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = negatives.vectors_of(read_table(spark, folder, "embeddings", "vec_id", "label", "embedding"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % negatives.ANCHOR_EVERY == 0)
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failed = audit.failures(documents(spark, folder, "doc_id", "text", "lang"))
+    return audit.audit(audit.with_labels(failed, read_table(spark, folder, "labels", "doc_id", "quality", "toxic")))
+
+
+def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % neighbours.QUERY_EVERY == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -83,4 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_neighbours": op13_neighbours,
 }

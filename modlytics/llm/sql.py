@@ -98,4 +98,75 @@ select page_id, payload_bytes, payload_digest,
 from digested window same as (partition by payload_digest)
 """
 
-ORACLE: dict[str, str] = {"op2_licenses": _licenses(), "op4_exact_dedup": EXACT, "op5_mixing": MIXING, "op7_warc": WARC}
+NEGATIVES = """
+with clean as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null and vec_id is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+        cast(list_inner_product(a.v, b.v) as bigint) as score
+    from clean a join clean b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+    select anchor_id, other as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+)
+select anchor_id, positive_id, row_number() over best as rank, other as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window best as (partition by anchor_id, positive_id order by score desc, other)
+qualify row_number() over best <= 5
+"""
+
+AUDIT = r"""
+with worded as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as held,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+), marks as (
+    select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id
+), failed as (
+    select part, good, toxic, {
+        'A': len(words) < 200,
+        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+        'C': 100 * len(regexp_extract_all(held, '[A-Z]')) > 3 * length(held),
+        'D': regexp_matches(held, '[#$%&*|]'),
+        'E': coalesce(min(doc_id) over (partition by held) < doc_id, false)} as f
+    from worded left join marks using (doc_id)
+), one as (
+    select part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [f.A, f.B, f.C, f.D, f.E]) as f from failed
+), grouped as (
+    select part, f, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from one group by all
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as l
+), orders as (
+    select a.l || b.l || c.l || d.l || e.l as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps as (
+    select filter_order, step, substr(filter_order, step, 1) as here, string_split(substr(filter_order, 1, step - 1), '') as earlier,
+        list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: x <> substr(filter_order, step, 1)) as others
+    from orders, (select unnest([1, 2, 3, 4, 5])::int as step)
+), walked as (
+    select part, filter_order, step, here, n, good, toxic, f[here] as fails,
+        len(list_filter(earlier, lambda x: coalesce(f[x], false))) > 0 as gone,
+        len(list_filter(others, lambda x: f[x])) = 0 as alone
+    from grouped, steps
+), counted as (
+    select part, filter_order, step, here,
+        cast(coalesce(sum(n) filter (not fails and not gone), 0) as bigint) as kept,
+        cast(coalesce(sum(n) filter (fails and not gone), 0) as bigint) as removed,
+        cast(coalesce(sum(n) filter (fails and gone), 0) as bigint) as redundant,
+        cast(coalesce(sum(n) filter (fails and alone), 0) as bigint) as unique_fails,
+        cast(coalesce(sum(good) filter (fails and not gone), 0) as bigint) as good_lost,
+        cast(coalesce(sum(toxic) filter (fails and not gone), 0) as bigint) as toxic_lost
+    from walked group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    cast(sum(removed) over (partition by part, here) as bigint) as shapley
+from counted
+"""
+
+ORACLE: dict[str, str] = {"op2_licenses": _licenses(), "op4_exact_dedup": EXACT, "op5_mixing": MIXING, "op7_warc": WARC, "op11_hard_negatives": NEGATIVES, "op12_filter_audit": AUDIT}
