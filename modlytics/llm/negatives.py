@@ -50,8 +50,9 @@ BLOCK_ROWS = 1 << 18
 LEAST_BLOCK = 1 << 11
 #: Scores beyond a long stay at its bounds.
 LARGEST = (1 << 63) - 1
-#: Pairs that are worked through at once.
-PAIRS = 1 << 20
+#: Pairs that are worked through at once, and components of the vectors that are scored at once.
+PAIRS = 1 << 18
+COMPONENTS = 1 << 20
 
 
 def _rotation(dim: int) -> np.ndarray:
@@ -108,12 +109,19 @@ class Planes:
         return middle - width, middle + width
 
 
+def _scores(a: np.ndarray, who: np.ndarray, b: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``who`` of a with rows ``what`` of b, a bounded number of components at once."""
+    at_once = max(1, COMPONENTS // a.shape[1])
+    return np.concatenate(
+        [_score(a[who[i : i + at_once]], b[what[i : i + at_once]]) for i in range(0, len(who), at_once)] or [np.zeros(0, np.int64)]
+    )
+
+
 def _score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows of integer vectors."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**52:
-        return np.rint(np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))).astype(np.int64)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**62:
+        return np.einsum("ij,ij->i", a, b)
     exact = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
     return np.array([max(-LARGEST, min(LARGEST, score)) for score in exact], np.int64)
 
@@ -173,7 +181,7 @@ def _positives(block: Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         wanted = (block.labels == anchors.labels[some, None]) & (block.ids != anchors.ids[some, None])
         bar = _nth_greatest(np.where(wanted, low, -np.inf), POSITIVES)
         who, what = np.nonzero(wanted & (high >= bar[:, None]))
-        scores = _score(anchors.vectors[some][who], block.vectors[what])
+        scores = _scores(anchors.vectors[some], who, block.vectors, what)
         best = _best(who, scores, block.ids[what], POSITIVES)
         columns = [anchors.ids[some][who[best]], block.ids[what[best]], scores[best]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor_id", "positive_id", "positive_score"])
@@ -194,7 +202,7 @@ def _negatives(block: Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             # A negative positive score has no scores between it and a share of it.
             reach |= other & (low <= most) & (high >= bar[:, None] - 1e-6 * np.abs(bar[:, None])) & (most >= 0)
         who, what = np.nonzero(reach)
-        scores = _score(anchors.vectors[some][who], block.vectors[what])
+        scores = _scores(anchors.vectors[some], who, block.vectors, what)
         for k in range(max(map(len, bounds))):
             known = np.array([k < len(b) for b in bounds])
             most = np.array([b[k] if k < len(b) else 0 for b in bounds], np.int64)
