@@ -40,8 +40,11 @@ def safety_bands(scores: DataFrame) -> DataFrame:
 
 def class_counts(creators: DataFrame, comments: DataFrame) -> DataFrame:
     """Comments per creator and class: the five classes always, unknown ones where they occur."""
+    return _zero_filled(creators, comments.groupBy("profile_url", "classification").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _zero_filled(creators: DataFrame, counted: DataFrame) -> DataFrame:
     known = creators.select("profile_url", F.explode(F.array(*[F.lit(c) for c in fixed.CLASSES])).alias("classification"))
-    counted = comments.groupBy("profile_url", "classification").agg(F.count(F.lit(1)).alias("n"))
     return known.join(counted, ["profile_url", "classification"], "full_outer").select(
         "profile_url", "classification", F.coalesce("n", F.lit(0)).alias("comments")
     )
@@ -59,6 +62,10 @@ def creator_rollup(creators: DataFrame, comments: DataFrame) -> DataFrame:
     counted = comments.groupBy("profile_url").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(_not_proper()).alias("flagged")
     )
+    return _rolled_up(creators, counted)
+
+
+def _rolled_up(creators: DataFrame, counted: DataFrame) -> DataFrame:
     name, platform = F.col("creator_name"), F.col("platform")
     return (
         creators.join(counted, "profile_url", "left")
@@ -100,8 +107,37 @@ def author_tallies(comments: DataFrame) -> DataFrame:
     return comments.groupBy("profile_url", "author", "classification").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scores_of_tallies(tallies: DataFrame) -> DataFrame:
+    """safety_scores from author tallies."""
+    proper = F.sum(F.when(_is(fixed.PROPER), F.col("n")).otherwise(0)).alias("proper_comments")
+    counted = tallies.groupBy("profile_url").agg(proper, F.sum("n").alias("total_comments"))
+    return counted.withColumn("safety_score", safety_score(F.col("proper_comments"), F.col("total_comments")))
+
+
+def class_counts_of_tallies(creators: DataFrame, tallies: DataFrame) -> DataFrame:
+    """class_counts from author tallies."""
+    return _zero_filled(creators, tallies.groupBy("profile_url", "classification").agg(F.sum("n").alias("n")))
+
+
+def rollup_of_tallies(creators: DataFrame, tallies: DataFrame) -> DataFrame:
+    """creator_rollup from author tallies."""
+    flagged = F.sum(F.when(_not_proper(), F.col("n")).otherwise(0)).alias("flagged")
+    return _rolled_up(creators, tallies.groupBy("profile_url").agg(F.sum("n").alias("total"), flagged))
+
+
+def offenders_of_tallies(tallies: DataFrame, n: int = fixed.TOP_OFFENDERS) -> DataFrame:
+    """top_offenders from author tallies."""
+    violations = tallies.filter(_not_proper()).groupBy("profile_url", "author").agg(F.sum("n").alias("violations_count"))
+    return _ranked(violations, n)
+
+
 def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
-    """One row per known creator: details, totals, class counts, flagged issues and top offenders.
+    """One row per known creator: details, totals, class counts, flagged issues and top offenders."""
+    return analytics_of_tallies(creators, author_tallies(comments))
+
+
+def analytics_of_tallies(creators: DataFrame, tallies: DataFrame) -> DataFrame:
+    """creator_analytics from author tallies.
 
     ``class_counts`` maps every class that occurs to its comments, so its values always sum to the
     total; the five known classes also have columns.
@@ -109,7 +145,6 @@ def creator_analytics(creators: DataFrame, comments: DataFrame) -> DataFrame:
     Totals and offenders both start from the author tallies. Neither filters them before the shuffle,
     so Spark runs it once and reuses it; the comments are read a single time.
     """
-    tallies = author_tallies(comments)
 
     def of(*classes: str) -> Column:
         return F.sum(F.when(_is(*classes), F.col("n")).otherwise(0))

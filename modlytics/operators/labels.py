@@ -33,8 +33,8 @@ def label_payloads(batched: DataFrame) -> DataFrame:
     return batched.groupBy(*BATCH).agg(F.to_json(items).alias("payload"), F.count(F.lit(1)).alias("items"))
 
 
-def parse_label_payloads(landed: DataFrame) -> DataFrame:
-    """(profile_url, batch_id, payload) -> (profile_url, batch_id, ok, labels).
+def parse_label_payloads(landed: DataFrame, *keep: str) -> DataFrame:
+    """(profile_url, batch_id, payload) -> (profile_url, batch_id, keep..., ok, labels).
 
     ``labels`` keeps the items in payload order. A payload is not ok when it is missing or broken, is
     no array, has an item without an id, or gives a severity that is no number.
@@ -48,7 +48,7 @@ def parse_label_payloads(landed: DataFrame) -> DataFrame:
     return (
         landed.withColumn("items", items)
         .withColumn("labels", F.transform("items", _label))
-        .select(*BATCH, F.coalesce(F.forall("labels", lambda x: x["valid"]), F.lit(False)).alias("ok"), "labels")
+        .select(*BATCH, *keep, F.coalesce(F.forall("labels", lambda x: x["valid"]), F.lit(False)).alias("ok"), "labels")
     )
 
 
@@ -117,8 +117,12 @@ def hybrid_labels(batched: DataFrame, parsed: DataFrame) -> DataFrame:
     looked up in the record by id. The rules run only for comments that need them.
     """
     records = batch_records(batched, parsed)
-    whole = records.groupBy("profile_url").agg(F.bool_and("ok").alias("scan_ok"))
-    verdicts = records.join(whole, "profile_url").select(*BATCH, "scan_ok", "labels")
+    return label_by_verdict(batched, records, records.groupBy("profile_url").agg(F.bool_and("ok").alias("scan_ok")))
+
+
+def label_by_verdict(batched: DataFrame, records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """hybrid_labels where (profile_url, scan_ok) is known: outside labels for the creators that are ok, the rules for all others."""
+    verdicts = records.join(verdicts, "profile_url").select(*BATCH, "scan_ok", "labels")
     joined = batched.join(verdicts, BATCH, "left").withColumn(
         "label", F.try_element_at(F.filter("labels", lambda x: x["id"] == F.col("id")), F.lit(-1))
     )

@@ -2,7 +2,8 @@
 
 A version goes to a new path, never over one being read. A bucketed comment table can also be changed
 in place: only the buckets of the creators in question are read, written anew in the scratch folder,
-and then put in place of the old ones.
+and then put in place of the old ones. Where creators are scanned again and again, keep the tables by generation
+(``generations``), so that a scan writes its own rows only.
 """
 
 from __future__ import annotations
@@ -12,21 +13,14 @@ from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
 from modlytics.session import scratch_path
-from modlytics.sources.tables import BUCKETS, bucket_of, read_comments, write_comments, write_table
+from modlytics.sources.tables import bucket_count, bucket_of, read_comments, write_comments, write_table
 
 CREATOR_FIELDS = ["platform", "creator_name", "safety_score", "last_scanned"]
 
 
-def replace_comments(
-    stored: DataFrame, scanned: DataFrame, ingest_time: str, scanned_creators: DataFrame | None = None
-) -> DataFrame:
-    """All comments of every scanned creator replaced; creators with an empty scan keep theirs.
-
-    Spark broadcasts the scanned keys only when it measures them small. Otherwise both sides are
-    shuffled and the stored side of a hot creator may be split, since the keys are distinct. The keys
-    come from ``scanned_creators`` where that table is at hand, else from the new comments.
-    """
-    filled = scanned.withColumns(
+def with_defaults(scanned: DataFrame, ingest_time: str) -> DataFrame:
+    """Scanned comments as they are stored: what is missing gets its default."""
+    return scanned.withColumns(
         {
             "author": F.coalesce("author", F.lit(fixed.ANONYMOUS)),
             "text": F.coalesce("text", F.lit("")),
@@ -36,8 +30,19 @@ def replace_comments(
             "flagged_words": F.coalesce("flagged_words", F.lit("")),
         }
     )
+
+
+def replace_comments(
+    stored: DataFrame, scanned: DataFrame, ingest_time: str, scanned_creators: DataFrame | None = None
+) -> DataFrame:
+    """All comments of every scanned creator replaced; creators with an empty scan keep theirs.
+
+    Spark broadcasts the scanned keys only when it measures them small. Otherwise both sides are
+    shuffled and the stored side of a hot creator may be split, since the keys are distinct. The keys
+    come from ``scanned_creators`` where that table is at hand, else from the new comments.
+    """
     replaced = scanned if scanned_creators is None else scanned_creators
-    return delete_creators(stored, replaced).unionByName(filled, allowMissingColumns=True)
+    return delete_creators(stored, replaced).unionByName(with_defaults(scanned, ingest_time), allowMissingColumns=True)
 
 
 def delete_creators(table: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def _touched(stored: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
 
 def _put(spark: SparkSession, path: str, comments: DataFrame, touched: DataFrame, buckets: int) -> DataFrame:
     """Replaces the touched buckets; one that is left empty is deleted, last, so a repeated call ends the same."""
-    written = write_table(comments.drop("bucket"), scratch_path(spark, "touched"))
+    written = write_table(comments.drop("buckets", "bucket"), scratch_path(spark, "touched"))
     gone = touched.select("bucket").distinct().join(
         written.select(bucket_of(F.col("profile_url"), buckets).alias("bucket")).distinct(), "bucket", "left_anti"
     )
@@ -89,21 +94,27 @@ def _put(spark: SparkSession, path: str, comments: DataFrame, touched: DataFrame
     table = write_comments(written, path, buckets, replace=True)
     files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for bucket in emptied:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}"), True)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/buckets={buckets}/bucket={bucket}"), True)
     return read_comments(spark, path) if emptied else table
 
 
 def replace_in_table(
     spark: SparkSession, path: str, scanned: DataFrame, ingest_time: str, scanned_creators: DataFrame | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """replace_comments on a bucketed table at ``path``: other creators' buckets are neither read nor written."""
+    """replace_comments on a bucketed table at ``path``: other creators' buckets are neither read nor written. The number of
+    buckets is the table's; one that is given and isn't is an error."""
     keys = scanned if scanned_creators is None else scanned_creators
-    touched = _touched(read_comments(spark, path), keys, buckets)
-    return _put(spark, path, replace_comments(touched.drop("bucket"), scanned, ingest_time, scanned_creators), touched, buckets)
+    stored = read_comments(spark, path)
+    number = bucket_count(stored, buckets)
+    touched = _touched(stored, keys, number)
+    left = replace_comments(touched.drop("buckets", "bucket"), scanned, ingest_time, scanned_creators)
+    return _put(spark, path, left, touched, number)
 
 
-def delete_from_table(spark: SparkSession, path: str, doomed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def delete_from_table(spark: SparkSession, path: str, doomed: DataFrame, buckets: int | None = None) -> DataFrame:
     """delete_creators on a bucketed comment table at ``path``."""
-    touched = _touched(read_comments(spark, path), doomed, buckets)
-    return _put(spark, path, delete_creators(touched, doomed), touched, buckets)
+    stored = read_comments(spark, path)
+    number = bucket_count(stored, buckets)
+    touched = _touched(stored, doomed, number)
+    return _put(spark, path, delete_creators(touched, doomed), touched, number)

@@ -15,7 +15,7 @@ from modlytics import schemas
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.scores import severity_percent
 from modlytics.functions.text import highlight
-from modlytics.sources.tables import BUCKETS, bucket_of
+from modlytics.sources.tables import bucket_of
 
 VIEW_COLUMNS = ["profile_url", "comment_id", *schemas.EXPORT_COLUMNS]
 
@@ -28,10 +28,12 @@ def gravest_first(comments: DataFrame) -> DataFrame:
     return comments.select(*VIEW_COLUMNS).sortWithinPartitions("profile_url", F.desc("severity_score"), "comment_id")
 
 
-def of_creator(comments: DataFrame, profile_url: str, buckets: int = BUCKETS) -> DataFrame:
-    """One creator's comments, of which a bucketed table reads one bucket."""
+def of_creator(comments: DataFrame, profile_url: str) -> DataFrame:
+    """One creator's comments, of which a bucketed table reads one bucket, whatever number of them it was written with."""
     own = comments.filter(F.col("profile_url") == profile_url)
-    return own.filter(F.col("bucket") == bucket_of(F.lit(profile_url), buckets)) if "bucket" in comments.columns else own
+    if not {"buckets", "bucket"} <= set(comments.columns):
+        return own
+    return own.filter(F.col("bucket") == bucket_of(F.lit(profile_url), F.col("buckets")))
 
 
 def newest_of_creator(comments: DataFrame, profile_url: str) -> DataFrame:

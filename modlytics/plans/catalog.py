@@ -12,17 +12,19 @@ from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import platform_of
 from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
 from modlytics.functions.text import strip_tags
-from modlytics.operators import analytics, labels, tables, views
+from modlytics.operators import analytics, generations, labels, tables, views
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.plans import fixtures
 from modlytics.plans.scan import creator_names, landed_status, scan, with_link_parts
 from modlytics.session import scratch_path
 from modlytics.sources import csv_files
 from modlytics.sources.landed import latest_scans
-from modlytics.sources.tables import read_table, write_comments
+from modlytics.sources.tables import read_table, write_table
 from modlytics.sources.threads import thread_comments
 from modlytics.sources.videos import video_comments
+from modlytics.streaming.answers import drain_verdicts
 from modlytics.streaming.live import drain, moderate_stream
+from modlytics.streaming.tables import keep_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,6 +223,26 @@ def hybrid_labels(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.select("comment_id", "profile_url", "scan_ok", *LABELS)
 
 
+def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as they arrive, some broken and some too late: every scan is decided by a stateful stream in two rounds, then
+    labelled from outside or by the rules."""
+    inbox, path, progress = (scratch_path(spark, n) for n in ("answers", "verdicts", "verdicts-progress"))
+    events = write_table(fixtures.label_events(spark, folder), scratch_path(spark, "label-events"))
+    late = F.col("at") > F.expr(f"timestamp '{fixtures.SENT_AT}' + interval '1' hour")
+    for arrived in (events.filter(~late), events.filter(late)):
+        arrived.write.mode("append").parquet(inbox)
+        landed = spark.readStream.schema(fixtures.LABEL_EVENT).parquet(inbox)
+        answers = labels.parse_label_payloads(landed.filter("batches is null"), "scan", "at").drop("labels")
+        sent = landed.filter("batches is not null").select("profile_url", "scan", "batches", "at")
+        verdicts = drain_verdicts(sent, answers, path, progress, patience_seconds=3600)
+    batched = _batched(spark, folder, "text")
+    records = labels.batch_records(batched, labels.parse_label_payloads(events.filter("batches is null")))
+    labelled = labels.label_by_verdict(batched, records, verdicts.select("profile_url", "scan_ok"))
+    return labelled.join(verdicts.select("profile_url", "reason"), "profile_url").select(
+        "comment_id", "profile_url", "scan_ok", "reason", *LABELS
+    )
+
+
 # --- tables ---
 
 
@@ -236,15 +258,20 @@ def _shown(creators: DataFrame) -> DataFrame:
     return creators.withColumn("last_scanned", F.date_format("last_scanned", fixed.TIMESTAMP_FORMAT))
 
 
-def replace_comments(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule labels stored; the creators of two platforms scanned again with outside labels."""
-    path = scratch_path(spark, "comments")
-    write_comments(_comments(spark, folder).drop("pos"), path)
+def _rescanned(spark: SparkSession, folder: str) -> int:
+    """The creators of two platforms scanned again with outside labels, as a generation on top of the first."""
     again = labels.merge_labels(_batched(spark, folder, "author", "text", "timestamp"), fixtures.label_items(spark, folder))
     again = again.filter(platform_of(F.col("profile_url")).isin(*RESCANNED)).select(
         "profile_url", "comment_id", "author", "text", "timestamp", *LABELS
     )
-    return tables.replace_in_table(spark, path, again, fixtures.INGEST_TIME).select(*views.VIEW_COLUMNS)
+    scanned = _creators(spark, folder).filter(F.col("platform").isin(*RESCANNED))
+    return generations.append_scan(spark, fixtures.store(spark, folder), scanned, again, fixtures.INGEST_TIME, of=[0])
+
+
+def replace_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule labels stored; the creators of two platforms scanned again with outside labels."""
+    again = _rescanned(spark, folder)
+    return generations.current_comments(spark, fixtures.store(spark, folder), [0, again]).select(*views.VIEW_COLUMNS)
 
 
 def upsert_creators(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,12 +306,48 @@ def delete_creators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delete_creator_comments(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "comments")
-    write_comments(_comments(spark, folder), path)
-    left = tables.delete_from_table(spark, path, _doomed(spark, folder))
+    store = fixtures.store(spark, folder)
+    gone = generations.delete(spark, store, _doomed(spark, folder), of=[0])
+    left = generations.current_comments(spark, store, [0, gone])
     return left.select("profile_url", "comment_id", "author", "timestamp", *LABELS)
 
 
+def _changed(spark: SparkSession, folder: str) -> generations.State:
+    """The store after a rescan of two platforms and the deletion of a third."""
+    store, again = fixtures.store(spark, folder), _rescanned(spark, folder)
+    return generations.state(spark, store, [0, again, generations.delete(spark, store, _doomed(spark, folder), of=[0, again])])
+
+
+def kept_class_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Class counts after a rescan and a deletion, from tallies alone."""
+    now = _changed(spark, folder)
+    return analytics.class_counts_of_tallies(now.creators(), now.tallies())
+
+
+def kept_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """The roll-up after a rescan and a deletion, with scores kept up to date, from tallies alone."""
+    now = _changed(spark, folder)
+    known = tables.write_scores(now.creators(), analytics.scores_of_tallies(now.tallies()))
+    return _shown(analytics.rollup_of_tallies(known, now.tallies()))
+
+
+def kept_top_offenders(spark: SparkSession, folder: str) -> DataFrame:
+    """Top offenders after a rescan and a deletion, from tallies alone."""
+    return analytics.offenders_of_tallies(_changed(spark, folder).tallies())
+
+
+def stream_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments that a stream keeps: landed scans in three micro-batches. The pages of every third link come apart."""
+    store, inbox, progress = (scratch_path(spark, n) for n in ("kept", "landed", "landed-progress"))
+    landed = write_table(fixtures.landed_scans(spark, folder), scratch_path(spark, "landed-scans"))
+    number = F.regexp_extract("profile_url", "src([0-9]+)$", 1).cast("int")
+    part = F.when(number % 3 == 0, F.col("page") % 3).otherwise(number % 3)
+    for i in range(3):
+        landed.filter(part == i).write.mode("append").parquet(inbox)
+        keep_tables(spark.readStream.schema(schemas.LANDED_PAGE).parquet(inbox), store, progress, fixtures.INGEST_TIME)
+    return generations.current_comments(spark, store).select("profile_url", "pos", "author", "text", "timestamp", *LABELS)
+
+
 def export_comments_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "export-comments")
     csv_files.export_comments(views.flagged_view(_comments(spark, folder)), path)
@@ -427,12 +490,17 @@ QUERIES: dict[str, Query] = {
     "external_batch_status": external_batch_status,
     "merge_external_labels": merge_external_labels,
     "hybrid_labels": hybrid_labels,
+    "stream_labels": stream_labels,
     "scan_comments": scan_comments,
     "list_creators": list_creators,
     "replace_comments": replace_comments,
     "upsert_creators": upsert_creators,
     "delete_creators": delete_creators,
     "delete_creator_comments": delete_creator_comments,
+    "kept_class_counts": kept_class_counts,
+    "kept_rollup": kept_rollup,
+    "kept_top_offenders": kept_top_offenders,
+    "stream_tables": stream_tables,
     "export_comments_csv": export_comments_csv,
     "export_blocklist_csv": export_blocklist_csv,
     "safety_scores": safety_scores,

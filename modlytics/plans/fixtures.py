@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.operators import generations
 from modlytics.operators.analytics import safety_scores
 from modlytics.operators.labels import cut_batches
 from modlytics.operators.moderation import moderate
@@ -17,7 +18,7 @@ from modlytics.operators.positions import dense_positions
 from modlytics.operators.tables import write_scores
 from modlytics.plans.scan import creator_names
 from modlytics.session import scratch_path
-from modlytics.sources.tables import read_comments, read_table, write_comments, write_table
+from modlytics.sources.tables import read_comments, read_table, write_table
 
 INGEST_TIME = "2024-02-01 00:00:00"
 BATCH_ROWS = 20
@@ -75,15 +76,18 @@ def creators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_tables(spark: SparkSession, folder: str) -> tuple[str, str]:
-    """Writes creator and comment tables as a scan leaves them, and returns their paths."""
-    comments_path, creators_path = scratch_path(spark, "comments"), scratch_path(spark, "creators")
+    """Writes creators and comments as a scan leaves them: a store with one generation, and the creators as a table.
+    Returns the paths of the table and of the store."""
+    store, creators_path = scratch_path(spark, "store"), scratch_path(spark, "creators")
     # Labelled where the texts are read, numbered after: the shuffle that numbers a creator's
     # comments then does not decide how evenly the rules run.
     labelled = moderate(raw_comments(spark, folder))
     numbered = dense_positions(labelled, "profile_url", "comment_id", keys_of=raw_comments(spark, folder))
-    comments = write_comments(numbered, comments_path)
-    write_table(write_scores(creators(spark, folder), safety_scores(comments)), creators_path)
-    return creators_path, comments_path
+    known = creators(spark, folder)
+    staged = generations.stage(spark, store, numbered, INGEST_TIME, links(spark, folder).count())
+    scored = write_table(write_scores(known, safety_scores(staged.comments)), creators_path)
+    generations.commit(spark, store, staged, scored)
+    return creators_path, store
 
 
 _stored: dict[tuple[str, str, str], tuple[str, str]] = {}
@@ -96,17 +100,27 @@ def _version(spark: SparkSession, folder: str) -> str:
     return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
+def _paths(spark: SparkSession, folder: str) -> tuple[str, str]:
+    key = (spark.sparkContext.applicationId, folder, _version(spark, folder))
+    if key not in _stored:
+        _stored[key] = store_tables(spark, folder)
+    return _stored[key]
+
+
 def stored_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The tables of store_tables, stored at the first use in a session for each state of the source.
 
     Reports at scale read a few narrow columns of these tables; labelling all texts anew for each
     report would cost far more than the report.
     """
-    key = (spark.sparkContext.applicationId, folder, _version(spark, folder))
-    if key not in _stored:
-        _stored[key] = store_tables(spark, folder)
-    creators_path, comments_path = _stored[key]
-    return spark.read.parquet(creators_path), read_comments(spark, comments_path)
+    creators_path, path = _paths(spark, folder)
+    return spark.read.parquet(creators_path), read_comments(spark, f"{path}/comments/generation=0")
+
+
+def store(spark: SparkSession, folder: str) -> str:
+    """The path of the store. Its first generation is that of stored_tables; a query that adds to it reads what it added
+    on top of that alone."""
+    return _paths(spark, folder)[1]
 
 
 def _label(toxic: Column, quality: Column) -> list[Column]:
@@ -152,6 +166,27 @@ def landed_labels(spark: SparkSession, folder: str) -> DataFrame:
     return good.select("profile_url", "batch_id", payload.alias("payload"))
 
 
+SCAN = "first"
+SENT_AT = "2024-02-01 00:00:00"
+LABEL_EVENT = "profile_url STRING, scan STRING, batches BIGINT, batch_id BIGINT, payload STRING, at TIMESTAMP"
+
+
+def label_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches sent to a labeller, one announcement per creator, and its answers as landed_labels has them. They come within
+    50 minutes, but the first one on each creator of one platform comes two hours later."""
+    _, comments = stored_tables(spark, folder)
+    sent = F.lit(SENT_AT).cast("timestamp")
+    announced = comments.groupBy("profile_url").agg((F.max(F.expr(f"pos div {BATCH_ROWS}")) + 1).alias("batches")).select(
+        "profile_url", F.lit(SCAN).alias("scan"), "batches", F.lit(None).cast("bigint").alias("batch_id"), F.lit(None).cast("string").alias("payload"), sent.alias("at")
+    )
+    delay = F.when((F.col("batch_id") == 0) & F.contains("profile_url", F.lit("x.com")), 7200).otherwise(F.col("batch_id") % 3000)
+    answers = landed_labels(spark, folder).select(
+        "profile_url", F.lit(SCAN).alias("scan"), F.lit(None).cast("bigint").alias("batches"), "batch_id", "payload",
+        F.timestamp_seconds(F.unix_timestamp(sent) + delay).alias("at"),
+    )
+    return announced.unionByName(answers)
+
+
 def _json_node(turn: Column, replies: Column) -> Column:
     """One thread node as JSON. Some have no author or time, some bodies are empty or removed."""
     mark = turn["conv_id"] + turn["turn"]

@@ -262,6 +262,19 @@ _URLS = f"""{FX_LINKS}, urls AS (
 # Platforms whose first batch comes back broken.
 _FAILED = "(contains(profile_url, 'youtu.be') OR contains(profile_url, 'instagram') OR contains(profile_url, 'tiktok'))"
 
+FX_AFTER = f"""{FX_MERGED}, {moderated('fx_raw', 'by_rules')}, {FX_CREATORS},
+    again AS (SELECT * FROM fx_merged WHERE {platform_case('profile_url')} IN {tuple(catalog.RESCANNED)}),
+    fx_after AS (
+        SELECT {VIEW} FROM by_rules WHERE profile_url NOT IN (SELECT profile_url FROM again)
+            AND {platform_case('profile_url')} <> '{catalog.DELETED_PLATFORM}'
+        UNION ALL SELECT {VIEW} FROM again
+    ),
+    fx_known AS (SELECT * FROM fx_creators WHERE platform <> '{catalog.DELETED_PLATFORM}'),
+    {scored("fx_after", "after_scores")},
+    fx_kept AS (
+        SELECT profile_url, platform, creator_name, coalesce(s.safety_score, c.safety_score) AS safety_score, last_scanned
+        FROM fx_known c LEFT JOIN after_scores s USING (profile_url)
+    )"""
 _TOKENS = """list_transform(list_sort(list_transform(
         list_filter(list_transform(string_split(flagged_words, ','), lambda w: trim(w)),
             lambda w: w <> '' AND w NOT IN ('URL_LINK', 'YELLING', 'Excessive Emojis')),
@@ -350,6 +363,21 @@ ORACLE: dict[str, str] = {
             {', '.join(f"CASE WHEN scan_ok THEN m.{c} ELSE r.{c} END AS {c}" for c in LABELS.split(', '))}
             FROM fx_merged m JOIN by_rules r USING (comment_id)""",
     ),
+    "stream_labels": _with(
+        f"""{FX_MERGED}, {moderated('fx_raw', 'by_rules')},
+        decided AS (SELECT DISTINCT profile_url, CASE WHEN {_FAILED} THEN 'broken'
+            WHEN contains(profile_url, 'x.com') THEN 'late' ELSE 'complete' END AS reason FROM fx_raw)""",
+        f"""SELECT m.comment_id, m.profile_url, reason = 'complete' AS scan_ok, reason,
+            {', '.join(f"CASE WHEN reason = 'complete' THEN m.{c} ELSE r.{c} END AS {c}" for c in LABELS.split(', '))}
+            FROM fx_merged m JOIN by_rules r USING (comment_id) JOIN decided d ON d.profile_url = m.profile_url""",
+    ),
+    "stream_tables": _with(
+        f"""{FX_SCANS}, fx_landed AS (
+            SELECT profile_url, page * {2**32} + row_number() OVER (PARTITION BY profile_url, page ORDER BY doc_id) - 1 AS pos, author,
+                regexp_replace('<b class=''t''>' || text || '</b><br>', '{fixed.TAG_PATTERN}', '', 'g') AS text, "timestamp"
+            FROM fx_scans WHERE status = 'ok'), {moderated('fx_landed', 'labelled')}""",
+        f'SELECT profile_url, pos, author, text, "timestamp", {LABELS} FROM labelled',
+    ),
     "scan_comments": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments"),
     "list_creators": _with(FX_STORED, f"SELECT * REPLACE ({WHEN_SCANNED}) FROM fx_stored"),
     "replace_comments": _with(
@@ -376,6 +404,13 @@ ORACLE: dict[str, str] = {
         f"""SELECT profile_url, comment_id, author, "timestamp", {LABELS} FROM fx_comments
             WHERE {platform_case('profile_url')} <> '{catalog.DELETED_PLATFORM}'""",
     ),
+    "kept_class_counts": _with(
+        f"{FX_AFTER}, {CLASS_COUNTS.format(comments='fx_after').replace('fx_creators', 'fx_known')}", "SELECT * FROM class_counts"
+    ),
+    "kept_rollup": _with(
+        f"{FX_AFTER}, {ROLLUP.format(comments='fx_after').replace('fx_stored', 'fx_kept')}", "SELECT * FROM rolled"
+    ),
+    "kept_top_offenders": _with(f"{FX_AFTER}, {OFFENDERS.replace('fx_comments', 'fx_after')}", "SELECT * FROM offenders"),
     "export_comments_csv": _with(
         FX_COMMENTS, f'SELECT profile_url AS creator, author, text, "timestamp", {LABELS} FROM fx_comments WHERE {ISSUES}'
     ),

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import display_name, handle_of, platform_of
+from modlytics.operators import generations
 from modlytics.operators.analytics import safety_scores
 from modlytics.operators.labels import cut_batches, hybrid_labels, label_payloads
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.operators.tables import replace_comments, upsert_creators
 from modlytics.session import scratch_path
-from modlytics.sources.tables import write_table
 from modlytics.sources.landed import latest_scans
+from modlytics.sources.tables import write_comments, write_table
 from modlytics.sources.threads import comments_of_threads, read_threads, thread_comments
 from modlytics.sources.videos import comments_of_pages, read_pages, video_comments, video_titles
 
@@ -80,37 +81,72 @@ def scanned_creators(links: DataFrame, titles: DataFrame, comments: DataFrame, i
     )
 
 
-def scan(
+def labelled_scan(
     threads: DataFrame,
     pages: DataFrame,
     ingest_time: str,
-    comments_path: str,
     video_details: DataFrame | None = None,
     parsed_labels: DataFrame | None = None,
     rows_per_thread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Creators and comments of one scan of landed threads and pages.
+    """Labelled comments of one scan of landed threads and pages, and the landed titles of its links.
 
-    Each thread is parsed once, for its title, comments and status. The labelled comments are written to
-    ``comments_path``, a new path in shared storage. Scores and whatever the caller does with the
-    comments read them from there, so texts are labelled once.
+    Each thread is parsed once, for its title, comments and status. Nothing is labelled until the comments are written.
     """
     spark = threads.sparkSession
     read = write_table(read_threads(latest_scans(threads)), scratch_path(spark, "threads"))
     found = comments_of_threads(read, ingest_time, rows_per_thread)
     found = found.unionByName(comments_of_pages(read_pages(latest_scans(pages)), ingest_time))
-    comments = write_table(label(_keyed(found), parsed_labels), comments_path, "profile_url", "pos")
     titles = read.groupBy("profile_url").agg(F.min_by("title", "page").alias("title"))
     if video_details is not None:
         named = video_titles(latest_scans(video_details)).groupBy("profile_url").agg(F.max("title").alias("title"))
         titles = titles.unionByName(named)
+    return label(_keyed(found), parsed_labels), titles
+
+
+def scan(
+    threads: DataFrame,
+    pages: DataFrame,
+    ingest_time: str,
+    comments_path: str,
+    video_details: DataFrame | None = None,
+    parsed_labels: DataFrame | None = None,
+    rows_per_thread: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Creators and comments of one scan of landed threads and pages.
+
+    The labelled comments are written by bucket to ``comments_path``, a new path in shared storage. Scores and whatever
+    the caller does with the comments read them from there, so texts are labelled once.
+    """
+    labelled, titles = labelled_scan(threads, pages, ingest_time, video_details, parsed_labels, rows_per_thread)
+    comments = write_comments(labelled, comments_path).drop("buckets", "bucket")
     links = comments.select("profile_url").distinct()
     return scanned_creators(links, titles, comments, ingest_time), comments
 
 
+def scan_into(
+    spark: SparkSession,
+    store: str,
+    threads: DataFrame,
+    pages: DataFrame,
+    ingest_time: str,
+    video_details: DataFrame | None = None,
+    parsed_labels: DataFrame | None = None,
+    rows_per_thread: int | None = None,
+    batch: tuple[str, int] | None = None,
+) -> int:
+    """One scan into a store kept by generation: creators and comments in one step, and only the scanned links' rows are
+    written, once. Links whose scan brought no comments stay as they are. Returns the generation."""
+    labelled, titles = labelled_scan(threads, pages, ingest_time, video_details, parsed_labels, rows_per_thread)
+    links = threads.select("profile_url").unionByName(pages.select("profile_url")).distinct().count()
+    staged = generations.stage(spark, store, labelled, ingest_time, links)
+    found = staged.comments.select("profile_url").distinct()
+    return generations.commit(spark, store, staged, scanned_creators(found, titles, staged.comments, ingest_time), batch)
+
+
 def next_tables(
     creators: DataFrame, comments: DataFrame, new_creators: DataFrame, new_comments: DataFrame, ingest_time: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Both tables after a scan. Write each to a new path, then point readers to it."""
+    """Both tables after a scan, whole. Write each to a new path, then point readers to it. scan_into writes less."""
     replaced = replace_comments(comments, new_comments, ingest_time, scanned_creators=new_creators)
     return upsert_creators(creators, new_creators), replaced

@@ -35,14 +35,15 @@ def latest_scans(payloads: DataFrame) -> DataFrame:
     return kept.groupBy("profile_url", "landed_at", "page").agg(*[F.max(c).alias(c) for c in others])
 
 
-def read_landed(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of JSON payload files -> (profile_url, landed_at, page, payload).
+def read_landed(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """A folder of JSON payload files -> (profile_url, landed_at, page, payload), as a table or as a stream of new files.
 
     Files are laid out as ``scan=<encoded time>/link=<encoded link>/<page>.json``, one folder per scan; the
     time is the folder's, whenever its files were written. Without a scan folder there is one scan and its
     time is null; a folder that names no time is an error. Each file is one payload, read whole.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+    reader = spark.readStream if stream else spark.read
+    files = reader.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
     scan = F.url_decode(F.url_decode(F.regexp_extract(path, "/scan=([^/]+)/link=", 1)))
     time = F.try_to_timestamp(scan)

@@ -23,23 +23,26 @@ def write_table(table: DataFrame, path: str, *cluster_by: str) -> DataFrame:
     return table.sparkSession.read.parquet(path)
 
 
-#: Partition directories of a comment table. A creator's comments are in one of them.
+#: Partition directories of a comment table, if nothing else is said. A creator's comments are in one of them.
 BUCKETS = 64
 
 
-def bucket_of(profile_url: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(profile_url: Column, buckets: int | Column = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(profile_url), F.lit(buckets)).cast("int")
 
 
 def write_comments(comments: DataFrame, path: str, buckets: int = BUCKETS, *, replace: bool = False) -> DataFrame:
     """Write comments by bucket of their creator, ordered inside by creator and time, and read them back.
 
+    The number of buckets is part of the folders' names (``buckets=n/bucket=b``), so a reader takes it from the table.
     A bucket with a hot creator is split over several tasks and files, small ones are put together.
     ``replace`` puts the buckets that occur in ``comments`` in place of those in the table at ``path``;
     the others are not touched.
     """
-    bucketed = comments.withColumn("bucket", bucket_of(F.col("profile_url"), buckets)).hint("rebalance", "bucket")
-    writer = bucketed.sortWithinPartitions("bucket", "profile_url", F.desc("timestamp")).write.partitionBy("bucket")
+    placed = {"buckets": F.lit(buckets), "bucket": bucket_of(F.col("profile_url"), buckets)}
+    bucketed = comments.withColumns(placed).hint("rebalance", "bucket")
+    ordered = bucketed.sortWithinPartitions("bucket", "profile_url", F.desc("timestamp"))
+    writer = ordered.write.partitionBy("buckets", "bucket")
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -49,3 +52,12 @@ def write_comments(comments: DataFrame, path: str, buckets: int = BUCKETS, *, re
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def bucket_count(stored: DataFrame, expected: int | None = None) -> int:
+    """The number of buckets that a comment table was written with; an error if another one is expected."""
+    first = stored.select("buckets").first()
+    found = first["buckets"] if first else expected or BUCKETS
+    if expected is not None and expected != found:
+        raise ValueError(f"the table has {found} buckets, not {expected}")
+    return found
