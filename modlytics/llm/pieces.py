@@ -8,8 +8,8 @@ perturbed log probability of anything below it, drawn below the value of what it
 best of the frontier is opened until it is a leaf. That gives k different segmentations, a sample without replacement.
 ``log_inclusion`` is the log probability that a segmentation's noise would lift it over the best one left out.
 
-No piece crosses the start of a word, so the lattice of a text is the product of its words' lattices; each
-different word of a batch is worked out once. All noise is a hash of the row's key, the rank and the
+No piece crosses the start of a word, so the lattice of a text is the product of its words' lattices; those of words
+seen are kept, up to a bound. All noise is a hash of the row's key, the rank and the
 place in the text: a row's result does not depend on its neighbours or on which task runs it.
 
 The model's scores are merge ranks; a piece of rank r has a weight of 1 / (r + 1), to the power ALPHA.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SEED = 1
 ALPHA = 1.0
 #: Code points that are worked through at once, at least one text.
 SLICE = 1 << 19
+#: Nodes (about characters) of the words whose lattices a task keeps; some 100 bytes each.
+STORE = 1 << 21
 
 _WORDS = re.compile(r" *[^ \n]+| +|\n+")
 #: Ranks of pieces that the model lists without a usable score.
@@ -72,6 +75,12 @@ class Vocabulary:
                 spelled[text], self.surface[i] = i, text.encode()
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary has no piece for some bytes")
+        #: Each piece's code points, filled up with zeros.
+        self.n_points = np.zeros(n, np.int64)
+        self.points = np.zeros((n, max(map(len, spelled))), np.uint32)
+        for text, i in spelled.items():
+            self.n_points[i] = len(text)
+            self.points[i, : len(text)] = [ord(c) for c in text]
         chars = sorted({c for text in spelled for c in text})
         self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
         self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -84,8 +93,7 @@ class Vocabulary:
                 state = nodes.setdefault((state, c), len(nodes) + 1)
             ends[state] = i
         keys = np.fromiter((s * self.width + self.classes[ord(c)] for s, c in nodes), np.int64, len(nodes))
-        order = np.argsort(keys)
-        self.keys, self.targets = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self._place(keys, np.fromiter(nodes.values(), np.int64, len(nodes)))
         self.first = np.zeros(self.width, np.int64)
         for (state, c), target in nodes.items():
             if state == 0:
@@ -93,13 +101,34 @@ class Vocabulary:
         self.piece_at = np.full(len(nodes) + 1, -1, np.int64)
         self.piece_at[list(ends)] = list(ends.values())
 
+    def _place(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """Transitions in a hash table with linear probing, at most a quarter full; free slots hold -1."""
+        self.shift = np.uint64(64 - max(3, (4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.targets = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.targets[slots[placed]] = targets[placed]
+            keys, targets, slots = keys[~placed], targets[~placed], (slots[~placed] + 1) & (size - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def follow(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which transitions there are, and where these lead."""
         if not states.any():
             there = self.first[classes] > 0
             return there, self.first[classes[there]]
         wanted = states * self.width + classes
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        at = self._slots(wanted)
+        left = np.arange(len(wanted))
+        while len(left):
+            held = self.keys[at[left]]
+            left = left[(held != wanted[left]) & (held >= 0)]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
         there = (self.keys[at] == wanted) & (classes > 0)
         return there, self.targets[at[there]]
 
@@ -159,9 +188,19 @@ class Lattice:
         self.id_at = np.cumsum(self.n_ids) - self.n_ids
         self.ids = np.repeat(pieces, self.n_ids)
         self.weight = vocabulary.logs[pieces]
+        # Whether the ids say what the text has there.
+        whole = np.flatnonzero(pieces >= 0)
+        self.spelled = np.zeros(len(pieces), bool)
+        self.spelled[whole] = vocabulary.n_points[pieces[whole]] == self.target[whole] - self.source[whole]
+        left, at = whole[self.spelled[whole]], 0
+        while len(left := left[vocabulary.n_points[pieces[left]] > at]):
+            self.spelled[left] &= vocabulary.points[pieces[left], at] == codes[self.source[left] + at]
+            at += 1
         for e, spelling in zip(bare.tolist(), spellings, strict=True):
             self.ids[self.id_at[e] : self.id_at[e] + len(spelling)] = spelling
             self.weight[e] = vocabulary.logs[spelling].sum()
+            said = b"".join(vocabulary.surface[i] for i in spelling)
+            self.spelled[e] = said == chr(codes[self.source[e]]).encode("utf-8", "replace")
 
     def _weigh(self, end_of: np.ndarray, n: int) -> None:
         """Messages from the end of each word, and each edge's probability given where it starts."""
@@ -177,9 +216,81 @@ class Lattice:
             message[sources[heads]] = np.logaddexp.reduceat(self.weight[edges] + message[self.target[edges]], heads)
         self.log_share = self.weight + message[self.target] - message[self.source]
         self.share = np.exp(self.log_share)
-        total = np.cumsum(self.share)
-        self.reach = total - np.concatenate(([0.0], total))[self.first_edge[self.source]]
-        self.reach[self.first_edge[1:][self.source] - 1 == np.arange(len(total))] = 1.0  # each place's last edge
+        # Summed place by place, so that it doesn't depend on what else is in the lattice.
+        self.reach = self.share.copy()
+        counts = np.diff(self.first_edge)
+        some = np.flatnonzero(counts > 1)
+        for k in range(1, int(counts.max(initial=0))):
+            some = some[counts[some] > k]
+            edges = self.first_edge[some] + k
+            self.reach[edges] += self.reach[edges - 1]
+        self.reach[self.first_edge[1:][counts > 0] - 1] = 1.0  # each place's last edge
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty(max(n, 2 * len(self.held)) - self.n, self.held.dtype)])
+        self.held[self.n : n] = values
+        self.n = n
+
+    def __call__(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Lattices:
+    """The lattice of all words seen so far, so that a word is worked out once in a task. It is begun anew when it has more than
+    STORE nodes, which bounds its memory."""
+
+    inside: np.ndarray
+    source: np.ndarray
+    target: np.ndarray
+    first_edge: np.ndarray
+    n_ids: np.ndarray
+    id_at: np.ndarray
+    ids: np.ndarray
+    spelled: np.ndarray
+    log_share: np.ndarray
+    reach: np.ndarray
+    KINDS = {
+        "inside": bool, "source": np.int32, "target": np.int32, "first_edge": np.int64, "n_ids": np.int8, "id_at": np.int64,
+        "ids": np.int32, "spelled": bool, "log_share": np.float64, "reach": np.float64,
+    }
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.starts = _Grown(np.int64)
+        self.held = {name: _Grown(kind) for name, kind in self.KINDS.items()}
+        self.held["first_edge"].add(np.zeros(1, np.int64))
+
+    def forget(self) -> None:
+        """Between slices only, as places in the lattice change."""
+        if self.held["inside"].n > STORE:
+            self._clear()
+
+    def add_new(self) -> None:
+        """Works out the words that were numbered since the last call; then all arrays can be read."""
+        new = list(islice(self.numbers, self.starts.n, None))
+        if new:
+            part = Lattice(new, self.vocabulary)
+            moved = {"source": "inside", "target": "inside", "first_edge": "source", "id_at": "ids"}
+            offsets = {name: self.held[of].n for name, of in moved.items()}
+            self.starts.add(part.starts + self.held["inside"].n)
+            for name, grown in self.held.items():
+                values = getattr(part, name)[1:] if name == "first_edge" else getattr(part, name)
+                grown.add(values + offsets[name] if name in offsets else values)
+        for name, grown in self.held.items():
+            setattr(self, name, grown())
 
     def choose(self, nodes: np.ndarray, noise: np.ndarray) -> np.ndarray:
         """An edge from each node, by its probability."""
@@ -227,8 +338,9 @@ class Path:
 class Sampler:
     def __init__(self, vocabulary: Vocabulary, samples: int) -> None:
         self.vocabulary, self.samples = vocabulary, samples
+        self.lattices = Lattices(vocabulary)
 
-    def _walk(self, lattice: Lattice, keys: np.ndarray, texts: np.ndarray, words: np.ndarray, nodes: np.ndarray, use: int) -> tuple:
+    def _walk(self, lattice: Lattices, keys: np.ndarray, texts: np.ndarray, words: np.ndarray, nodes: np.ndarray, use: int) -> tuple:
         """Edges from the given nodes to the ends of their words: (text, word, edge), in order."""
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         at, places, step = nodes, np.arange(len(nodes)), 0
@@ -239,7 +351,10 @@ class Sampler:
             if not len(at):
                 break
             # A node stands for its place in the word, so a walk from a later node draws other noise.
-            edges = lattice.choose(at, _noise(keys[texts[places]], words[places], step, use))
+            edges = lattice.first_edge[at]
+            several = np.flatnonzero(lattice.first_edge[at + 1] - edges > 1)
+            of = places[several]
+            edges[several] = lattice.choose(at[several], _noise(keys[texts[of]], words[of], step, use))
             parts.append((places, edges))
             lengths[places] += 1
             at, step = lattice.target[edges], step + 1
@@ -253,8 +368,15 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(text, rank, ids, log_prob, perturbed, log_inclusion), by text and rank."""
+        for *row, _ in self.checked(texts, keys):
+            yield tuple(row)
+
+    def checked(self, texts: list[str], keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float, float, float, bool]]:
+        """sample, and whether the ids spell the text, edge by edge."""
         n = len(texts)
-        numbers = _Numbers()
+        lattice = self.lattices
+        lattice.forget()
+        numbers = lattice.numbers
         lengths = np.zeros(n, np.int64)
         listed: list[int] = []
         for i, text in enumerate(texts):
@@ -262,14 +384,14 @@ class Sampler:
                 found = list(map(numbers.__getitem__, _WORDS.findall(" " + text)))
                 listed += found
                 lengths[i] = len(found)
-        if not numbers:
+        if not listed:
             for i in range(n):
-                yield i, 1, np.zeros(0, np.int64), 0.0, 0.0, 0.0
+                yield i, 1, np.zeros(0, np.int64), 0.0, 0.0, 0.0, True
             return
-        lattice = Lattice(list(numbers), self.vocabulary)
+        lattice.add_new()
         of_text = np.repeat(np.arange(n), lengths)
         in_text = np.arange(len(of_text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        starts = lattice.starts[np.array(listed, np.int64)]
+        starts = lattice.starts()[np.array(listed, np.int64)]
         first_word = np.cumsum(lengths) - lengths
         best = -np.log(-np.log(_noise(keys, np.zeros(n, np.int64), 0, 1)))
         path = Path(*self._walk(lattice, keys, of_text, in_text, starts, 2), n)
@@ -277,32 +399,59 @@ class Sampler:
         opened: dict[tuple[int, int, int], list[int]] = {}
         for rank in range(1, self.samples):
             taken.append(self._next(lattice, keys, taken, opened, rank, n, starts, first_word, lengths, in_text, of_text))
-        yield from self._rows(lattice, taken, n)
-
-    def _measured(self, lattice: Lattice, keys: np.ndarray, path: Path, best: np.ndarray, fresh: np.ndarray, use: int) -> dict:
+        spelt = [self._spelt(lattice, t["path"], n, starts, first_word, lengths) for t in taken]
+        yield from self._rows(lattice, taken, spelt, n)
+
+    def _spelt(self, lattice: Lattices, path: Path, n: int, starts: np.ndarray, first_word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Per text, whether the path's edges say what the text has, each goes on where the one before ended, and they go from the
+        first word's start to the last one's end."""
+        if not len(path.edges):
+            return lengths == 0
+        source, target, word = lattice.source[path.edges], lattice.target[path.edges], first_word[path.texts] + path.words
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = word[1:] != word[:-1]
+        good = lattice.spelled[path.edges] & np.where(fresh, source == starts[word], True)
+        good[1:] &= np.where(fresh[1:], (path.words[1:] == 0) | (word[1:] == word[:-1] + 1), source[1:] == target[:-1])
+        last = np.append(fresh[1:], True)
+        good &= ~last | ~lattice.inside[target]
+        spelt = np.bincount(path.texts[~good], minlength=n) == 0
+        counted = np.bincount(path.texts[fresh], minlength=n)
+        return spelt & (counted == lengths)
+
+    def _measured(self, lattice: Lattices, keys: np.ndarray, path: Path, best: np.ndarray, fresh: np.ndarray, use: int) -> dict:
         """A path with its log probability and frontier. Steps before ``fresh`` (per text) are not its own."""
         logs = lattice.log_share[path.edges]
         total = np.cumsum(logs)
         start = np.concatenate(([0.0], total))[path.bounds[:-1]]
         before = total - logs - start[path.texts]
-        with np.errstate(divide="ignore"):
-            rest = before + np.log(np.maximum(0.0, -np.expm1(np.minimum(logs, 0.0))))
-        single = lattice.first_edge[lattice.source[path.edges] + 1] - lattice.first_edge[lattice.source[path.edges]] == 1
+        source = lattice.source[path.edges]
         place = np.arange(len(path.edges)) - path.bounds[:-1][path.texts]
-        frontier = _below(best[path.texts], rest, _noise(keys[path.texts], path.words, place, use))
-        frontier[single | (place < fresh[path.texts])] = -np.inf
+        # Where there was a choice, after what the path shares with the one it branched off.
+        own = np.flatnonzero((lattice.first_edge[source + 1] - lattice.first_edge[source] > 1) & (place >= fresh[path.texts]))
+        of = path.texts[own]
+        with np.errstate(divide="ignore"):
+            rest = before[own] + np.log(np.maximum(0.0, -np.expm1(np.minimum(logs[own], 0.0))))
+        frontier = np.full(len(path.edges), -np.inf)
+        frontier[own] = _below(best[of], rest, _noise(keys[of], path.words[own], place[own], use))
         ended = np.concatenate(([0.0], total))[path.bounds[1:]] - start
         return {"path": path, "best": best, "log_prob": ended, "before": before, "frontier": frontier}
 
-    def _largest(self, taken: list[dict], i: int) -> tuple[float, int, int]:
-        """(value, rank, step) of a text's best set of unopened siblings."""
-        top = (-np.inf, -1, -1)
+    def _largest(self, taken: list[dict], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, ranks, steps) of each text's best set of unopened siblings; minus infinity if there is none."""
+        value, rank, step = np.full(n, -np.inf), np.full(n, -1), np.full(n, -1)
         for r, t in enumerate(taken):
-            a, b = t["path"].bounds[i], t["path"].bounds[i + 1]
-            if b > a:
-                step = int(np.argmax(t["frontier"][a:b]))
-                top = max(top, (float(t["frontier"][a + step]), r, step))
-        return top
+            path, frontier = t["path"], t["frontier"]
+            some = np.flatnonzero(np.diff(path.bounds))
+            if not len(some):
+                continue
+            most = np.maximum.reduceat(frontier, path.bounds[some])
+            at = np.flatnonzero(frontier == np.repeat(most, np.diff(path.bounds)[some]))
+            first = at[np.searchsorted(at, path.bounds[some])] - path.bounds[some]
+            # Of equal values the later path's goes first.
+            better = (most >= value[some]) & (most > -np.inf)
+            chosen = some[better]
+            value[chosen], rank[chosen], step[chosen] = most[better], r, first[better]
+        return value, rank, step
 
     def _next(self, lattice, keys, taken, opened, rank, n, starts, first_word, lengths, in_text, of_text) -> dict:
         """Opens the best of each text's frontier and walks on from there to the end of the text."""
@@ -312,10 +461,9 @@ class Sampler:
         mid_nodes, mid_texts, mid_words = [], [], []
         later = np.zeros(len(starts), bool)
         draws = _noise(keys, np.zeros(n, np.int64), 1, 8 * rank)
-        for i in range(n):
-            value, r, step = self._largest(taken, i)
-            if value == -np.inf:
-                continue
+        values, ranks, steps = self._largest(taken, n)
+        for i in np.flatnonzero(values > -np.inf).tolist():
+            value, r, step = float(values[i]), int(ranks[i]), int(steps[i])
             old = taken[r]
             path: Path = old["path"]
             a = int(path.bounds[i])
@@ -323,10 +471,10 @@ class Sampler:
             node = int(lattice.source[edge])
             gone = opened.setdefault((i, r, step), [edge])
             siblings = [e for e in range(int(lattice.first_edge[node]), int(lattice.first_edge[node + 1])) if e not in gone]
-            shares = np.cumsum(lattice.share[siblings])
+            shares = np.cumsum(np.exp(lattice.log_share[siblings]))
             picked = siblings[min(int(np.searchsorted(shares, draws[i] * shares[-1], side="right")), len(siblings) - 1)]
             gone.append(picked)
-            left = float(shares[-1] - lattice.share[picked]) if len(siblings) > 1 else 0.0
+            left = float(shares[-1] - np.exp(lattice.log_share[picked])) if len(siblings) > 1 else 0.0
             before = float(old["before"][a + step])
             again = _noise(keys[i : i + 1], np.array([word]), step, 8 * rank + 1)[0]
             old["frontier"][a + step] = _below(value, before + np.log(left), again) if left > 0 else -np.inf
@@ -350,10 +498,11 @@ class Sampler:
         path = Path(all_texts[order], all_words[order], all_edges[order], n)
         return self._measured(lattice, keys, path, best, fresh, 8 * rank + 3)
 
-    def _rows(self, lattice: Lattice, taken: list[dict], n: int) -> Iterator[tuple]:
+    def _rows(self, lattice: Lattices, taken: list[dict], spelt: list[np.ndarray], n: int) -> Iterator[tuple]:
         ids = [self._ids(lattice, t["path"]) for t in taken]
+        outside, _, _ = self._largest(taken, n)
         for i in range(n):
-            out, _, _ = self._largest(taken, i)
+            out = float(outside[i])
             for r, t in enumerate(taken):
                 if t["best"][i] == -np.inf:
                     break
@@ -362,9 +511,9 @@ class Sampler:
                 lifted = log_prob - out
                 log_inclusion = 0.0 if out == -np.inf else lifted if lifted < -30 else float(np.log(-np.expm1(-np.exp(lifted))))
                 numbers = (round(x, 6) for x in (log_prob, float(t["best"][i]), log_inclusion))
-                yield i, r + 1, flat[bounds[i] : bounds[i + 1]], *numbers
+                yield i, r + 1, flat[bounds[i] : bounds[i + 1]], *numbers, bool(spelt[r][i])
 
-    def _ids(self, lattice: Lattice, path: Path) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, lattice: Lattices, path: Path) -> tuple[np.ndarray, np.ndarray]:
         counts = lattice.n_ids[path.edges]
         ends = np.cumsum(counts)
         places = np.repeat(lattice.id_at[path.edges] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -403,11 +552,10 @@ def segmentations(docs: DataFrame, keep: list[str], samples: int = SAMPLES, seed
             keys = row_keys(batch.column(0).to_pylist(), seed)
             for a, b in _slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
                 part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-                raw = [t.encode("utf-8", "replace") for t in part]
                 rows, places = [], []
-                for i, rank, ids, *numbers in sampler.sample(part, keys[a:b]):
+                for i, rank, ids, *numbers, spelt in sampler.checked(part, keys[a:b]):
                     places.append(a + i)
-                    rows.append((rank, len(ids), *numbers, ids.astype("<i4").tobytes(), vocabulary.decode(ids) == raw[i]))
+                    rows.append((rank, len(ids), *numbers, ids.astype("<i4", copy=False).tobytes(), spelt))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 kept = [c.take(pa.array(places, pa.int64())) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], schema.fieldNames())
