@@ -12,7 +12,7 @@ from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import platform_of
 from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
 from modlytics.functions.text import strip_tags
-from modlytics.operators import analytics, generations, labels, tables, views
+from modlytics.operators import analytics, generations, labels, ordered, tables, text_index, views
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.plans import fixtures
 from modlytics.plans.scan import creator_names, landed_status, scan, with_link_parts
@@ -33,6 +33,7 @@ SCORES = ["profile_url", "proper_comments", "total_comments", "safety_score"]
 LABELS = ["classification", "severity_score", "flagged_words"]
 RESCANNED = ["Reddit", "YouTube"]
 DELETED_PLATFORM = "TikTok"
+PAGE_ROWS = 5
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,14 +351,14 @@ def stream_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def export_comments_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "export-comments")
-    csv_files.export_comments(views.flagged_view(_comments(spark, folder)), path)
-    return csv_files.read_export(spark, path, schemas.EXPORT)
+    csv_files.pack_comments(views.in_categories(_comments(spark, folder)), path)
+    return csv_files.read_pack(spark, path, schemas.EXPORT)
 
 
 def export_blocklist_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "export-blocklist")
-    csv_files.export_blocklist(analytics.blocklist(_comments(spark, folder)), path)
-    return csv_files.read_export(spark, path, "Username STRING")
+    csv_files.pack_blocklist(analytics.blocklist(_comments(spark, folder)), path)
+    return csv_files.read_pack(spark, path, "Username STRING")
 
 
 # --- reports ---
@@ -447,6 +448,32 @@ def search_comments(spark: SparkSession, folder: str) -> DataFrame:
     return views.flagged_view(_comments(spark, folder), fixed.CLASSES, SEARCH_TERM)
 
 
+def search_by_index(spark: SparkSession, folder: str) -> DataFrame:
+    """search_comments by the index of trigrams."""
+    path = scratch_path(spark, "indexed")
+    text_index.write_indexed(_comments(spark, folder).select(*views.VIEW_COLUMNS), path, block_rows=200)
+    return text_index.search_indexed(spark, path, SEARCH_TERM)
+
+
+def comment_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each comment's place in its creator's comments, newest first and gravest first, and the page it is on."""
+    found = []
+    for order in ordered.ORDERS:
+        path = scratch_path(spark, "ordered")
+        ordered.write_ordered(_comments(spark, folder).select(*views.VIEW_COLUMNS), path, order, files=16)
+        numbered = ordered.numbered(spark, path).withColumn("page", F.expr(f"position div {PAGE_ROWS}"))
+        found.append(numbered.select("profile_url", "comment_id", F.lit(order).alias("sorted_by"), "position", "page"))
+    return found[0].unionByName(found[1])
+
+
+def second_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of one creator's comments, after the last comment of the first one."""
+    path, link = scratch_path(spark, "ordered"), "https://instagram.com/src2"
+    ordered.write_ordered(_comments(spark, folder).select(*views.VIEW_COLUMNS), path, files=16)
+    last = ordered.page(spark, path, link, PAGE_ROWS).collect()[-1]
+    return ordered.page(spark, path, link, PAGE_ROWS, (last.timestamp, last.comment_id))
+
+
 def filtered_counts(spark: SparkSession, folder: str) -> DataFrame:
     return views.filtered_counts(*fixtures.stored_tables(spark, folder), term=SEARCH_TERM)
 
@@ -520,6 +547,9 @@ QUERIES: dict[str, Query] = {
     "comments_by_class": comments_by_class,
     "flagged_view": flagged_view,
     "search_comments": search_comments,
+    "search_by_index": search_by_index,
+    "comment_pages": comment_pages,
+    "second_page": second_page,
     "filtered_counts": filtered_counts,
     "severity_percent": severity_percent,
     "highlight_triggers": highlight_triggers,

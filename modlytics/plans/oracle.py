@@ -479,6 +479,21 @@ ORACLE: dict[str, str] = {
     "comments_by_class": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE classification IN ('Harmful', 'Spam')"),
     "flagged_view": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE {ISSUES}"),
     "search_comments": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE {_search(catalog.SEARCH_TERM)}"),
+    "search_by_index": _with(FX_COMMENTS, f"SELECT {VIEW} FROM fx_comments WHERE {_search(catalog.SEARCH_TERM)}"),
+    "comment_pages": _with(
+        FX_COMMENTS,
+        " UNION ALL ".join(
+            f"""SELECT profile_url, comment_id, '{name}' AS sorted_by, position, position // {catalog.PAGE_ROWS} AS page FROM (
+                SELECT profile_url, comment_id, row_number() OVER (PARTITION BY profile_url ORDER BY {by} DESC, comment_id) - 1 AS position
+                FROM fx_comments)"""
+            for name, by in (("newest", '"timestamp"'), ("gravest", "severity_score"))
+        ),
+    ),
+    "second_page": _with(
+        FX_COMMENTS,
+        f"""SELECT {VIEW} FROM fx_comments WHERE profile_url = 'https://instagram.com/src2'
+            ORDER BY "timestamp" DESC, comment_id LIMIT {catalog.PAGE_ROWS} OFFSET {catalog.PAGE_ROWS}""",
+    ),
     "filtered_counts": _with(
         f"{FX_COMMENTS}, {FX_CREATORS}",
         f"""SELECT profile_url, count(shown) AS shown_comments FROM fx_creators LEFT JOIN (
