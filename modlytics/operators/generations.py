@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from modlytics import schemas
 from modlytics.operators.analytics import author_tallies
@@ -105,9 +106,12 @@ class State:
 def _changes(spark: SparkSession, path: str, of: list[int] | None) -> DataFrame:
     """Every row about a link since the last snapshot."""
     wanted = generations(spark, path) if of is None else sorted(of)
-    based = [g for g in _written(spark, path, "snapshots") if g in wanted]
+    based = [g for g in _written(spark, path, "snapshots") if g in wanted][-1:]
     changes = [g for g in wanted if g not in based and (not based or g > based[-1])]
-    return _read(spark, path, "creators", LINK, changes).unionByName(_read(spark, path, "snapshots", LINK, based[-1:]))
+    if not based:
+        return _read(spark, path, "creators", LINK, changes)
+    base = _read(spark, path, "snapshots", LINK, based)
+    return base.unionByName(_read(spark, path, "creators", LINK, changes)) if changes else base
 
 
 def _latest(links: DataFrame) -> DataFrame:
@@ -122,15 +126,15 @@ def _present(latest: DataFrame) -> DataFrame:
 def state(spark: SparkSession, path: str, of: list[int] | None = None) -> State:
     """One row per generation reaches the driver, as many as since the last compaction."""
     links = _changes(spark, path, of)
-    latest = _latest(links)
-    pairs = links.filter("held is not null").groupBy("profile_url", "held").agg(F.lit(1).alias("pair"))
-    now = latest.filter("held is not null").select(F.col("profile_url").alias("now_url"), F.col("held").alias("now_held"))
-    same = (F.col("profile_url") == F.col("now_url")) & (F.col("held") == F.col("now_held"))
-    gone = pairs.join(now, same, "left_anti").select(F.col("profile_url").alias("gone_url"), F.col("held").alias("gone_held"))
-    counted = now.groupBy("now_held").agg(F.count(F.lit(1)).alias("n")).join(
-        gone.groupBy("gone_held").agg(F.count(F.lit(1)).alias("lost")), F.col("now_held") == F.col("gone_held"), "left"
-    )
-    held = {r["now_held"]: r["lost"] for r in counted.collect()}
+    fields = F.struct(*[c for c in links.columns if c != "profile_url"])
+    # A link was held by as many generations as it was scanned in since the last snapshot.
+    known = links.groupBy("profile_url").agg(F.max_by(fields, "generation").alias("last"), F.collect_set("held").alias("helds"))
+    latest = known.select("profile_url", "last.*")
+    pairs = known.select("profile_url", F.col("last.held").alias("now"), F.explode("helds").alias("held"))
+    gone = pairs.filter(~F.col("held").eqNullSafe(F.col("now"))).select(F.col("profile_url").alias("gone_url"), F.col("held").alias("gone_held"))
+    here = F.col("held").eqNullSafe(F.col("now"))
+    counted = pairs.groupBy("held").agg(F.count_if(here).alias("n"), F.count_if(~here).alias("lost")).filter("n > 0")
+    held = {r["held"]: r["lost"] for r in counted.collect()}
     clean, mixed = (sorted(g for g, lost in held.items() if bool(lost) == some) for some in (False, True))
     return State(spark, path, latest, gone, clean, mixed)
 
@@ -160,7 +164,7 @@ def comments_of(spark: SparkSession, path: str, profile_url: str, of: list[int]
 
 def _conform(table: DataFrame, schema: str) -> DataFrame:
     """The columns of a schema, in its types; those that are missing are null."""
-    fields = table.sparkSession.createDataFrame([], schema).schema
+    fields = StructType.fromDDL(schema)
     return table.select(
         *[(F.col(f"`{f.name}`") if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
     )
