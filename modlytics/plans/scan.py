@@ -12,10 +12,9 @@ from modlytics.operators.analytics import safety_scores
 from modlytics.operators.labels import cut_batches, hybrid_labels, label_payloads
 from modlytics.operators.moderation import moderate, normalise
 from modlytics.operators.tables import replace_comments, upsert_creators
-from modlytics.session import scratch_path
 from modlytics.sources.landed import latest_scans
-from modlytics.sources.tables import write_comments, write_table
-from modlytics.sources.threads import comments_of_threads, read_threads, thread_comments
+from modlytics.sources.tables import write_comments
+from modlytics.sources.threads import comments_of_threads, read_all_threads, thread_comments
 from modlytics.sources.videos import comments_of_pages, read_pages, video_comments, video_titles
 
 
@@ -52,7 +51,7 @@ def raw_comments(
 def landed_status(threads: DataFrame, pages: DataFrame) -> DataFrame:
     """(profile_url, landed_at, page, status) of every landed payload, whichever scan it is of."""
     keys = ["profile_url", "landed_at", "page", "status"]
-    return read_threads(threads).select(*keys).unionByName(read_pages(pages).select(*keys))
+    return read_all_threads(threads).select(*keys).unionByName(read_pages(pages).select(*keys))
 
 
 def label_requests(comments: DataFrame, rows_per_batch: int = fixed.LABEL_BATCH_ROWS) -> DataFrame:
@@ -93,8 +92,7 @@ def labelled_scan(
 
     Each thread is parsed once, for its title, comments and status. Nothing is labelled until the comments are written.
     """
-    spark = threads.sparkSession
-    read = write_table(read_threads(latest_scans(threads)), scratch_path(spark, "threads"))
+    read = read_all_threads(latest_scans(threads))
     found = comments_of_threads(read, ingest_time, rows_per_thread)
     found = found.unionByName(comments_of_pages(read_pages(latest_scans(pages)), ingest_time))
     titles = read.groupBy("profile_url").agg(F.min_by("title", "page").alias("title"))

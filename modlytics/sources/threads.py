@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
-from modlytics.functions.payloads import DEEPEST, payload_status, whole_json
+from modlytics.functions.payloads import DEEPEST, TOO_DEEP, payload_status, whole_json
 from modlytics.functions.rules import bind
 from modlytics.functions.text import epoch_text
+from modlytics.session import scratch_path
+from modlytics.sources.deep_threads import read_deep_threads
 from modlytics.sources.landed import PAGE_BITS, with_landing
+from modlytics.sources.tables import write_table
 
 # Where things are in a thread payload.
 COMMENT_KIND = "t1"
@@ -76,9 +79,11 @@ def _written(comments: Column) -> Column:
     return F.array_sort(F.filter(comments, lambda c: (c["body"] != "") & ~c["body"].isin(fixed.REMOVED_BODIES)))
 
 
-def read_threads(payloads: DataFrame) -> DataFrame:
+def read_threads(payloads: DataFrame, keep_unread: bool = False) -> DataFrame:
     """(profile_url, landed_at, page, status, title, comments), one row per payload.
 
+    With ``keep_unread`` there also is a column ``unread``: the payload, where it is too deep for the JSON reader.
+
     Each payload is parsed once and stays in its row: nothing is shuffled or kept. A payload that is
     not a list of two or more has no comments. Nodes that are removed still pass their replies on.
     """
@@ -95,12 +100,23 @@ def read_threads(payloads: DataFrame) -> DataFrame:
         )
 
     read = landed.select(*keys, "payload", bind(whole_json(F.col("payload")), of).alias("read"))
-    return read.select(
+    found = read.select(
         *keys,
         payload_status(F.col("payload"), F.col("read.failed"), F.size("read.comments")).alias("status"),
         F.col("read.title").alias("title"),
         F.col("read.comments").alias("comments"),
+        *([F.col("payload")] if keep_unread else []),
     )
+    if not keep_unread:
+        return found
+    return found.withColumn("unread", F.when(F.col("status") == TOO_DEEP, F.col("payload"))).drop("payload")
+
+
+def read_all_threads(payloads: DataFrame) -> DataFrame:
+    """read_threads with those that are too deep for the JSON reader read as well, token by token. All are written once."""
+    read = write_table(read_threads(payloads, keep_unread=True), scratch_path(payloads.sparkSession, "threads"))
+    shallow = read.filter("unread is null").drop("unread")
+    return shallow.unionByName(read_deep_threads(read.filter("unread is not null")))
 
 
 def comments_of_threads(threads: DataFrame, ingest_time: str, rows_per_thread: int | None = None) -> DataFrame:
