@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.functions.automaton import Version
+from modlytics.functions.automaton import deciding_hits as version_hits
 from modlytics.functions.rules import deciding_hits, trigger_text, verdict
 
 LABEL_COLUMNS = ["classification", "severity_score", "triggers", "flagged_words"]
@@ -22,8 +24,9 @@ def normalise(comments: DataFrame) -> DataFrame:
     )
 
 
-def moderate(comments: DataFrame, given: Column | None = None) -> DataFrame:
-    """Class, severity, triggers and trigger string of each comment; a null text counts as empty.
+def moderate(comments: DataFrame, given: Column | None = None, version: Version | None = None) -> DataFrame:
+    """Class, severity, triggers and trigger string of each comment; a null text counts as empty. With a ``version`` of the term
+    lists, its entries are looked for in place of those of the rules.
 
     Row by row, without a shuffle, also on a stream. ``given`` is a struct of classification,
     severity_score and triggers that goes before the rules where it is not null; the rules then read
@@ -34,7 +37,8 @@ def moderate(comments: DataFrame, given: Column | None = None) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     searched = text if given is None else F.when(given.isNull(), text).otherwise("")
-    found = comments.withColumn("_found", deciding_hits(F.lower(searched)))
+    hits_of = deciding_hits if version is None else version_hits(version)
+    found = comments.withColumn("_found", hits_of(F.lower(searched)))
     by_rules = verdict(text, F.col("_found"))
     label = by_rules if given is None else F.coalesce(given, by_rules)
     return (

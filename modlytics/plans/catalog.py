@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics import schemas
+from modlytics.functions import automaton
 from modlytics.functions import dictionary as fixed
 from modlytics.functions.links import platform_of
 from modlytics.functions.rules import emoji_count, has_emoji_flood, has_link, is_yelling, term_hits, trigger_text
@@ -20,7 +21,7 @@ from modlytics.session import scratch_path
 from modlytics.sources import csv_files
 from modlytics.sources.landed import latest_scans
 from modlytics.sources.tables import read_table, write_table
-from modlytics.sources.threads import thread_comments
+from modlytics.sources.threads import comments_of_threads, read_all_threads, thread_comments
 from modlytics.sources.videos import video_comments
 from modlytics.streaming.answers import drain_verdicts
 from modlytics.streaming.live import drain, moderate_stream
@@ -82,6 +83,26 @@ def classify_comments(spark: SparkSession, folder: str) -> DataFrame:
     return moderate(_texts(spark, folder)).select("doc_id", *LABELS)
 
 
+def classify_by_version(spark: SparkSession, folder: str) -> DataFrame:
+    """classify_comments with the rules' lists taken from a table of versions."""
+    version = automaton.load_version(automaton.rule_terms(spark), automaton.RULES)
+    return moderate(_texts(spark, folder), version=version).select("doc_id", *LABELS)
+
+
+def term_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry of the lists that a text holds, and where it first stands."""
+    version = automaton.load_version(automaton.rule_terms(spark), automaton.RULES)
+    hits = _texts(spark, folder).select("doc_id", F.explode(automaton.term_places(version)(F.lower("text"))).alias("hit"))
+    return hits.select("doc_id", "hit.tier", "hit.place", "hit.term", F.get("hit.starts", F.lit(0)).alias("first"))
+
+
+def highlight_by_places(spark: SparkSession, folder: str) -> DataFrame:
+    """highlight_triggers from the places that one walk over a text finds."""
+    version = automaton.load_version(automaton.rule_terms(spark), automaton.RULES)
+    marked = automaton.highlight_places(version)(F.col("text"), F.col("flagged_words"))
+    return _comments(spark, folder).select("comment_id", marked.alias("marked_text"))
+
+
 def classify_turns(spark: SparkSession, folder: str) -> DataFrame:
     turns = read_table(spark, folder, "conversations", "conv_id", "turn", "text")
     return moderate(turns).select("conv_id", "turn", *LABELS)
@@ -116,6 +137,12 @@ def reddit_flatten_limited(spark: SparkSession, folder: str) -> DataFrame:
     return thread_comments(fixtures.landed_threads(spark, folder), fixtures.INGEST_TIME, rows_per_thread=3)
 
 
+def reddit_flatten_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """Threads in which each turn answers the one before, over many conversations: deeper than the JSON reader goes."""
+    read = read_all_threads(fixtures.landed_chains(spark, folder))
+    return comments_of_threads(read, fixtures.INGEST_TIME)
+
+
 def landed_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """What became of each landed payload of two scans."""
     statuses = landed_status(fixtures.landed_threads(spark, folder), fixtures.landed_scans(spark, folder))
@@ -496,6 +523,8 @@ QUERIES: dict[str, Query] = {
     "detect_emoji": detect_emoji,
     "classify_emoji": classify_emoji,
     "classify_comments": classify_comments,
+    "classify_by_version": classify_by_version,
+    "term_places": term_places,
     "classify_turns": classify_turns,
     "moderate_comments": moderate_comments,
     "stream_moderation": stream_moderation,
@@ -553,4 +582,6 @@ QUERIES: dict[str, Query] = {
     "filtered_counts": filtered_counts,
     "severity_percent": severity_percent,
     "highlight_triggers": highlight_triggers,
+    "highlight_by_places": highlight_by_places,
+    "reddit_flatten_deep": reddit_flatten_deep,
 }

@@ -187,8 +187,9 @@ def label_events(spark: SparkSession, folder: str) -> DataFrame:
     return announced.unionByName(answers)
 
 
-def _json_node(turn: Column, replies: Column) -> Column:
-    """One thread node as JSON. Some have no author or time, some bodies are empty or removed."""
+def _json_node(turn: Column, replies: Column, close: bool = True) -> Column:
+    """One thread node as JSON. Some have no author or time, some bodies are empty or removed. Without ``close`` what ends the node
+    is left out."""
     mark = turn["conv_id"] + turn["turn"]
     body = (
         F.when(mark % 11 == 0, "[deleted]").when(mark % 17 == 0, "[removed]").when(mark % 19 == 0, "").otherwise(turn["text"])
@@ -201,7 +202,7 @@ def _json_node(turn: Column, replies: Column) -> Column:
         )
     )
     return F.concat(
-        F.lit('{"kind":"t1","data":'), F.regexp_replace(fields, r"\}$", ""), F.lit(',"replies":'), replies, F.lit("}}")
+        F.lit('{"kind":"t1","data":'), F.regexp_replace(fields, r"\}$", ""), F.lit(',"replies":'), replies, F.lit("}}" if close else "")
     )
 
 
@@ -235,6 +236,23 @@ def landed_threads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+CONVERSATIONS_PER_CHAIN = 200
+
+
+def landed_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """conversations as thread payloads in which every turn is the only reply to the one before, CONVERSATIONS_PER_CHAIN of them in
+    each."""
+    turns = read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    part = F.expr(f"conv_id div {CONVERSATIONS_PER_CHAIN}").alias("part")
+    grouped = turns.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("turns"))
+    open_node = lambda turn: _json_node(turn, F.lit('{"data":{"children":['), close=False)
+    nodes = F.concat(F.array_join(F.transform("turns", open_node), ""), F.repeat(F.lit("]}}}}"), F.size("turns")))
+    return grouped.select(
+        F.concat(F.lit("https://www.reddit.com/r/talk/comments/chain"), F.col("part"), F.lit("/t/")).alias("profile_url"),
+        F.concat(F.lit('[{"data":{"children":[{"data":{"title":"Chain"}}]}},{"data":{"children":['), nodes, F.lit("]}}]")).alias("payload"),
+    )
+
+
 def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
     """documents as video comment pages, at most COMMENTS_PER_PAGE comments on each.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from modlytics.functions import automaton
 from modlytics.functions import dictionary as fixed
 from modlytics.functions import links
 from modlytics.plans import catalog, fixtures
@@ -280,6 +281,10 @@ _TOKENS = """list_transform(list_sort(list_transform(
             lambda w: w <> '' AND w NOT IN ('URL_LINK', 'YELLING', 'Excessive Emojis')),
         lambda w, i: {'size': -len(w), 'place': i, 'word': w})), lambda s: s.word)"""
 
+_MARKED = f"""SELECT comment_id, list_reduce({_TOKENS}, lambda marked, word:
+        regexp_replace(marked, '(' || regexp_escape(word) || ')', '<mark>\\1</mark>', 'gi'), text) AS marked_text
+    FROM fx_comments"""
+
 ORACLE: dict[str, str] = {
     "hits_harmful": _term_query(fixed.HARMFUL_TERMS),
     "hits_abusive": _term_query(fixed.ABUSIVE_TERMS),
@@ -296,12 +301,28 @@ ORACLE: dict[str, str] = {
         f"SELECT doc_id, {LABELS} FROM moderated",
     ),
     "classify_comments": _with(moderated("documents"), f"SELECT doc_id, {LABELS} FROM moderated"),
+    "classify_by_version": _with(moderated("documents"), f"SELECT doc_id, {LABELS} FROM moderated"),
+    "term_places": f"""
+        SELECT doc_id, tier, place, term, (strpos(low, term) - 1)::INT AS first
+        FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN (VALUES {
+            ", ".join(f"({tier}, {place}, {_text(term)})" for tier, (_, terms) in enumerate(automaton.TIERS) for place, term in enumerate(terms))
+        }) AS t(tier, place, term) ON contains(low, term)""",
     "classify_turns": _with(moderated("conversations"), f"SELECT conv_id, turn, {LABELS} FROM moderated"),
     "moderate_comments": _with(
         f"{FX_COMMENTS}, {scored('fx_comments')}", f"SELECT *, {bands('safety_score')} FROM scored"
     ),
     "stream_moderation": _with(moderated("documents"), f"SELECT doc_id, 'Anonymous' AS author, {LABELS} FROM moderated"),
     "reddit_flatten": _with(FX_THREADS, 'SELECT profile_url, pos, author, text, "timestamp" FROM fx_threads'),
+    "reddit_flatten_deep": f"""
+        SELECT 'https://www.reddit.com/r/talk/comments/chain' || (conv_id // {fixtures.CONVERSATIONS_PER_CHAIN}) || '/t/' AS profile_url,
+            row_number() OVER (PARTITION BY conv_id // {fixtures.CONVERSATIONS_PER_CHAIN} ORDER BY conv_id, turn) - 1 AS pos,
+            'u/' || CASE WHEN (conv_id + turn) % 13 <> 0 THEN role ELSE 'Anonymous' END AS author, text,
+            CASE WHEN (conv_id + turn) % 7 <> 0
+                THEN strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%d %H:%M:%S')
+                ELSE '{fixtures.INGEST_TIME}' END AS "timestamp"
+        FROM conversations
+        WHERE (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 17 <> 0 AND (conv_id + turn) % 19 <> 0
+            AND text NOT IN ('', '[deleted]', '[removed]')""",
     "reddit_flatten_limited": _with(
         FX_THREADS, 'SELECT profile_url, pos, author, text, "timestamp" FROM fx_threads WHERE pos < 3'
     ),
@@ -505,10 +526,6 @@ ORACLE: dict[str, str] = {
         """SELECT comment_id, severity_score, nullif(trunc(severity_score * 100)::INT, 0) AS severity_percent
             FROM fx_comments""",
     ),
-    "highlight_triggers": _with(
-        FX_COMMENTS,
-        f"""SELECT comment_id, list_reduce({_TOKENS}, lambda marked, word:
-                regexp_replace(marked, '(' || regexp_escape(word) || ')', '<mark>\\1</mark>', 'gi'), text) AS marked_text
-            FROM fx_comments""",
-    ),
+    "highlight_triggers": _with(FX_COMMENTS, _MARKED),
+    "highlight_by_places": _with(FX_COMMENTS, _MARKED),
 }
