@@ -4,7 +4,8 @@ The block elements of a page are nodes of a tree. Each is content, furniture, or
 content somewhere below. A node's emissions (its tag, words of its class and id, length of its own text,
 share of link text) depend on its state, a child's state on its parent's. Messages are passed from the
 leaves to the root and back (sum-product), which gives each node's exact marginals. Blocks whose node
-is content with a probability of one half or more are the text.
+is content with a probability near that of the page's surest block (SHARE) are the text, so that a bare page of few lines, where
+little is sure, is not empty. A wrapper that only holds another wrapper is one node with it.
 
 Probabilities are counted on labelled pages: the skeletons below, labelled by hand, and a sample of at
 most SAMPLE_PAGES given pages with exactly one ``article`` or ``main``, labelled by it. So that pages without such
@@ -24,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import unescape
 from math import exp, log
 
@@ -39,15 +40,17 @@ LONGEST = 200_000
 SMOOTHING = 0.5
 #: How often a skeleton counts; they are few.
 SKELETON_COUNT = 60
+#: A block is content if its probability is at least this share of that of the page's surest block, and at least this much.
+SHARE, LEAST = 0.4, 0.1
 FURNITURE, CONTENT, FRAME = range(3)
 
 # Elements of HTML by how they are read.
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul"
-    " button select option optgroup datalist label legend textarea iframe object".split()
+    " button select option optgroup datalist label legend textarea iframe object noscript".split()
 )
-RAW = "script|style|title|template|noscript|svg|textarea|iframe"
+RAW = "script|style|title|template|svg|textarea|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element that a start tag ends, and what bounds the search for it.
 ENDED_BY = {
@@ -62,6 +65,9 @@ ENDED_BY = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
 ITEMS = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "dd": (frozenset(["dd", "dt"]), frozenset(["dl"])), "dt": (frozenset(["dd", "dt"]), frozenset(["dl"]))}
+#: Elements that only hold others, and those of them that say something about what they hold.
+WRAPPERS = frozenset(["div", "section", "center", "article", "main"])
+TELLING = frozenset(["article", "main"])
 #: Words in a class or id that tell what an element is for.
 CUES = frozenset(
     "ad ads advert advertisement alert article author banner body bottom breadcrumb byline comment comments content cookie"
@@ -76,7 +82,8 @@ _TOKEN = re.compile(
     r"|<svg(?=[\s/>])(?:[^>\"'/]|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    # A quote opens a value only after the sign of equality.
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>"
     r"|<[a-zA-Z/][^<>]*+>",
     re.S | re.I,
 )
@@ -108,6 +115,11 @@ SKELETONS = [
     "<p data-content>Nothing but a word.",
     "<div data-content>Text straight in a division, with no paragraph around it at all.</div>",
     "<body><div><div data-content>" + _TEXT + _TEXT + "</div></div></body>",
+    "<div data-content>A short text.</div>",
+    "<div data-content>A line of text.</div><p data-content>And one more line.</p>",
+    "<body><div data-content>A line of text in a division.</div><div data-content>Another.</div></body>",
+    "<body><dl data-content><dt>Word</dt><dd>What it means, in a line.</dd><dt>Other</dt><dd>Its meaning.</dd></dl></body>",
+    "<body><h1 data-content>A title</h1><p data-content>A line.</p><ul data-content><li>A point</li><li>Another point</li></ul></body>",
     "<body><header><h1>Name of the site</h1><p>What the site is about in a line.</p></header><section data-content><h2>A title</h2>" + _TEXT + "<h3>Part</h3><p>Another paragraph with more of the text in it.</p><ol><li>First of all, an item.</li></ol></section><aside>"
     "<div class='related promo'><p>You may also like these stories of ours.</p></div><form><p>Search this site</p></form></aside><div class='popup alert'>"
     "<p>Please turn off your blocker to go on.</p></div><footer class=footer><ul><li><a>Terms</a></li></ul></footer></body>",
@@ -156,7 +168,7 @@ def parse(html: str) -> Page:
     def flush() -> None:
         text = " ".join(words)
         words.clear()
-        text = _SPACE.sub(" ", text.replace("\x00", "")).strip(" ")
+        text = _SPACE.sub(" ", text).strip(" ")
         if text:
             nodes[stack[-1]].own.append(len(page.blocks))
             page.blocks.append(text)
@@ -178,15 +190,18 @@ def parse(html: str) -> Page:
             pieces.clear()
             flush()
 
+    depths: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+
+    def deepest(tags: frozenset[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     def close(tags: frozenset[str], bounds: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]].tag
-            if tag in tags:
-                end_block()
-                del stack[depth:]
-                return
-            if tag in bounds:
-                return
+        depth = deepest(tags)
+        if depth > deepest(bounds):
+            end_block()
+            for node in stack[depth:]:
+                depths[nodes[node].tag].pop()
+            del stack[depth:]
 
     at = 0
     for token in _TOKEN.finditer(html):
@@ -216,11 +231,35 @@ def parse(html: str) -> Page:
                 marked = re.search(r"data-content(=0)?", token["attributes"]) if "data-content" in token["attributes"] else None
                 label = nodes[stack[-1]].label if marked is None else int(marked[1] is None)
                 nodes.append(Node(tag, _cues(token["attributes"]), stack[-1], label))
+                depths[tag].append(len(stack))
                 stack.append(len(nodes) - 1)
     if at < len(html):
         say(html[at:])
     end_block()
-    return page
+    return _without_wrappers(page)
+
+
+def _without_wrappers(page: Page) -> Page:
+    """A page in which a wrapper that holds nothing but another one is one node with it, so that content does not fade with the
+    number of wrappers around it. The node has the cues of all and the tag of the one that says most."""
+    nodes = page.nodes
+    children = [0] * len(nodes)
+    for node in nodes[1:]:
+        children[node.parent] += 1
+    kept: list[Node] = []
+    place = [0] * len(nodes)
+    for i, node in enumerate(nodes):
+        above = nodes[node.parent] if i else None
+        if above is not None and node.tag in WRAPPERS and above.tag in WRAPPERS and children[node.parent] == 1 and not above.own:
+            into = kept[place[node.parent]]
+            into.tag = node.tag if node.tag in TELLING or into.tag not in TELLING else into.tag
+            into.cues |= node.cues
+            into.label, into.own, into.chars, into.linked = node.label, node.own, into.chars + node.chars, into.linked + node.linked
+            place[i] = place[node.parent]
+        else:
+            place[i] = len(kept)
+            kept.append(replace(node, parent=place[node.parent] if i else -1))
+    return Page(kept, page.blocks)
 
 
 def emissions(node: Node, chars: int, linked: int, hidden: frozenset[str] = frozenset()) -> list[str]:
@@ -321,7 +360,9 @@ def main_text(html: str, model: Model) -> str:
         return " ".join(page.blocks)
     content = marginals(page, model)
     owner = {b: i for i, node in enumerate(page.nodes) for b in node.own}
-    return " ".join(text for b, text in enumerate(page.blocks) if content[owner[b]] >= 0.5)
+    best = max((content[i] for i in owner.values()), default=0.0)
+    bar = max(LEAST, SHARE * best)
+    return " ".join(text for b, text in enumerate(page.blocks) if content[owner[b]] >= bar)
 
 
 def _labelled(html: str) -> Page | None:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,13 @@ def test_article_without_its_tag(model):
         ("<script>never closed", ""),
         ("<!-- open", ""),
         ("<" * 1000, "<" * 1000),
+        ("<div>" * 5 + "deep text of the page" + "</div>" * 5, "deep text of the page"),
+        ("<body><dl><dt>Term</dt><dd>Meaning of it.</dd></dl></body>", "Term Meaning of it."),
+        ("<div data-x=it's>Text isn't lost</div><p>More text here.</p>", "Text isn't lost More text here."),
+        ("<p title='a > b' x=\"c>d\" y = 'e>'>Text with <b class=q\">quotes</b> in tags.</p>", "Text with quotes in tags."),
+        ("<article><p>One text</p><noscript>Image of a thing</noscript></article>", "One text Image of a thing"),
+        ("<article><p>a\x00b and more of it</p></article>", "a\x00b and more of it"),
+        ("<body><nav><a>Home</a> <a>News</a></nav><footer>Imprint of it</footer></body>", ""),
     ],
 )
 def test_odd_pages(model, page, text):
@@ -146,7 +154,15 @@ def test_drawings_and_formulas(page, blocks):
 
 
 def test_deep_and_long_pages(model):
-    assert html.main_text("<div>" * 3000 + "deep text of the page" + "</div>" * 3000, model) in ("deep text of the page", "")
+    assert html.main_text("<div>" * 3000 + "deep text of the page" + "</div>" * 3000, model) == "deep text of the page"
+    inside = "<div>" * 3000 + "<p>A paragraph with some words.</p>" + "</div>" * 3000
+    assert html.main_text(f"<article>{inside}</article>", model) == "A paragraph with some words."
+    assert html.main_text(FURNITURE % f"<article>{inside}</article>", model) == "A paragraph with some words."
+    began = time.process_time()
+    assert html.main_text("<div>" * 50_000 + "deep text of the page" + "</div>" * 50_000, model) == "deep text of the page"
+    html.main_text("<p><button>" + "<div>" * 20_000 + "x" + "</div>" * 20_000, model)
+    html.main_text("<ul><li>" * 10_000 + "x", model)
+    assert time.process_time() - began < 10
     assert len(html.main_text("<div><p>A text of some length here.</p></div>" * 2000, model)) == 2000 * 28 - 1
 
 
