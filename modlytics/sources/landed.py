@@ -22,17 +22,25 @@ def latest_scans(payloads: DataFrame) -> DataFrame:
     """The payloads of each link's latest scan; of one page landed twice in it, the greater text.
 
     landed_at is the time of the scan, the same for all of its pages. Payloads of unknown time are one scan,
-    before all known ones. Only links and times are grouped; payloads meet the one time of their link, so
-    Spark may split a link with many pages.
+    before all known ones. Links, times and pages decide; payloads meet the one time of their link, so Spark may split a
+    link with many pages, and only those of pages that landed twice are compared. A payload without a link is nobody's.
     """
     landed = with_landing(payloads)
     if "landed_at" not in payloads.columns:
         return landed
+    keys = ["profile_url", "landed_at", "page"]
     last = landed.groupBy(F.col("profile_url").alias("last_url")).agg(F.max("landed_at").alias("last_at"))
     latest = (F.col("profile_url") == F.col("last_url")) & F.col("landed_at").eqNullSafe(F.col("last_at"))
     kept = landed.join(last, latest, "left_semi")
-    others = [c for c in landed.columns if c not in ("profile_url", "landed_at", "page")]
-    return kept.groupBy("profile_url", "landed_at", "page").agg(*[F.max(c).alias(c) for c in others])
+    twice = landed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = twice.select(*[F.col(k).alias(f"{k}_again") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_again"))
+    once = kept.join(again, same, "left_anti")
+    others = [c for c in landed.columns if c not in keys]
+    one_of_many = kept.join(again, same, "left_semi").groupBy(*keys).agg(*[F.max(c).alias(c) for c in others])
+    return once.unionByName(one_of_many)
 
 
 def read_landed(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ from modlytics.functions.dictionary import PLATFORMS
 from modlytics.functions.links import platform_of
 from modlytics.operators import generations
 from modlytics.plans.scan import scan_into
+from modlytics.sources.landed import read_landed
 
 #: The platform whose payloads are threads; all others are pages of comments.
 THREAD_PLATFORM = PLATFORMS[0][0]
@@ -82,3 +83,10 @@ def keep_tables(
 
     query = landed.writeStream.foreachBatch(each).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def keep_folder(
+    spark: SparkSession, folder: str, store: str, progress: str, ingest_time: str | Callable[[int], str], stream: str = "landed"
+) -> None:
+    """From a folder of landed payload files to the tables: what is new in it goes into the store."""
+    keep_tables(read_landed(spark, folder, stream=True), store, progress, ingest_time, stream)

@@ -9,10 +9,9 @@ from modlytics import schemas
 from modlytics.operators import generations
 from modlytics.operators.moderation import LABEL_COLUMNS, moderate, normalise
 from modlytics.session import scratch_path
-from modlytics.sources.landed import read_landed
 from modlytics.streaming.answers import drain_verdicts
 from modlytics.streaming.live import drain, moderate_stream
-from modlytics.streaming.tables import keep_tables, settle
+from modlytics.streaming.tables import keep_folder, settle
 
 
 def test_stream_equals_batch_and_goes_on(spark, small):
@@ -115,7 +114,7 @@ def test_landed_folders_as_a_stream(spark, rows, tmp_path):
                 folder.mkdir(parents=True, exist_ok=True)
                 if not (folder / f"{number}.json").exists():
                     (folder / f"{number}.json").write_text(payload)
-        keep_tables(read_landed(spark, str(inbox), stream=True), store, progress, lambda batch: f"2024-02-0{batch + 1} 00:00:00")
+        keep_folder(spark, str(inbox), store, progress, lambda batch: f"2024-02-0{batch + 1} 00:00:00")
     assert rows(generations.current_comments(spark, store), *KEPT) == sorted(WANT, key=lambda r: tuple((True, str(v)) for v in r))
 
 
