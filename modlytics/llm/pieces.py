@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ ALPHA = 1.0
 #: Code points that are worked through at once, at least one text.
 SLICE = 1 << 19
 #: Nodes (about characters) of the words whose lattices a task keeps; some 100 bytes each.
-STORE = 1 << 21
+STORE = 3 << 19
 
 _WORDS = re.compile(r" *[^ \n]+| +|\n+")
 #: Ranks of pieces that the model lists without a usable score.
@@ -236,7 +237,7 @@ class _Grown:
     def add(self, values: np.ndarray) -> None:
         n = self.n + len(values)
         if n > len(self.held):
-            self.held = np.concatenate([self.held[: self.n], np.empty(max(n, 2 * len(self.held)) - self.n, self.held.dtype)])
+            self.held = np.concatenate([self.held[: self.n], np.empty(max(n, len(self.held) * 5 // 4) - self.n, self.held.dtype)])
         self.held[self.n : n] = values
         self.n = n
 
@@ -259,7 +260,7 @@ class Lattices:
     log_share: np.ndarray
     reach: np.ndarray
     KINDS = {
-        "inside": bool, "source": np.int32, "target": np.int32, "first_edge": np.int64, "n_ids": np.int8, "id_at": np.int64,
+        "inside": bool, "source": np.int32, "target": np.int32, "first_edge": np.int64, "n_ids": np.int8, "id_at": np.int32,
         "ids": np.int32, "spelled": bool, "log_share": np.float64, "reach": np.float64,
     }
 
@@ -381,9 +382,9 @@ class Sampler:
         listed: list[int] = []
         for i, text in enumerate(texts):
             if text:
-                found = list(map(numbers.__getitem__, _WORDS.findall(" " + text)))
-                listed += found
-                lengths[i] = len(found)
+                words = _WORDS.findall(" " + text)
+                listed += itemgetter(*words)(numbers) if len(words) > 1 else [numbers[words[0]]]
+                lengths[i] = len(words)
         if not listed:
             for i in range(n):
                 yield i, 1, np.zeros(0, np.int64), 0.0, 0.0, 0.0, True

@@ -12,7 +12,8 @@ frequent there as in ordinary documents, counted in documents, and more often th
 of ordinary words only, such as a phrase or a threat, is not seen, as no window holds two words.
 
 Training reads a bounded sample: at most TOXIC_ROWS and ORDINARY_ROWS labelled rows of up to LONGEST code
-points, the first by hash of doc_id. Rows whose crc32 of doc_id (as text) is 0 modulo FOLDS are held out and never read.
+points, the first by hash of doc_id; of their windows, at most ORDINARY_WINDOWS and SAME_WORD of each salient word train the
+dictionaries. Rows whose crc32 of doc_id (as text) is 0 modulo FOLDS are held out and never read.
 Scores use the text only. Everything else reads all rows and whole texts.
 
 Defined cases: a null or empty text has no windows and is scored as such; with no labelled rows of one of
@@ -49,6 +50,10 @@ GRAM_RATIO = 20
 #: high (15: by chance once in 10,000 runs), whatever the size of the sample.
 GRAM_ROWS = 4
 GRAM_SURPRISE = 15.0
+#: Of one salient word so many occurrences at most are training text, so that none fills the dictionary alone.
+SAME_WORD = 20
+#: Windows of ordinary rows that the ordinary dictionary is trained on at most, drawn from all of the sample's.
+ORDINARY_WINDOWS = 400_000
 #: Savings in bytes whose windows are counted.
 SAVINGS = (2, 3, 4, 5, 6)
 #: Savings that a task remembers, so that frequent words are not compressed again.
@@ -146,7 +151,7 @@ def _surprise(toxic: int, ordinary: int, rows: list[int]) -> float:
 
 
 def _toxic_words(texts: list[tuple[str, int]]) -> list[bytes]:
-    """Words of toxic texts with a salient run, as often as they occur but 20 times at most."""
+    """Words of toxic texts with a salient run, as often as they occur but SAME_WORD times at most."""
     held: list[Counter] = [Counter(), Counter()]
     rows = [0, 0]
     for text, label in texts:
@@ -158,7 +163,7 @@ def _toxic_words(texts: list[tuple[str, int]]) -> list[bytes]:
         and _surprise(n, held[0][g], rows) >= GRAM_SURPRISE
     }
     words = Counter(w for text, label in texts if label for w in windows(text) if not salient.isdisjoint(_grams(w)))
-    return [w for w, n in sorted(words.items()) for _ in range(min(n, 20))]
+    return [w for w, n in sorted(words.items()) for _ in range(min(n, SAME_WORD))]
 
 
 def _dictionary(words: list[bytes], size: int, each: int) -> bytes:
@@ -177,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if {label for _, label in texts} != {0, 1}:
         return None
     ordinary = [w for text, label in texts if not label for w in windows(text)]
-    if len(ordinary) > 400_000:
-        ordinary = [ordinary[i] for i in np.random.default_rng(0).choice(len(ordinary), 400_000, replace=False)]
+    if len(ordinary) > ORDINARY_WINDOWS:
+        ordinary = [ordinary[i] for i in np.random.default_rng(0).choice(len(ordinary), ORDINARY_WINDOWS, replace=False)]
     plain = _dictionary(ordinary, ORDINARY_DICTIONARY, 8)
     toxic = _dictionary(_toxic_words(texts), TOXIC_DICTIONARY, 4)
     savings = Savings(plain, toxic)
