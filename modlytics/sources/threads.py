@@ -113,10 +113,12 @@ def read_threads(payloads: DataFrame, keep_unread: bool = False) -> DataFrame:
 
 
 def read_all_threads(payloads: DataFrame) -> DataFrame:
-    """read_threads with those that are too deep for the JSON reader read as well, token by token. All are written once."""
-    read = write_table(read_threads(payloads, keep_unread=True), scratch_path(payloads.sparkSession, "threads"))
-    shallow = read.filter("unread is null").drop("unread")
-    return shallow.unionByName(read_deep_threads(read.filter("unread is not null")))
+    """read_threads with those that are too deep for the JSON reader read as well, token by token. All are written once, so that no
+    payload is parsed for each use."""
+    spark = payloads.sparkSession
+    read = write_table(read_threads(payloads, keep_unread=True), scratch_path(spark, "threads"))
+    shallow, deep = read.filter("unread is null").drop("unread"), read_deep_threads(read.filter("unread is not null"))
+    return shallow.unionByName(write_table(deep, scratch_path(spark, "deep-threads")))
 
 
 def comments_of_threads(threads: DataFrame, ingest_time: str, rows_per_thread: int | None = None) -> DataFrame:
