@@ -41,9 +41,9 @@ SAMPLES = 2
 SEED = 1
 ALPHA = 1.0
 #: Code points that are worked through at once, at least one text.
-SLICE = 1 << 19
+SLICE = 1 << 17
 #: Nodes (about characters) of the words whose lattices a task keeps; some 100 bytes each.
-STORE = 3 << 19
+STORE = 1 << 19
 
 _WORDS = re.compile(r" *[^ \n]+| +|\n+")
 #: Ranks of pieces that the model lists without a usable score.
