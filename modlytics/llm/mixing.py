@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with built-in expressions only.
 
-Each document gets a hash-random key. The key's first digits cut every source into slabs of equal
-share, so a hot source is spread like any other. Sums of slabs give each slab its place in the
-source, running sums inside a slab give each document its own, and the document at which a source's
-budget runs out is the source's cut. Whole repeats of a source come before the cut.
+Each document gets a hash-random key. Documents are sorted by range on source and key, so a hot source
+is spread over many ranges and small sources share one. Sums of a source's ranges give each its start
+in the source; in the one range where the source's budget runs out, running sums give the document at
+which it does, the source's cut. Whole repeats of a source come before the cut. Sources are ordered in
+the same way, so their number has no bound either: what one task sums up alone is a row per range.
 
 Defined cases: a null text has no words; null is a source of its own, after all others; documents
 alike in id and size share what falls to them at the cut evenly; an empty table gives no rows; with
@@ -21,8 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MOST_REPEATS = 2.0
 SEED = "mix-1"
-#: Digits of the hexadecimal key that name a slab: 16 ** 3 slabs per source.
-SLAB_DIGITS = 3
+SOURCE = ["no_source", "source"]
 
 
 def mix_key(doc_id: Column) -> Column:
@@ -44,69 +44,87 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def ranged(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows in ranges of the order, with the number of their range (part), written once."""
+    return stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+
+
+def running_sums(rows: DataFrame, order: list[str], values: list[str], name: str) -> DataFrame:
+    """The rows with ``<value>_to``, the sum up to and with a row, and ``<value>_all``, the sum of all.
+
+    The order names each row uniquely. A range is summed in its own task; the sums of ranges, as many as
+    shuffle partitions, are added up in one.
+    """
+    placed = ranged(rows, order, name)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("part").agg(*[F.sum(v).alias(v) for v in values])
+    starts = sums.select(
+        "part",
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_start") for v in values],
+        *[F.sum(v).over(Window.partitionBy()).alias(f"{v}_all") for v in values],
+    )
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(v).over(inside).alias(f"{v}_in") for v in values]).join(starts, "part")
+    sums_to = [(F.col(f"{v}_start") + F.col(f"{v}_in")).alias(f"{v}_to") for v in values]
+    return summed.select(*rows.columns, *sums_to, *[f"{v}_all" for v in values])
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """(source, no_source, source_size, target), one row per source.
 
     Sources in order of code points, null last, have the weights in turn. A target is the smaller of
     twice the source and ``level * weight``: sorted by how soon the source is used up, ``level`` is
-    what is left to share over the weights left, at the first source that this doesn't use up. There
-    are as many rows as sources, and these alone meet in one task.
+    what is left to share over the weights left, at the first source that this doesn't use up. That
+    one number passes through the driver.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy("no_source", "source")
-    by_end = Window.orderBy("end", "no_source", "source")
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
-    listed = (
-        sized.groupBy("no_source", "source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("weight", F.get(weights, (F.row_number().over(by_name) - 1) % len(WEIGHTS)))
-        .withColumn("most", F.col("source_size") * MOST_REPEATS)
-        .withColumn("end", F.col("most") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(everything) * BUDGET)
-        .withColumn("used", F.sum("most").over(by_end.rowsBetween(Window.unboundedPreceding, 0)) - F.col("most"))
-        .withColumn("weights", F.sum("weight").over(by_end.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("left") - F.col("used")) / F.col("weights"))
-    )
-    fits = F.when(F.col("level") <= F.col("end"), F.col("level"))
-    level = F.first(fits, ignorenulls=True).over(by_end.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return listed.select(
-        "source", "no_source", "source_size", F.least("most", level * F.col("weight")).alias("target")
+    counted = sized.groupBy(*SOURCE).agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    named = running_sums(counted, SOURCE, ["one"], "sources-by-name").select(
+        *SOURCE,
+        "source_size",
+        F.get(weights, ((F.col("one_to") - 1) % len(WEIGHTS)).cast("int")).alias("weight"),
+        (F.col("source_size") * MOST_REPEATS).alias("most"),
     )
+    ending = named.withColumn("end", F.col("most") / F.col("weight"))
+    by_end = ["end", *SOURCE]
+    summed = running_sums(ending, by_end, ["source_size", "most", "weight"], "sources-by-end")
+    left = F.col("source_size_all") * BUDGET - (F.col("most_to") - F.col("most"))
+    levels = summed.withColumn("level", left / (F.col("weight_all") - F.col("weight_to") + F.col("weight")))
+    first = levels.filter("level <= end").agg(F.min(F.struct(*by_end, "level"))["level"].alias("level")).first()
+    return summed.select(*SOURCE, "source_size", F.least("most", F.lit(first["level"]).cast("double") * F.col("weight")).alias("target"))
 
 
 def source_cuts(sized: DataFrame) -> DataFrame:
     """source_targets with (repeats, cut, cut_words): all documents are taken ``repeats`` times, those
     before ``cut`` once more, and of those at the cut ``cut_words`` words each."""
-    source = ["source", "no_source"]
-    slab = F.substring("key", 1, SLAB_DIGITS).alias("slab")
-    placed = sized.select(*source, slab, "size", F.struct("key", "doc_id", "size").alias("place"))
-    targets = source_targets(sized)
     # F.sum over a null-free integer column of a source without words is 0, and 0 words are taken of it.
     whole = F.floor("target")
-    budgets = targets.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0))
-    budgets = budgets.withColumn("rest", whole - F.col("repeats") * F.col("source_size"))
-    before = Window.partitionBy(*source).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy(*source, "slab")
-        .agg(F.sum("size").alias("size"))
-        .select(*source, "slab", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    budgets = source_targets(sized).withColumn(
+        "repeats", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
     )
+    budgets = budgets.withColumn("rest", whole - F.col("repeats") * F.col("source_size"))
+    # Documents alike in place are in one range, as all that tells them apart is in the order.
+    placed = ranged(sized, [*SOURCE, "key", "doc_id", "size"], "ranges")
+    before = Window.partitionBy(*SOURCE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*SOURCE, "part").agg(F.sum("size").alias("words"))
+    starts = starts.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    # A rest is less than its source, so it ends in exactly one range.
+    ending = starts.join(budgets.select(*SOURCE, "rest"), SOURCE).filter("start < rest and rest <= start + words")
     # The frame is by value: documents alike in place have the same end.
-    inside = Window.partitionBy(*source, "slab").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*SOURCE, "part").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ends = (
-        placed.withColumn("sum", F.sum("size").over(inside))
-        .join(starts, [*source, "slab"])
-        .join(budgets.select(*source, "rest"), source)
-        .select(*source, "rest", "place", (F.col("start") + F.col("sum")).alias("end"))
+        placed.join(ending.select(*SOURCE, "part", "start", "rest"), [*SOURCE, "part"])
+        .withColumn("place", F.struct("key", "doc_id", "size"))
+        .withColumn("end", F.col("start") + F.sum("size").over(inside))
     )
     reached = F.col("end") >= F.col("rest")
-    cuts = ends.filter("rest > 0").groupBy(*source).agg(
+    cuts = ends.groupBy(*SOURCE).agg(
         F.min(F.when(reached, F.struct("place", "end"))).alias("at"),
-        F.coalesce(F.max(F.when(~reached, F.col("end"))), F.lit(0)).alias("before"),
+        F.coalesce(F.max(F.when(~reached, F.col("end"))), F.min("start")).alias("before"),
     )
     alike = (F.col("at.end") - F.col("before")) / F.col("at.place.size")
-    return budgets.join(cuts, source, "left").select(
-        *source,
+    return budgets.join(cuts, SOURCE, "left").select(
+        *SOURCE,
         "source_size",
         "target",
         "repeats",
@@ -125,7 +143,7 @@ def mix(docs: DataFrame) -> DataFrame:
     cuts = stored(source_cuts(sized), "cuts")
     more, at_cut = _once_more(F.struct("key", "doc_id", "size"))
     part = F.when(more, F.col("size")).when(at_cut, F.col("cut_words")).otherwise(0)
-    return sized.join(cuts, ["source", "no_source"]).select(
+    return sized.join(cuts, SOURCE).select(
         "doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size") + part).cast("long").alias("taken")
     )
 
@@ -147,5 +165,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     more, at_cut = _once_more(F.struct("key", "doc_id", "size"))
     extra = F.when(more | (at_cut & (2 * F.col("cut_words") >= F.col("size"))), 1).otherwise(0)
     copies = (F.col("repeats") + extra).cast("int")
-    taken = rows.join(cuts, ["source", "no_source"]).select("row", F.explode(F.array_repeat(F.lit(0), copies)))
+    taken = rows.join(cuts, SOURCE).select("row", F.explode(F.array_repeat(F.lit(0), copies)))
     return taken.select("row.*")

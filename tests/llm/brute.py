@@ -86,13 +86,15 @@ def mix(rows, key):
         left -= sum(target[s] for s in full)
         free -= full
     taken = [0] * len(sized)
+    rows_of = defaultdict(list)
+    for i, r in enumerate(sized):
+        rows_of[r[1]].append(i)
     for s in named:
         budget = int(target[s] + 1e-6)
         repeats = budget // sizes[s] if sizes[s] else 0
         rest = budget - repeats * sizes[s]
-        own = [i for i, r in enumerate(sized) if r[1] == s]
         places = defaultdict(list)
-        for i in own:
+        for i in rows_of[s]:
             places[key(sized[i][0]), sized[i][0] is not None, sized[i][0] or 0, sized[i][2]].append(i)
         for place in sorted(places):
             alike, n = places[place], place[3]

@@ -3,6 +3,7 @@ from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from modlytics.llm import mixing
 
@@ -46,6 +47,26 @@ def test_a_hot_source_and_alike_rows(spark):
     check(spark.createDataFrame(rows, "doc_id long, source string, text string"))
 
 
+def test_many_ranges_and_repeated_rows_on_their_edges(spark):
+    rows = [(i % 90, "hot", "a b c " * (i % 5)) for i in range(900)] + [(None, "hot", "d e")] * 40
+    rows += [(i, f"s{i % 7}", "a b") for i in range(50)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        assert mixing.ranged(mixing.sizes(df), [*mixing.SOURCE, "key"], "ranges").select("part").distinct().count() > 3
+        check(df)
+    finally:
+        spark.conf.unset(name)
+
+
+def test_as_many_sources_as_documents(spark):
+    words = F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 9).cast("int")), " ")
+    source = F.concat(F.lit("s"), F.col("id"))
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), source.alias("source"), words.alias("text"))
+    check(docs)
+
+
 def test_mixed_documents_are_whole_and_repeated(edges):
     mixed = mixing.mixed_documents(edges)
     assert mixed.columns == edges.columns
