@@ -134,9 +134,13 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     signed = stored(fingerprints(docs), "fingerprints")
     prints = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(links(prints.select("fp"), bucket))
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = stored(named.join(smallest, "root").select("fp", "component_id"), "component-ids")
+    named = stored(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "root"), "named")
+    # Minima are reduced before they are shuffled, and written, so that the join on the root is one of two
+    # plain tables, whose hot roots Spark splits. A fingerprint without links takes no part in it.
+    linked = named.filter("root is not null")
+    smallest = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    alone = named.filter("root is null").select("fp", F.col("least").alias("component_id"))
+    ids = stored(linked.join(smallest, "root").select("fp", "component_id").unionByName(alone), "component-ids")
     return signed.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
