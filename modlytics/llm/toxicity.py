@@ -1,19 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is read window by
-window, a window being one word set before a fixed carrier, as no match is sought in the last bytes of
-what is compressed (words over WINDOW_BYTES are cut). Each window is compressed with the ordinary dictionary alone and with the toxic one before it; how many bytes the
-toxic one saves is the window's distance. The largest saving and the shares of windows with large
-savings are calibrated to a probability by logistic regression on the training texts.
+Two zstandard dictionaries are trained apart, one on ordinary and one on toxic text. A text is read in
+overlapping windows of WINDOW_WORDS words, each set before a fixed carrier, as no match is sought in the
+last bytes of what is compressed (words over WORD_BYTES are cut). A window is compressed with the
+ordinary dictionary alone and with the toxic one before it, so that ordinary words cost the same both
+times; how many bytes the toxic one saves is the window's distance. The largest saving and the
+shares of windows with large savings are calibrated to a probability by logistic regression, on texts
+that the dictionaries which score them have not seen: texts are dealt into SPLITS parts, and each part is
+scored by dictionaries of the others. The dictionaries of all parts then score the corpus.
 
 A label marks a whole document, most of which is as ordinary as any other. Toxic text for the dictionary
-is therefore the words of toxic documents that hold a run of GRAM bytes which is GRAM_RATIO times as
-frequent there as in ordinary documents, counted in documents, and more often than by chance. Abuse made
-of ordinary words only, such as a phrase or a threat, is not seen, as no window holds two words.
+is therefore what is salient in toxic documents: words that hold a run of GRAM bytes, and phrases of two or
+three other words, that are RATIO times as frequent there as in ordinary documents, counted in documents,
+and more often than by chance. A text most of whose phrases stand in texts before it is a copy and
+not counted again.
 
 Training reads a bounded sample: at most TOXIC_ROWS and ORDINARY_ROWS labelled rows of up to LONGEST code
-points, the first by hash of doc_id; of their windows, at most ORDINARY_WINDOWS and SAME_WORD of each salient word train the
-dictionaries. Rows whose crc32 of doc_id (as text) is 0 modulo FOLDS are held out and never read.
+points, the first by hash of doc_id (120 MB on the driver at most, in ASCII); of their text, at most
+ORDINARY_WINDOWS windows and SAME_SPAN occurrences of each salient span train the dictionaries. Rows whose
+crc32 of doc_id (as text) is 0 modulo FOLDS are held out and never read.
 Scores use the text only. Everything else reads all rows and whole texts.
 
 Defined cases: a null or empty text has no windows and is scored as such; with no labelled rows of one of
@@ -25,9 +30,10 @@ table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,34 +44,41 @@ from pyspark.sql import functions as F
 FOLDS = 5
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 4500
-LONGEST = 100_000
+LONGEST = 20_000
+SPLITS = 4
 
-WINDOW_BYTES = 48
+WINDOW_WORDS = 8
+#: Windows overlap by half, so that any phrase of up to five words stands whole in one.
+STRIDE = 4
+WORD_BYTES = 48
 CARRIER_BYTES = 64
 TOXIC_DICTIONARY = 4096
 ORDINARY_DICTIONARY = 16384
 GRAM = 5
-GRAM_RATIO = 20
-#: A run counts if at least so many toxic documents hold it, and its log-likelihood ratio is at least so
-#: high (15: by chance once in 10,000 runs), whatever the size of the sample.
-GRAM_ROWS = 4
-GRAM_SURPRISE = 15.0
-#: Of one salient word so many occurrences at most are training text, so that none fills the dictionary alone.
-SAME_WORD = 20
+RATIO = 20
+#: A run or phrase counts if at least so many toxic documents hold it, and its log-likelihood ratio is at least so
+#: high (24: by chance once in a million; a sample has some 100,000 units), whatever its size.
+LEAST_ROWS = 4
+SURPRISE = 24.0
+#: Of one salient word or phrase so many occurrences at most are training text, so that none fills the dictionary alone.
+SAME_SPAN = 20
 #: Windows of ordinary rows that the ordinary dictionary is trained on at most, drawn from all of the sample's.
-ORDINARY_WINDOWS = 400_000
+ORDINARY_WINDOWS = 50_000
 #: Savings in bytes whose windows are counted.
 SAVINGS = (2, 3, 4, 5, 6)
-#: Savings that a task remembers, so that frequent words are not compressed again.
-REMEMBERED = 200_000
 PUNCTUATION = b".,;:!?\"'()[]|*$%&#<>"
 
 
-def windows(text: str) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
     words = [w for w in (x.strip(PUNCTUATION) for x in text.encode("utf-8", "replace").lower().split()) if w]
-    if max(map(len, words), default=0) <= WINDOW_BYTES:
+    if max(map(len, words), default=0) <= WORD_BYTES:
         return words
-    return [w[i : i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
+    return [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+
+
+def windows(words: list[bytes]) -> list[bytes]:
+    """Windows from every STRIDE-th word on; the last one ends with the text."""
+    return [b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, max(1, len(words) - WINDOW_WORDS + STRIDE), STRIDE) if words]
 
 
 @dataclass(frozen=True)
@@ -86,21 +99,13 @@ class Savings:
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self.plain, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
         self.carrier = b" " + ordinary[-CARRIER_BYTES:]
-        self.known: dict[bytes, int] = {}
-
-    def __getitem__(self, window: bytes) -> int:
-        saved = self.known.get(window)
-        if saved is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            text = b" " + window + self.carrier
-            saved = self.known[window] = len(self.plain.compress(text)) - len(self.both.compress(text))
-        return saved
 
     def features(self, text: str) -> list[float]:
         """Number of windows, largest saving, and how many and what share of windows reach each saving."""
-        found = Counter(map(self.__getitem__, windows(text)))
-        n = found.total()
+        plain, both, carrier = self.plain.compress, self.both.compress, self.carrier
+        framed = [b" " + w + carrier for w in windows(words_of(text))]
+        found = Counter([len(plain(w)) - len(both(w)) for w in framed])
+        n = len(framed)
         reached = [sum(c for saved, c in found.items() if saved >= least) for least in SAVINGS]
         shares = [np.log1p(1000.0 * c / max(1, n)) for c in reached]
         return [np.log1p(n), max(found, default=0), *np.log1p(reached).tolist(), *shares]
@@ -141,6 +146,10 @@ def _grams(word: bytes) -> set[bytes]:
     return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
 
 
+def _phrases(words: list[bytes]) -> list[tuple[bytes, ...]]:
+    return [*zip(words, words[1:]), *zip(words, words[1:], words[2:])]
+
+
 def _surprise(toxic: int, ordinary: int, rows: list[int]) -> float:
     """Log-likelihood ratio (G) of a run that so many toxic and ordinary rows hold against even shares; rows
     are all ordinary and all toxic ones."""
@@ -150,26 +159,52 @@ def _surprise(toxic: int, ordinary: int, rows: list[int]) -> float:
     return 2 * sum(n * log(n * total / (row * column)) for n, row, column in cells if n)
 
 
-def _toxic_words(texts: list[tuple[str, int]]) -> list[bytes]:
-    """Words of toxic texts with a salient run, as often as they occur but SAME_WORD times at most."""
-    held: list[Counter] = [Counter(), Counter()]
-    rows = [0, 0]
-    for text, label in texts:
-        rows[label] += 1
-        held[label].update({g for w in set(windows(text)) for g in _grams(w)})
-    salient = {
-        g for g, n in held[1].items()
-        if n >= GRAM_ROWS and (n + 0.5) / (rows[1] + 1) > GRAM_RATIO * (held[0][g] + 0.5) / (rows[0] + 1)
-        and _surprise(n, held[0][g], rows) >= GRAM_SURPRISE
+def _salient(toxic: list[set], ordinary: Iterable[set], n_ordinary: int) -> set:
+    """Units of toxic texts that are far more frequent there; only units of enough toxic texts are counted in ordinary ones."""
+    held = Counter(unit for units in toxic for unit in units)
+    held = {unit: n for unit, n in held.items() if n >= LEAST_ROWS}
+    plain = Counter(unit for units in ordinary for unit in units if unit in held)
+    rows = [n_ordinary, len(toxic)]
+    return {
+        unit for unit, n in held.items()
+        if (n + 0.5) / (rows[1] + 1) > RATIO * (plain[unit] + 0.5) / (rows[0] + 1) and _surprise(n, plain[unit], rows) >= SURPRISE
     }
-    words = Counter(w for text, label in texts if label for w in windows(text) if not salient.isdisjoint(_grams(w)))
-    return [w for w, n in sorted(words.items()) for _ in range(min(n, SAME_WORD))]
 
 
-def _dictionary(words: list[bytes], size: int, each: int) -> bytes:
+def _without_copies(texts: list[list[bytes]]) -> list[list[bytes]]:
+    seen: set = set()
+    kept = []
+    for words in texts:
+        own = set(zip(words, words[1:], words[2:]))
+        if 2 * len(own & seen) <= len(own):
+            kept.append(words)
+        seen |= own
+    return kept
+
+
+def _toxic_spans(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Salient words and phrases of toxic texts, as often as they occur but SAME_SPAN times at most."""
+    different = _without_copies(toxic)
+
+    def grams(words: list[bytes]) -> set:
+        return {g for w in set(words) for g in _grams(w)}
+
+    runs = _salient([grams(t) for t in different], map(grams, ordinary), len(ordinary))
+    marked = {w for t in toxic for w in set(t) if not runs.isdisjoint(_grams(w))}
+
+    def phrases(words: list[bytes]) -> set:
+        return {p for p in _phrases(words) if marked.isdisjoint(p)}
+
+    told = _salient([phrases(t) for t in different], map(phrases, ordinary), len(ordinary))
+    spans = Counter(w for t in toxic for w in t if w in marked)
+    spans.update(b" ".join(p) for t in toxic for p in _phrases(t) if p in told)
+    return [span for span, n in sorted(spans.items()) for _ in range(min(n, SAME_SPAN))]
+
+
+def _dictionary(spans: list[bytes], size: int, each: int) -> bytes:
     """A trained dictionary; where there is too little text to train one, the text itself."""
-    order = np.random.default_rng(1).permutation(len(words))
-    padded = [b" " + words[i] + b" " for i in order]
+    order = np.random.default_rng(1).permutation(len(spans))
+    padded = [b" " + spans[i] + b" " for i in order]
     samples = [b"".join(padded[i : i + each]) for i in range(0, len(padded), each)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -177,20 +212,35 @@ def _dictionary(words: list[bytes], size: int, each: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _dictionaries(texts: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
+    ordinary, toxic = [w for w, label in texts if not label], [w for w, label in texts if label]
+    plain = [w for t in ordinary for w in windows(t)]
+    if len(plain) > ORDINARY_WINDOWS:
+        plain = [plain[i] for i in np.random.default_rng(0).choice(len(plain), ORDINARY_WINDOWS, replace=False)]
+    return _dictionary(plain, ORDINARY_DICTIONARY, 1), _dictionary(_toxic_spans(toxic, ordinary), TOXIC_DICTIONARY, 4)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    texts = training_texts(docs, labels)
+    return fit(training_texts(docs, labels))
+
+
+def fit(texts: list[tuple[str, int]]) -> Model | None:
+    """The model of labelled texts; equal texts with equal labels count once."""
+    texts = sorted(set(texts))
     if {label for _, label in texts} != {0, 1}:
         return None
-    ordinary = [w for text, label in texts if not label for w in windows(text)]
-    if len(ordinary) > ORDINARY_WINDOWS:
-        ordinary = [ordinary[i] for i in np.random.default_rng(0).choice(len(ordinary), ORDINARY_WINDOWS, replace=False)]
-    plain = _dictionary(ordinary, ORDINARY_DICTIONARY, 8)
-    toxic = _dictionary(_toxic_words(texts), TOXIC_DICTIONARY, 4)
-    savings = Savings(plain, toxic)
-    x = np.array([savings.features(text) for text, _ in texts])
+    # Parts by hash of the text, so that they don't depend on the order or number of the others.
+    parts = np.array([crc32(text.encode("utf-8", "replace")) % SPLITS for text, _ in texts])
+    split = [(words_of(text), label) for text, label in texts]
+    x = np.zeros((len(texts), 2 + 2 * len(SAVINGS)))
+    for part in range(SPLITS):
+        savings = Savings(*_dictionaries([row for row, other in zip(split, parts) if other != part]))
+        for i in np.flatnonzero(parts == part):
+            x[i] = savings.features(texts[i][0])
     y = np.array([label for _, label in texts], float)
     means, spreads = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = _logistic(np.column_stack([(x - means) / spreads, np.ones(len(x))]), y)
+    plain, toxic = _dictionaries(split)
     return Model(plain, toxic, means, spreads, weights[:-1], float(weights[-1]))
 
 

@@ -1,10 +1,12 @@
 """Plain, slow versions of the operators' definitions."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 import xxhash
+import zstandard
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,6 +107,35 @@ def mix(rows, key):
     return [(n, sizes[s], target[s], taken[i]) for i, (_, s, n) in enumerate(sized)]
 
 
+def toxicity(model, text):
+    """The score by plain loops; a new compressor for each window."""
+    options = dict(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=17, chain_log=17, search_log=5)
+    options |= dict(write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(window, content):
+        settings = zstandard.ZstdCompressionParameters(**options)
+        loaded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        loaded.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(dict_data=loaded, compression_params=settings).compress(window))
+
+    words = []
+    for raw in re.findall(WORD.encode(), text.encode()):
+        raw = raw.lower().strip(b".,;:!?\"'()[]|*$%&#<>")
+        while raw:
+            words.append(raw[:48])
+            raw = raw[48:]
+    saved, at = [], 0
+    while words and (at == 0 or at + 4 < len(words)):
+        framed = b" " + b" ".join(words[at : at + 8]) + b" " + model.ordinary[-64:]
+        saved.append(length(framed, model.ordinary) - length(framed, model.toxic + model.ordinary))
+        at += 4
+    counts = [sum(s >= least for s in saved) for least in (2, 3, 4, 5, 6)]
+    features = [math.log(1 + len(saved)), max(saved, default=0), *[math.log(1 + c) for c in counts]]
+    features += [math.log(1 + 1000 * c / max(1, len(saved))) for c in counts]
+    z = model.bias + sum(w * (f - m) / s for w, f, m, s in zip(model.weights, features, model.means, model.spreads))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text or ""

@@ -184,13 +184,54 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
-def test_rare_insults_are_learned_from_a_large_sample():
-    """Each in 10 of 1,500 toxic rows; a word of two toxic rows or of both kinds is not."""
-    texts = [(f"plain row {i} common{i % 50}", 0) for i in range(4500)]
-    texts += [(f"plain row {i} common{i % 50}" + (f" {('zorgbag', 'wuffle', 'klimpet')[i % 3]}" if i < 30 else " quibbletop" if i < 32 else ""), 1) for i in range(1500)]
-    assert set(toxicity._toxic_words(texts)) == {b"zorgbag", b"wuffle", b"klimpet"}
+def labelled_words(n, phrase, seed):
+    """Texts of common words, every third toxic by a phrase of words that ordinary texts hold too."""
+    rng = random.Random(seed)
+    common = [f"w{a}{b}" for a in "bcdfg" for b in ("ane", "olt", "irk", "ush")] + phrase
+    texts = []
+    for i in range(n):
+        words = [rng.choice(common) for _ in range(60)]
+        if i % 3 == 0:
+            words[20:20] = phrase
+        texts.append((" ".join(words), int(i % 3 == 0)))
+    return texts
+
+
+def test_threats_of_ordinary_words_are_found():
+    phrase = "we know where you sleep".split()
+    model = toxicity.fit(labelled_words(600, phrase, 1))
+    savings = toxicity.Savings(model.ordinary, model.toxic)
+    right = [(toxicity.score(model, savings, t) >= 0.5) == (label == 1) for t, label in labelled_words(300, phrase, 2)]
+    assert np.mean(right) > 0.97
+
+
+def test_scores_as_by_brute_force(texts):
+    model = toxicity.fit(labelled_words(120, "we know where you sleep".split(), 3) + [("an ordinary text", 0)])
+    savings = toxicity.Savings(model.ordinary, model.toxic)
+    for text in [*[t or "" for _, t, _, _ in texts[:60]], "", "we know where you sleep", "x" * 500, "one, two. three"]:
+        assert toxicity.score(model, savings, text) == pytest.approx(brute.toxicity(model, text))
 
 
-def test_words_over_the_window_are_cut():
-    assert toxicity.windows("a " + "b" * 100) == [b"a", b"b" * 48, b"b" * 48, b"b" * 4]
-    assert toxicity.windows("") == toxicity.windows(" \n") == []
+def test_rare_insults_are_learned_from_a_large_sample():
+    """Each in 10 of 1,500 toxic rows; a word of two toxic rows or of both kinds is not."""
+    ordinary = [f"plain row {i} common{i % 50}".encode().split() for i in range(4500)]
+    insults = [b"zorgbag", b"wuffle", b"klimpet"]
+    toxic = [row + ([insults[i % 3]] if i < 30 else [b"quibbletop"] if i < 32 else []) for i, row in enumerate(ordinary[:1500])]
+    assert set(toxicity._toxic_spans(toxic, ordinary)) == set(insults)
+
+
+def test_copies_of_one_toxic_text_are_counted_once():
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(3000)}".encode() for _ in range(40)] for _ in range(400)]
+    assert toxicity._toxic_spans([texts[0]] * 30 + texts[1:40], texts[40:]) == []
+
+
+def test_windows_overlap_and_long_words_are_cut():
+    assert toxicity.words_of("a, " + "b" * 100) == [b"a", b"b" * 48, b"b" * 48, b"b" * 4]
+    assert toxicity.windows(toxicity.words_of("")) == toxicity.windows(toxicity.words_of(" \n")) == []
+    for n in range(1, 40):
+        words = [b"%d" % i for i in range(n)]
+        found = [w.split() for w in toxicity.windows(words)]
+        assert found[-1][-1] == words[-1] and all(len(w) <= toxicity.WINDOW_WORDS for w in found)
+        for i in range(max(1, n - 4)):
+            assert any(words[i : i + 5] == w[k : k + 5] for w in found for k in range(len(w)))
