@@ -20,7 +20,7 @@ from modlytics.plans.scan import creator_names, landed_status, scan, with_link_p
 from modlytics.session import scratch_path
 from modlytics.sources import csv_files
 from modlytics.sources.landed import latest_scans
-from modlytics.sources.tables import read_table, write_table
+from modlytics.sources.tables import read_table, stream_table, write_table
 from modlytics.sources.threads import comments_of_threads, read_all_threads, thread_comments
 from modlytics.sources.videos import video_comments
 from modlytics.streaming.answers import drain_verdicts
@@ -115,9 +115,7 @@ def moderate_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_moderation(spark: SparkSession, folder: str) -> DataFrame:
-    landed = (
-        spark.readStream.schema("doc_id BIGINT, text STRING").option("pathGlobFilter", "documents.parquet").parquet(folder)
-    )
+    landed = stream_table(spark, folder, "documents", "doc_id BIGINT, text STRING")
     path, progress = scratch_path(spark, "live"), scratch_path(spark, "live-progress")
     author, timestamp = F.lit(None).cast("string"), F.lit(None).cast("string")
     comments = landed.withColumns({"author": author, "timestamp": timestamp})

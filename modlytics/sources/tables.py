@@ -12,6 +12,15 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A parquet table as a stream of its files, whether it is one file or a folder of them.
+
+    The pattern matches the one name only. As a plain path, a single file would be taken for the folder of
+    a partitioned table, which is an error.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def write_table(table: DataFrame, path: str, *cluster_by: str) -> DataFrame:
     """Write a table version to a new path and read it back.
 

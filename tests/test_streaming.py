@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modlytics import schemas
 from modlytics.operators import generations
 from modlytics.operators.moderation import LABEL_COLUMNS, moderate, normalise
+from modlytics.plans import catalog
 from modlytics.session import scratch_path
 from modlytics.streaming.answers import drain_verdicts
 from modlytics.streaming.live import drain, moderate_stream
@@ -41,6 +42,17 @@ def test_stream_equals_batch_and_goes_on(spark, small):
     assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
 
 
+def test_a_table_streams_as_one_file_or_as_a_folder_of_files(spark, rows, tmp_path):
+    docs = spark.createDataFrame([(1, "hello"), (2, "fuck you"), (2, "fuck you"), (None, None)], "doc_id BIGINT, text STRING")
+    docs.coalesce(1).write.parquet(str(tmp_path / "one" / "written"))
+    next((tmp_path / "one" / "written").glob("part-*")).rename(tmp_path / "one" / "documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.limit(1).write.parquet(str(tmp_path / "many" / "labels.parquet"))
+    want = rows(moderate(docs), "doc_id", "classification")
+    for layout in ("one", "many"):
+        assert rows(catalog.stream_moderation(spark, str(tmp_path / layout)), "doc_id", "classification") == want
+
+
 def page(*texts):
     items = [{"snippet": {"topLevelComment": {"snippet": {"authorDisplayName": "ann", "textDisplay": t, "publishedAt": "2024-01-01T00:00:00Z"}}}} for t in texts]
     return json.dumps({"items": items})
