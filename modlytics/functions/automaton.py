@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.functions import dictionary as fixed
+from modlytics.functions.slices import sliced
 
 # Functions travel with their tasks by value, as executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -107,7 +108,7 @@ def term_places(version: Version):
         kind = pa.list_(pa.struct([("tier", pa.int32()), ("place", pa.int32()), ("term", pa.string()), ("starts", pa.list_(pa.int32()))]))
         return pa.array(found, kind)
 
-    return F.arrow_udf(search, HITS)
+    return sliced(search, HITS)
 
 
 def hits_of_tier(hits: Column, tier: int) -> Column:
@@ -219,4 +220,4 @@ def highlight_places(version: Version, opening: str = "<mark>", closing: str = "
         machine = machine_of()
         return pa.array([None if t is None else one(t, f or "", machine) for t, f in pairs], pa.string())
 
-    return F.arrow_udf(mark, "string")
+    return sliced(mark, "string")
