@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from modlytics.functions.slices import whole
+
 FOUND = "struct<place: int, hits: array<string>>"
 
 
@@ -68,4 +70,9 @@ def first_hits(*lists: TermList) -> Callable[[Column], Column]:
         hits = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(in_row_order)))
         return pa.StructArray.from_arrays([pa.array(place), hits], ["place", "hits"])
 
-    return F.arrow_udf(search, FOUND)
+    in_slices = whole(search)
+
+    def searched(texts: pa.Array) -> pa.Array:
+        return in_slices(texts)
+
+    return F.arrow_udf(searched, FOUND)

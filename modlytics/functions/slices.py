@@ -29,6 +29,16 @@ def cuts(columns: tuple[pa.Array, ...], most: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), np.diff(starts, append=len(sizes)).tolist(), strict=True))
 
 
+def whole(work: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """A function of arrays that treats each row by itself, done in slices; for results that are small beside the texts."""
+    most = SLICE_BYTES
+
+    def all_of(*columns: pa.Array) -> pa.Array:
+        return pa.concat_arrays([work(*[c.slice(start, rows) for c in columns]) for start, rows in cuts(columns, most)] or [work(*columns)])
+
+    return all_of
+
+
 def sliced(work: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
     """An expression of text columns by a function of arrays that treats each row by itself."""
     most = SLICE_BYTES
