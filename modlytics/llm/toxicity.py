@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained apart, one on ordinary and one on toxic t
 overlapping windows of WINDOW_WORDS words, each set before a fixed carrier, as no match is sought in the
 last bytes of what is compressed (words over WORD_BYTES are cut). A window is compressed with the
 ordinary dictionary alone and with the toxic one before it, so that ordinary words cost the same both
-times; how many bytes the toxic one saves is the window's distance. The largest saving and the
+times; how many bytes the toxic one saves is the window's distance. Most windows hold nothing that the toxic one alone has;
+these save nothing, exactly, and are not compressed. The largest saving and the
 shares of windows with large savings are calibrated to a probability by logistic regression, on texts
 that the dictionaries which score them have not seen: texts are dealt into SPLITS parts, and each part is
 scored by dictionaries of the others. The dictionaries of all parts then score the corpus.
@@ -52,6 +53,9 @@ WINDOW_WORDS = 8
 STRIDE = 4
 WORD_BYTES = 48
 CARRIER_BYTES = 64
+MIN_MATCH = 4
+#: With smaller ordinary dictionaries every window is compressed.
+LEAST_ORDINARY = 4096
 TOXIC_DICTIONARY = 4096
 ORDINARY_DICTIONARY = 16384
 GRAM = 5
@@ -99,23 +103,68 @@ class Savings:
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self.plain, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
         self.carrier = b" " + ordinary[-CARRIER_BYTES:]
+        self.machine = _machine(telling(ordinary, toxic))
+
+    def may_save(self, framed: bytes) -> bool:
+        return self.machine is None or next(self.machine.iter(framed.decode("latin-1")), None) is not None
 
     def features(self, text: str) -> list[float]:
         """Number of windows, largest saving, and how many and what share of windows reach each saving."""
         plain, both, carrier = self.plain.compress, self.both.compress, self.carrier
         framed = [b" " + w + carrier for w in windows(words_of(text))]
-        found = Counter([len(plain(w)) - len(both(w)) for w in framed])
+        told = [w for w in framed if self.may_save(w)]
+        found = Counter([len(plain(w)) - len(both(w)) for w in told])
         n = len(framed)
+        if len(told) < n:
+            found[0] += n - len(told)
         reached = [sum(c for saved, c in found.items() if saved >= least) for least in SAVINGS]
         shares = [np.log1p(1000.0 * c / max(1, n)) for c in reached]
         return [np.log1p(n), max(found, default=0), *np.log1p(reached).tolist(), *shares]
 
 
+def telling(ordinary: bytes, toxic: bytes) -> set[bytes]:
+    """Runs of bytes without any of which a window is as long with both dictionaries as with the ordinary one, so that it
+    needn't be compressed; empty if that can't be said.
+
+    These are, from each place of the toxic dictionary, the shortest run of at least MIN_MATCH bytes that the ordinary one does not
+    have. A window without them has no match in the toxic dictionary that is longer than its longest in the ordinary
+    one, which is nearer and searched first, and at the same distances as without the toxic one; the longer
+    match wins, and the nearer one of two alike. One more run stands for a match that would go on backwards over the seam.
+    """
+    # Sizes by which the same search settings hold for both.
+    if not toxic or len(ordinary) < LEAST_ORDINARY or _size_class(ordinary) != _size_class(toxic + ordinary):
+        return set()
+    both, seam = toxic + ordinary, len(toxic)
+    runs = {both[seam - 1 : seam + MIN_MATCH]}
+    for start in range(seam):
+        n = MIN_MATCH
+        while both[start : start + n] in ordinary:
+            n += 1
+        runs.add(both[start : start + n])
+    return runs
+
+
+def _size_class(content: bytes) -> int:
+    """Of a dictionary and the short text that zstandard takes to come with it, to the next power of two."""
+    return (len(content) + 512).bit_length()
+
+
+def _machine(runs: set[bytes]):
+    """An automaton that finds the runs in a text, a character for each byte; None if there are none."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for run in runs:
+        machine.add_word(run.decode("latin-1"))
+    machine.make_automaton()
+    return machine if runs else None
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     """A strategy that looks at every place of a dictionary, so that lengths don't depend on where a word
     happens to stand in it."""
     settings = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=17, chain_log=17, search_log=5,
+        strategy=zstandard.STRATEGY_LAZY2, min_match=MIN_MATCH, window_log=17, hash_log=17, chain_log=17, search_log=5,
         write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     loaded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

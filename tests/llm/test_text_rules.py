@@ -235,3 +235,28 @@ def test_windows_overlap_and_long_words_are_cut():
         assert found[-1][-1] == words[-1] and all(len(w) <= toxicity.WINDOW_WORDS for w in found)
         for i in range(max(1, n - 4)):
             assert any(words[i : i + 5] == w[k : k + 5] for w in found for k in range(len(w)))
+
+
+@pytest.mark.parametrize("alphabet", [2, 4, 26])
+def test_toxicity_windows_that_are_not_compressed_save_nothing(alphabet):
+    chance = random.Random(alphabet)
+    letters = [bytes([97 + i]) for i in range(alphabet)]
+
+    def run(words):
+        return b" ".join(b"".join(chance.choices(letters, k=chance.randint(1, 9))) for _ in range(words))
+
+    ordinary, toxic = run(2500), run(60)
+    savings = toxicity.Savings(ordinary, toxic)
+    assert savings.machine is not None
+    both, skipped = toxic + ordinary, 0
+    for _ in range(2000):
+        at = chance.randrange(len(both) - 60)
+        near = chance.randrange(len(toxic) - 30, len(toxic))  # over the seam
+        window = b" ".join([run(chance.randint(0, 3)), both[at : at + chance.randint(3, 60)], both[near : near + 30][: chance.randint(0, 40)]])
+        framed = b" " + window + savings.carrier
+        if not savings.may_save(framed):
+            skipped += 1
+            assert len(savings.plain.compress(framed)) == len(savings.both.compress(framed))
+    assert skipped
+    # Too small a dictionary for that, or none: every window is compressed.
+    assert toxicity.telling(ordinary[:1000], toxic) == toxicity.telling(ordinary, b"") == set()
