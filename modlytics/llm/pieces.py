@@ -8,8 +8,8 @@ perturbed log probability of anything below it, drawn below the value of what it
 best of the frontier is opened until it is a leaf. That gives k different segmentations, a sample without replacement.
 ``log_inclusion`` is the log probability that a segmentation's noise would lift it over the best one left out.
 
-No piece crosses the start of a word, so the lattice of a text is the product of its words' lattices; those of words
-seen are kept, up to a bound. All noise is a hash of the row's key, the rank and the
+No piece crosses the start of a word, so the lattice of a text is the product of its words' lattices; those of the words
+used most are kept, up to a bound. All noise is a hash of the row's key, the rank and the
 place in the text: a row's result does not depend on its neighbours or on which task runs it.
 
 The model's scores are merge ranks; a piece of rank r has a weight of 1 / (r + 1), to the power ALPHA.
@@ -76,12 +76,12 @@ class Vocabulary:
                 spelled[text], self.surface[i] = i, text.encode()
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary has no piece for some bytes")
-        #: Each piece's code points, filled up with zeros.
+        #: The first code point of each piece, the second and so on, filled up with zeros.
         self.n_points = np.zeros(n, np.int64)
-        self.points = np.zeros((n, max(map(len, spelled))), np.uint32)
+        self.points = np.zeros((max(map(len, spelled)), n), np.uint32)
         for text, i in spelled.items():
             self.n_points[i] = len(text)
-            self.points[i, : len(text)] = [ord(c) for c in text]
+            self.points[: len(text), i] = [ord(c) for c in text]
         chars = sorted({c for text in spelled for c in text})
         self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
         self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -193,10 +193,15 @@ class Lattice:
         whole = np.flatnonzero(pieces >= 0)
         self.spelled = np.zeros(len(pieces), bool)
         self.spelled[whole] = vocabulary.n_points[pieces[whole]] == self.target[whole] - self.source[whole]
-        left, at = whole[self.spelled[whole]], 0
-        while len(left := left[vocabulary.n_points[pieces[left]] > at]):
-            self.spelled[left] &= vocabulary.points[pieces[left], at] == codes[self.source[left] + at]
-            at += 1
+        left = whole[self.spelled[whole]]
+        spelling, starts, points = pieces[left], self.source[left], vocabulary.n_points[pieces[left]]
+        for at, column in enumerate(vocabulary.points):
+            if at:
+                longer = np.flatnonzero(points > at)
+                left, spelling, starts, points = left[longer], spelling[longer], starts[longer], points[longer]
+            if not len(left):
+                break
+            self.spelled[left[column[spelling] != codes[starts + at]]] = False
         for e, spelling in zip(bare.tolist(), spellings, strict=True):
             self.ids[self.id_at[e] : self.id_at[e] + len(spelling)] = spelling
             self.weight[e] = vocabulary.logs[spelling].sum()
@@ -245,9 +250,15 @@ class _Grown:
         return self.held[: self.n]
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of them, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Lattices:
-    """The lattice of all words seen so far, so that a word is worked out once in a task. It is begun anew when it has more than
-    STORE nodes, which bounds its memory."""
+    """The lattice of words seen so far, so that a word is mostly worked out once in a task. When it has more than STORE nodes, those
+    words stay that were used most, of up to half as many nodes, which bounds its memory."""
 
     inside: np.ndarray
     source: np.ndarray
@@ -266,18 +277,53 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.starts = _Grown(np.int64)
+        self.held = {name: _Grown(kind) for name, kind in self.KINDS.items()}
         self._clear()
 
     def _clear(self) -> None:
+        """The arrays keep their room, so that they needn't grow again."""
         self.numbers = _Numbers()
-        self.starts = _Grown(np.int64)
-        self.held = {name: _Grown(kind) for name, kind in self.KINDS.items()}
+        self.used = np.zeros(0, np.int64)
+        for grown in (self.starts, *self.held.values()):
+            grown.n = 0
         self.held["first_edge"].add(np.zeros(1, np.int64))
 
     def forget(self) -> None:
         """Between slices only, as places in the lattice change."""
         if self.held["inside"].n > STORE:
-            self._clear()
+            self._keep_most_used(STORE // 2)
+
+    def use(self, numbers: np.ndarray) -> None:
+        """Counts the uses of words, by number."""
+        counts = np.bincount(numbers, minlength=len(self.numbers))
+        counts[: len(self.used)] += self.used
+        self.used = counts
+
+    def _keep_most_used(self, nodes: int) -> None:
+        held = {name: grown() for name, grown in self.held.items()}
+        starts, used, words = self.starts(), self.used, list(self.numbers)
+        lengths = np.diff(starts, append=len(held["inside"]))
+        order = np.argsort(-used, kind="stable")
+        most = order[np.cumsum(lengths[order]) <= nodes]
+        kept = np.sort(most[used[most] > 1])
+        starts, lengths = starts[kept], lengths[kept]
+        first, last = held["first_edge"][starts], held["first_edge"][starts + lengths]
+        ends = np.append(held["id_at"], len(held["ids"]))
+        at_nodes, at_edges, at_ids = _ranges(starts, lengths), _ranges(first, last - first), _ranges(ends[first], ends[last] - ends[first])
+        new_starts = np.cumsum(lengths) - lengths
+        moved = np.repeat(new_starts - starts, last - first)
+        new = {name: held[name][at_edges] for name in ("source", "target", "n_ids", "spelled", "log_share", "reach")}
+        new["source"], new["target"] = new["source"] + moved, new["target"] + moved
+        new["first_edge"] = np.cumsum((held["first_edge"][1:] - held["first_edge"][:-1])[at_nodes])
+        new["id_at"] = np.cumsum(new["n_ids"], dtype=np.int64) - new["n_ids"]
+        new["inside"], new["ids"] = held["inside"][at_nodes], held["ids"][at_ids]
+        self._clear()
+        self.starts.add(new_starts)
+        for name, values in new.items():
+            self.held[name].add(values)
+        self.numbers.update((words[w], i) for i, w in enumerate(kept.tolist()))
+        self.used = used[kept] // 2  # so that words of long ago go in the end
 
     def add_new(self) -> None:
         """Works out the words that were numbered since the last call; then all arrays can be read."""
@@ -316,10 +362,23 @@ _WORD_STEP, _STEP_STEP, _USE_STEP = (np.uint64(c) for c in (0x9E3779B97F4A7C15,
 
 def _noise(keys: np.ndarray, words: np.ndarray, step: np.ndarray | int, use: int) -> np.ndarray:
     """Numbers between 0 and 1, a hash of row key, place and use."""
-    x = keys + words.astype(np.uint64) * _WORD_STEP + np.asarray(step).astype(np.uint64) * _STEP_STEP + np.uint64(use * int(_USE_STEP) % (1 << 64))
+    x = words.astype(np.uint64)
+    x *= _WORD_STEP
+    x += keys
+    if np.ndim(step):
+        x += step.astype(np.uint64) * _STEP_STEP
+        x += np.uint64(use * int(_USE_STEP) % (1 << 64))
+    else:
+        x += np.uint64((int(step) * int(_STEP_STEP) + use * int(_USE_STEP)) % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(11)
+    found = x.astype(np.float64)
+    found *= 2.0**-53
+    found += 2.0**-54
+    return found
 
 
 def _below(most: np.ndarray | float, log_mass: np.ndarray | float, noise: np.ndarray | float) -> np.ndarray:
@@ -392,7 +451,9 @@ class Sampler:
         lattice.add_new()
         of_text = np.repeat(np.arange(n), lengths)
         in_text = np.arange(len(of_text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        starts = lattice.starts()[np.array(listed, np.int64)]
+        listed = np.array(listed, np.int64)
+        lattice.use(listed)
+        starts = lattice.starts()[listed]
         first_word = np.cumsum(lengths) - lengths
         best = -np.log(-np.log(_noise(keys, np.zeros(n, np.int64), 0, 1)))
         path = Path(*self._walk(lattice, keys, of_text, in_text, starts, 2), n)

@@ -81,3 +81,26 @@ def test_empty_texts_have_one_segmentation(vocabulary):
     rows = list(pieces.Sampler(vocabulary, 3).sample(["", "a", ""], pieces.row_keys([1, 2, 3], 1)))
     assert [(i, r, len(ids)) for i, r, ids, *_ in rows if i != 1] == [(0, 1, 0), (2, 1, 0)]
     assert [tuple(x) for *x, in list(pieces.Sampler(vocabulary, 2).sample([""], pieces.row_keys([1], 1)))][0][:2] == (0, 1)
+
+
+def test_words_used_most_stay_when_the_store_is_full(vocabulary, monkeypatch):
+    texts = [" ".join(["the cat\nsat", "é▁b  on", f"w{i}x{i * i} z{i}", "the"]) for i in range(60)]
+    keys = pieces.row_keys(list(range(60)), 1)
+
+    def sampled(sampler, each=3):
+        return [
+            (i + j, r, ids.tobytes(), *x) for i in range(0, 60, each) for j, r, ids, *x in sampler.checked(texts[i : i + each], keys[i : i + each])
+        ]
+
+    whole = sampled(pieces.Sampler(vocabulary, 2))
+    worked_out = []
+    real = pieces.Lattice
+    monkeypatch.setattr(pieces, "Lattice", lambda words, v: worked_out.extend(words) or real(words, v))
+    for store in (0, 20, 150, 400):
+        monkeypatch.setattr(pieces, "STORE", store)
+        worked_out.clear()
+        sampler = pieces.Sampler(vocabulary, 2)
+        assert sampled(sampler) == whole
+        lattices = sampler.lattices
+        assert len(lattices.numbers) == lattices.starts.n == len(lattices.used) and len(worked_out) > len(lattices.numbers)
+    assert worked_out.count(" the") == worked_out.count(" cat") == 1
