@@ -44,6 +44,8 @@ ALPHA = 1.0
 SLICE = 1 << 17
 #: Nodes (about characters) of the words whose lattices a task keeps; some 100 bytes each.
 STORE = 1 << 19
+#: What uses of a word count for, each time that words are left out, so that words of long ago go in the end.
+FADING = 0.95
 
 _WORDS = re.compile(r" *[^ \n]+| +|\n+")
 #: Ranks of pieces that the model lists without a usable score.
@@ -284,7 +286,7 @@ class Lattices:
     def _clear(self) -> None:
         """The arrays keep their room, so that they needn't grow again."""
         self.numbers = _Numbers()
-        self.used = np.zeros(0, np.int64)
+        self.used = np.zeros(0)
         for grown in (self.starts, *self.held.values()):
             grown.n = 0
         self.held["first_edge"].add(np.zeros(1, np.int64))
@@ -296,7 +298,7 @@ class Lattices:
 
     def use(self, numbers: np.ndarray) -> None:
         """Counts the uses of words, by number."""
-        counts = np.bincount(numbers, minlength=len(self.numbers))
+        counts = np.bincount(numbers, minlength=len(self.numbers)).astype(float)
         counts[: len(self.used)] += self.used
         self.used = counts
 
@@ -304,9 +306,9 @@ class Lattices:
         held = {name: grown() for name, grown in self.held.items()}
         starts, used, words = self.starts(), self.used, list(self.numbers)
         lengths = np.diff(starts, append=len(held["inside"]))
-        order = np.argsort(-used, kind="stable")
-        most = order[np.cumsum(lengths[order]) <= nodes]
-        kept = np.sort(most[used[most] > 1])
+        order = np.argsort(-used[::-1], kind="stable")
+        order = len(used) - 1 - order  # of words used alike, the later ones first
+        kept = np.sort(order[np.cumsum(lengths[order]) <= nodes])
         starts, lengths = starts[kept], lengths[kept]
         first, last = held["first_edge"][starts], held["first_edge"][starts + lengths]
         ends = np.append(held["id_at"], len(held["ids"]))
@@ -323,7 +325,7 @@ class Lattices:
         for name, values in new.items():
             self.held[name].add(values)
         self.numbers.update((words[w], i) for i, w in enumerate(kept.tolist()))
-        self.used = used[kept] // 2  # so that words of long ago go in the end
+        self.used = used[kept] * FADING
 
     def add_new(self) -> None:
         """Works out the words that were numbered since the last call; then all arrays can be read."""
